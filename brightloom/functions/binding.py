@@ -1,0 +1,17 @@
+"""Naming an intermediate value inside one expression."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once per row.
+
+    Without it, the optimizer may copy the expression into every lambda that mentions it,
+    where it would be computed again for each element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brightloom.functions.binding import let
+
 _URL = "^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#\\s]+)([^?#]*)(\\?[^#]*)?(#.*)?$"
 _DEFAULT_PORT = "^(http://.*):80$|^(https://.*):443$"
 
@@ -64,12 +66,15 @@ def is_admissible(url: Column, base_url: Column, path_prefixes: Column, excluded
     Same origin; on one of the path prefixes (none means all); and the path after that
     prefix does not start with an excluded namespace. Text that is no URL is not admitted.
     """
-    url_path = path(url)
-    on_prefix = F.filter(path_prefixes, lambda p: F.startswith(url_path, p))
-    allowed = (F.size(path_prefixes) == 0) | (F.size(on_prefix) > 0)
-    rest = F.substring(url_path, F.length(F.coalesce(F.try_element_at(on_prefix, F.lit(1)), F.lit(""))) + F.lit(1), F.length(url_path))
-    excluded = F.exists(excluded_prefixes, lambda p: F.startswith(rest, p))
-    return F.coalesce((origin(url) == origin(base_url)) & allowed & ~excluded, F.lit(False))
+
+    def on_site(url_path: Column) -> Column:
+        on_prefix = F.filter(path_prefixes, lambda p: F.startswith(url_path, p))
+        allowed = (F.size(path_prefixes) == 0) | (F.size(on_prefix) > 0)
+        prefix = F.coalesce(F.try_element_at(on_prefix, F.lit(1)), F.lit(""))
+        rest = F.substring(url_path, F.length(prefix) + F.lit(1), F.length(url_path))
+        return let(rest, lambda title: allowed & ~F.exists(excluded_prefixes, lambda p: F.startswith(title, p)))
+
+    return F.coalesce((origin(url) == origin(base_url)) & let(path(url), on_site), F.lit(False))
 
 
 def _resolve(href: str, base: str) -> str | None:

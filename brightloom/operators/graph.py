@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brightloom.functions import text as X
+from brightloom.functions.binding import let
 from brightloom.functions.urls import absolute_url
 from brightloom.operators.ordered import BLOCK_ROWS, best_before
 from brightloom.operators.pages import page_links
@@ -78,9 +79,8 @@ def mention_edges(texts: DataFrame, entities: DataFrame) -> DataFrame:
     named = usable.withColumn("_lead", _lead(name_words, F.least(F.size(name_words), F.lit(LEAD_WORDS)))).select(
         "normalized", "kind", "canonical_page_id", "_lead"
     )
-    words = F.split(F.col("_normal"), " ")
 
-    def runs(length: int) -> Column:
+    def runs(words: Column, length: int) -> Column:
         starts = F.when(F.size(words) >= length, F.sequence(F.lit(1), F.size(words) - (length - 1)))
         return F.coalesce(F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(length)), " ")), F.array().cast("array<string>"))
 
@@ -89,7 +89,9 @@ def mention_edges(texts: DataFrame, entities: DataFrame) -> DataFrame:
     normal = texts.select("page_id", X.normalize_name(F.col("text")).alias("_normal"))
     if not lengths:
         lengths = [1]
-    all_runs = F.array_distinct(F.concat(*[runs(n) for n in sorted(lengths)]))
+    all_runs = let(
+        F.split(F.col("_normal"), " "), lambda words: F.array_distinct(F.concat(*[runs(words, n) for n in sorted(lengths)]))
+    )
     candidates = (
         normal.select(F.col("page_id").alias("src_page_id"), F.explode(all_runs).alias("_lead"))
         .join(named, "_lead")

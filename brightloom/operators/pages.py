@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from brightloom.functions import scalars as S
 from brightloom.functions import text as X
+from brightloom.functions.binding import let
 from brightloom.functions.html import DropRules, scan_html
 
 # Fixed values.
@@ -73,11 +74,14 @@ def _content_blocks(blocks: Column, sections: Column) -> Column:
         )
         return (block["text"] != "") & ~dense
 
-    def placed(block: Column) -> Column:
-        section = F.when(block["headings_before"] > 0, F.get(sections, block["headings_before"] - 1))
-        return F.struct(section["heading_path"].alias("heading_path"), block["text"].alias("text"))
+    def placed(paths: Column) -> Column:
+        def place(block: Column) -> Column:
+            path = F.when(block["headings_before"] > 0, F.get(paths, block["headings_before"] - 1))
+            return F.struct(path.alias("heading_path"), block["text"].alias("text"))
 
-    return F.transform(F.filter(blocks, is_content), placed)
+        return F.transform(F.filter(blocks, is_content), place)
+
+    return let(F.transform(sections, lambda s: s["heading_path"]), placed)
 
 
 def _path_has_marker(heading_path: Column, markers: Column) -> Column:
@@ -88,8 +92,12 @@ def _path_has_marker(heading_path: Column, markers: Column) -> Column:
 
 def _before_first(items: Column, matches: Callable[[Column], Column]) -> Column:
     """Items up to, and without, the first match."""
-    hits = F.filter(F.transform(items, lambda item, i: F.when(matches(item), i)), lambda i: i.isNotNull())
-    return F.when(F.size(hits) > 0, F.slice(items, F.lit(1), F.array_min(hits))).otherwise(items)
+
+    def cut(xs: Column) -> Column:
+        first = F.array_min(F.filter(F.transform(xs, lambda x, i: F.when(matches(x), i)), lambda i: i.isNotNull()))
+        return let(first, lambda at: F.when(at.isNotNull(), F.slice(xs, F.lit(1), at)).otherwise(xs))
+
+    return let(items, cut)
 
 
 def clean_pages(pages: DataFrame, source_rules: DataFrame) -> DataFrame:
@@ -196,8 +204,7 @@ def chunk_texts(blocks: Column, max_chars: int = CHUNK_MAX_CHARS, overlap_chars:
         return F.when(too_long, cut_up).otherwise(packed)
 
     def pack(state: Column, block: Column) -> Column:
-        # A one-element transform names the intermediate state, so it is computed once.
-        return F.get(F.transform(F.array(close_path(state, block)), lambda s: add_block(s, block)), F.lit(0))
+        return let(close_path(state, block), lambda s: add_block(s, block))
 
     def finish(state: Column) -> Column:
         return append_if(state["chunks"], state["pending"] != "", state["path"], X.trim_all(state["pending"]))
@@ -228,13 +235,16 @@ def chunk_pages(
 def markdown(title: Column, blocks: Column) -> Column:
     """Cleaned text of a page: title, a heading wherever the path changes, blocks."""
 
-    def with_heading(block: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(blocks, i - 1)["heading_path"])
-        heads = block["heading_path"].isNotNull() & ~block["heading_path"].eqNullSafe(before)
-        head = F.when(heads, F.concat(F.lit("## "), block["heading_path"]))
-        return F.array_compact(F.array(head, block["text"]))
+    def with_headings(all_blocks: Column) -> Column:
+        def with_heading(block: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(all_blocks, i - 1)["heading_path"])
+            heads = block["heading_path"].isNotNull() & ~block["heading_path"].eqNullSafe(before)
+            head = F.when(heads, F.concat(F.lit("## "), block["heading_path"]))
+            return F.array_compact(F.array(head, block["text"]))
+
+        return F.flatten(F.transform(all_blocks, with_heading))
 
-    parts = F.flatten(F.transform(blocks, with_heading))
+    parts = let(blocks, with_headings)
     titled = F.when(title.isNotNull(), F.concat(F.array(F.concat(F.lit("# "), title)), parts)).otherwise(parts)
     return F.array_join(titled, "\n\n")
 

@@ -68,7 +68,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT CAST(doc_id AS STRING) AS page_id, source AS source_id,
              concat('https://Docs.example/d/', CAST(doc_id % 900 AS STRING), '?utm=', CAST(doc_id AS STRING), '&v=1#top') AS url,
              text AS html, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE concat('The Doc ', CAST(doc_id % 300 AS STRING)) END AS title,
-             concat('type', CAST(doc_id % 11 AS STRING)) AS page_type, lang AS language,
+             concat('type', CAST(doc_id % 300 % 11 AS STRING)) AS page_type, lang AS language,
              CASE WHEN doc_id % 13 = 0 THEN 'deprecated' ELSE 'active' END AS lifecycle,
              TIMESTAMP '2024-01-30 00:00:00' - CAST(doc_id % 120 AS INT) * INTERVAL '1' DAY AS crawled_at, doc_id AS seq
            FROM {documents}""",
