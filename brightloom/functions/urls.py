@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightloom.functions.binding import let
+from brightloom.functions.shaping import let
 
 _URL = "^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#\\s]+)([^?#]*)(\\?[^#]*)?(#.*)?$"
 _DEFAULT_PORT = "^(http://.*):80$|^(https://.*):443$"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brightloom.functions import text as X
-from brightloom.functions.binding import let
+from brightloom.functions.shaping import let, unrolled
 from brightloom.functions.urls import absolute_url
 from brightloom.operators.ordered import BLOCK_ROWS, best_before
 from brightloom.operators.pages import page_links
@@ -93,7 +93,7 @@ def mention_edges(texts: DataFrame, entities: DataFrame) -> DataFrame:
         F.split(F.col("_normal"), " "), lambda words: F.array_distinct(F.concat(*[runs(words, n) for n in sorted(lengths)]))
     )
     candidates = (
-        normal.select(F.col("page_id").alias("src_page_id"), F.explode(all_runs).alias("_lead"))
+        unrolled(normal, ["page_id"], all_runs, "_lead").select(F.col("page_id").alias("src_page_id"), "_lead")
         .join(named, "_lead")
         .filter(F.col("canonical_page_id") != F.col("src_page_id"))
         .drop("_lead")

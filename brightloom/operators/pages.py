@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from brightloom.functions import scalars as S
 from brightloom.functions import text as X
-from brightloom.functions.binding import let
 from brightloom.functions.html import DropRules, scan_html
+from brightloom.functions.shaping import let, unrolled
 
 # Fixed values.
 PATH_SEPARATOR = " > "
@@ -219,7 +219,7 @@ def chunk_pages(
     pages: DataFrame, max_chars: int = CHUNK_MAX_CHARS, overlap_chars: int = CHUNK_OVERLAP_CHARS
 ) -> DataFrame:
     """One row per chunk; its id is the page's id and its position in the page."""
-    exploded = pages.select("page_id", F.posexplode(chunk_texts(F.col("blocks"), max_chars, overlap_chars)).alias("ord", "_chunk"))
+    exploded = unrolled(pages, ["page_id"], chunk_texts(F.col("blocks"), max_chars, overlap_chars), "_chunk", "ord")
     text = F.col("_chunk.text")
     return exploded.select(
         F.concat_ws(":", F.col("page_id"), F.col("ord").cast("string")).alias("chunk_id"),
@@ -255,20 +255,20 @@ def page_markdown(pages: DataFrame) -> DataFrame:
 
 def page_sections(pages: DataFrame) -> DataFrame:
     """Heading rows; cleaning leaves gaps in `ord` rather than moving later headings up."""
-    return pages.select("page_id", F.explode("sections").alias("_section")).select(
+    return unrolled(pages, ["page_id"], F.col("sections"), "_section").select(
         F.concat(F.col("page_id"), F.lit(":sec:"), F.col("_section.ord").cast("string")).alias("section_id"), "page_id", "_section.*"
     )
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", F.posexplode("blocks").alias("ord", "_block")).select("page_id", "ord", "_block.*")
+    return unrolled(pages, ["page_id"], F.col("blocks"), "_block", "ord").select("page_id", "ord", "_block.*")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "source_id", "url", F.posexplode("links").alias("ord", "_link")).select(
+    return unrolled(pages, ["page_id", "source_id", "url"], F.col("links"), "_link", "ord").select(
         "page_id", "source_id", "url", "ord", "_link.href", F.col("_link.text").alias("link_text")
     )
 
 
 def page_images(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", F.posexplode("images").alias("ord", "_image")).select("page_id", "ord", "_image.*")
+    return unrolled(pages, ["page_id"], F.col("images"), "_image", "ord").select("page_id", "ord", "_image.*")

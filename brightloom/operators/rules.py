@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brightloom.functions import text as X
+from brightloom.functions.shaping import unrolled
 from brightloom.functions.urls import canonical_url
 from brightloom.session import HOT_KEY_ROWS, cut_lineage, lookup_join
 
@@ -376,9 +377,8 @@ VERDICT_COLUMNS = [
 
 def rule_events(decided: DataFrame, created_at: Column) -> DataFrame:
     """The audit trail: one row per page and rule outcome."""
-    return decided.select("page_id", F.posexplode("outcomes").alias("ord", "_outcome")).select(
-        "page_id", "ord", "_outcome.*", created_at.alias("created_at")
-    ).withColumnRenamed("status", "outcome")
+    rows = unrolled(decided, ["page_id"], F.col("outcomes"), "_outcome", "ord")
+    return rows.select("page_id", "ord", "_outcome.*", created_at.alias("created_at")).withColumnRenamed("status", "outcome")
 
 
 def append_rule_events(events: DataFrame, folder: str) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightloom.functions import text as X
+from brightloom.functions.shaping import unrolled
 
 # BM25 parameters and the weight of a term that most chunks contain.
 BM25_K1 = 1.2
@@ -28,7 +29,7 @@ def build_index(chunks: DataFrame) -> TextIndex:
     tokens = X.index_tokens(F.concat_ws(" ", F.col("text"), F.col("heading_path")))
     tokenized = chunks.select("chunk_id", tokens.alias("_tokens"))
     postings = (
-        tokenized.select("chunk_id", F.explode("_tokens").alias("term"))
+        unrolled(tokenized, ["chunk_id"], F.col("_tokens"), "term")
         .groupBy("term", "chunk_id")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -63,7 +64,7 @@ def keyword_hits(queries: DataFrame, index: TextIndex, k: int, strict_ascii: boo
     query is that common. A query without terms finds nothing.
     """
     terms = (
-        queries.select("query_id", F.explode(X.query_tokens(F.col("text"), strict_ascii)).alias("term"))
+        unrolled(queries, ["query_id"], X.query_tokens(F.col("text"), strict_ascii), "term")
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("repeats"))
     )

@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.sources.tables import read_table
+from brightloom.sources.tables import read_table, spread_small_scan
+
+# Tables whose rows are long texts or vectors, worth a shuffle to use every core.
+COSTLY_ROWS = ("documents", "pages", "embeddings")
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     # Typed event log; the sources mix upper and lower case on purpose.
@@ -67,8 +70,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         ("documents",),
         """SELECT CAST(doc_id AS STRING) AS page_id, source AS source_id,
              concat('https://Docs.example/d/', CAST(doc_id % 900 AS STRING), '?utm=', CAST(doc_id AS STRING), '&v=1#top') AS url,
-             text AS html, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE concat('The Doc ', CAST(doc_id % 300 AS STRING)) END AS title,
-             concat('type', CAST(doc_id % 300 % 11 AS STRING)) AS page_type, lang AS language,
+             text AS html, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE concat('The Doc ', CAST(doc_id % 303 AS STRING)) END AS title,
+             concat('type', CAST(doc_id % 303 % 11 AS STRING)) AS page_type, lang AS language,
              CASE WHEN doc_id % 13 = 0 THEN 'deprecated' ELSE 'active' END AS lifecycle,
              TIMESTAMP '2024-01-30 00:00:00' - CAST(doc_id % 120 AS INT) * INTERVAL '1' DAY AS crawled_at, doc_id AS seq
            FROM {documents}""",
@@ -103,7 +106,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A derived view, or one of the driver's tables."""
     if name not in VIEWS:
-        return read_table(spark, root, name)
+        stored = read_table(spark, root, name)
+        return spread_small_scan(stored) if name in COSTLY_ROWS else stored
     inputs, text = VIEWS[name]
     return spark.sql(text, **{i: table(spark, root, i) for i in inputs}) if inputs else spark.sql(text)
 
