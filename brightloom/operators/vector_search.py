@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 # Queries held by every task at once; more of them take further passes over the vectors.
 QUERIES_PER_PASS = 1024
+SCORE_DIGITS = 9
 BEST_TYPE = "query_id string, vector_id string, score double"
 
 
@@ -39,7 +40,8 @@ def _pass(vectors: DataFrame, rows: list, k: int) -> DataFrame:
                 continue
             vector_ids = np.asarray(batch.column("vector_id").to_pylist(), dtype=object)
             namespaces = np.asarray(batch.column("namespace").to_pylist(), dtype=object)
-            scores = _unit_rows(_matrix(batch.column("embedding"))) @ unit_queries.T
+            # Rounded, so that equal vectors score alike wherever they stand in a batch.
+            scores = np.round(_unit_rows(_matrix(batch.column("embedding"))) @ unit_queries.T, SCORE_DIGITS)
             for q, namespace in enumerate(wanted):
                 column, names = scores[:, q], vector_ids
                 if namespace is not None:
