@@ -82,7 +82,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "vectors": (
         ("embeddings",),
-        """SELECT CAST(vec_id AS STRING) AS vector_id, embedding, concat('type', CAST(label AS STRING)) AS namespace, vec_id AS seq
+        """SELECT CAST(vec_id AS STRING) AS vector_id, embedding, concat('type', CAST(label AS STRING)) AS namespace, label % 3 + 1 AS source_tier
            FROM {embeddings}""",
     ),
     # Every benchmark item searches with its text and with the vector stored under its number.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from brightloom.operators import embed, lookups, upsert, verify
 from brightloom.operators import pages as P
-from brightloom.operators.hybrid import Corpus, SearchFilters, SearchOptions, fuse_ranks, hybrid_search
+from brightloom.operators.hybrid import Corpus, SearchFilters, SearchOptions, filter_vectors, fuse_ranks, hybrid_search
 from brightloom.operators.indexing import index_pages
 from brightloom.operators.text_index import build_index, index_differences, keyword_hits, TextIndex
 from brightloom.operators.vector_search import nearest_vectors, vectors_by_id
@@ -42,13 +42,13 @@ def vector_topk(t):
     f"""SELECT query_id, vector_id, round(score, 6) AS score, rank FROM (
           SELECT query_id, vector_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS rank
           FROM (SELECT q.query_id, v.vector_id, {_cosine('q.embedding', 'v.embedding')} AS score
-                FROM search_queries q JOIN vectors v ON v.namespace = q.namespace AND v.seq >= 10))
+                FROM search_queries q JOIN vectors v ON v.namespace = q.namespace AND v.source_tier <= 2))
         WHERE rank <= 10""",
     ("search_queries", "vectors"),
 )
 def vector_topk_filtered(t):
     """Every query stays in the namespace of its own vector; a metadata bound applies to all."""
-    return nearest_vectors(t("search_queries"), t("vectors").filter("seq >= 10"), TOP_K)
+    return nearest_vectors(t("search_queries"), filter_vectors(t("vectors"), SearchFilters(tiers_max=2)), TOP_K)
 
 
 @query(
