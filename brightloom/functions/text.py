@@ -11,8 +11,16 @@ from pyspark.sql import functions as F
 WHITESPACE = "\\t\\n\\x0B\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}"
 
 
+# The same characters one by one.
+WHITESPACE_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trim_all(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{WHITESPACE}]+|[{WHITESPACE}]+\\z", "")
+    return F.btrim(text, F.lit(WHITESPACE_CHARS))
+
+
+def trim_end(text: Column) -> Column:
+    return F.rtrim(text, F.lit(WHITESPACE_CHARS))
 
 
 def single_spaced(text: Column) -> Column:
@@ -31,8 +39,7 @@ def first_paragraph(text: Column, max_chars: int) -> Column:
     """First paragraph that is not blank, cut to `max_chars`; empty text if there is none."""
     paragraphs = F.transform(F.split(text, f"\\n[{WHITESPACE}]*\\n"), trim_all)
     first = F.coalesce(F.try_element_at(F.filter(paragraphs, lambda p: p != ""), F.lit(1)), F.lit(""))
-    cut = F.regexp_replace(F.substring(first, 1, max_chars), f"[{WHITESPACE}]+\\z", "")
-    return F.when(F.length(first) > max_chars, cut).otherwise(first)
+    return F.when(F.length(first) > max_chars, trim_end(F.substring(first, 1, max_chars))).otherwise(first)
 
 
 def normalize_name(text: Column) -> Column:

@@ -184,7 +184,7 @@ def chunk_texts(blocks: Column, max_chars: int = CHUNK_MAX_CHARS, overlap_chars:
         text = block["text"]
         too_long = F.length(text) > max_chars
         joined = F.concat(state["pending"], gap, text)
-        closes = (state["pending"] != "") & (too_long | (F.length(joined) > max_chars))
+        closes = (state["pending"] != "") & (too_long | (F.length(state["pending"]) + F.length(text) > max_chars - 2))
         closed = X.trim_all(state["pending"])
         chunks = append_if(state["chunks"], closes, state["path"], closed)
         carry = F.when(closes, tail(closed)).otherwise(state["carry"])

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightloom.functions import text as X
-from brightloom.functions.shaping import unrolled
+from brightloom.functions.shaping import let, unrolled
 
 # BM25 parameters and the weight of a term that most chunks contain.
 BM25_K1 = 1.2
@@ -26,14 +26,38 @@ class TextIndex:
 
 def build_index(chunks: DataFrame) -> TextIndex:
     """Index the text and the heading path of chunks as one bag of words."""
-    tokens = X.index_tokens(F.concat_ws(" ", F.col("text"), F.col("heading_path")))
-    tokenized = chunks.select("chunk_id", tokens.alias("_tokens"))
-    postings = (
-        unrolled(tokenized, ["chunk_id"], F.col("_tokens"), "term")
-        .groupBy("term", "chunk_id")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    words = X.index_tokens(F.concat_ws(" ", F.col("text"), F.col("heading_path")))
+    tokenized = chunks.select("chunk_id", F.array_sort(words).alias("_words"))
+    postings = unrolled(tokenized, ["chunk_id"], _counted(F.col("_words")), "_posting").select(
+        "_posting.term", "chunk_id", "_posting.tf"
     )
-    return TextIndex(postings, tokenized.select("chunk_id", F.size("_tokens").alias("terms")))
+    return TextIndex(postings, tokenized.select("chunk_id", F.size("_words").alias("terms")))
+
+
+def _counted(sorted_words: Column) -> Column:
+    """Distinct words of a sorted list with their counts.
+
+    All words of a chunk are in one row, so they are counted there: where each run of equal
+    words starts, and how far it is to the next. Nothing has to be shuffled for it.
+    """
+
+    def runs(words: Column) -> Column:
+        starts = F.filter(
+            F.transform(words, lambda w, i: F.when((i == 0) | (w != F.get(words, i - 1)), i)), lambda i: i.isNotNull()
+        )
+
+        def measured(at: Column) -> Column:
+            return F.transform(
+                at,
+                lambda i, n: F.struct(
+                    F.get(words, i).alias("term"),
+                    (F.coalesce(F.get(at, n + 1), F.size(words)) - i).cast("long").alias("tf"),
+                ),
+            )
+
+        return let(starts, measured)
+
+    return let(sorted_words, runs)
 
 
 def replace_in_index(index: TextIndex, changed_pages: DataFrame, new_chunks: DataFrame) -> TextIndex:

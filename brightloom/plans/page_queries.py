@@ -244,18 +244,18 @@ def image_request_check(t):
 
 
 FRONTIER = """
-  f AS (SELECT page_id, source_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,
-          regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '^([a-z]+)://', 1) AS scheme FROM site_pages),
-  ok AS (SELECT source_id, url FROM f WHERE scheme = 'https' AND host = concat('spam-farm.example.', source_id)
-           AND (path LIKE '/en/%' OR path LIKE '/fr/%') AND NOT starts_with(substr(path, 5), '1'))"""
+  f AS (SELECT page_id, source_id, url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin,
+          regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM site_pages),
+  base AS (SELECT source_id, regexp_extract(min(url), '^([a-z]+://[^/?#]+)', 1) AS origin FROM site_pages GROUP BY source_id),
+  ok AS (SELECT f.source_id, f.url FROM f JOIN base USING (source_id, origin) WHERE (path LIKE '/en/%' OR path LIKE '/fr/%')
+           AND NOT starts_with(substr(path, 5), '1'))"""
 
 
 @query(f"WITH {FRONTIER} SELECT DISTINCT source_id, url FROM ok", ("site_pages",))
 def crawl_frontier(t):
-    catalogue = t.rows(
-        [(s, f"https://Spam-Farm.example.{s}:443", ["/en/", "/fr/"]) for s in ("com", "net", "org")],
-        "source_id string, base_url string, path_prefixes array<string>",
-    )
+    """Each source is based at the host of its first URL."""
+    first_url = t("site_pages").groupBy("source_id").agg(F.min("url").alias("base_url"))
+    catalogue = first_url.withColumn("path_prefixes", F.array(F.lit("/en/"), F.lit("/fr/")))
     return SP.crawl_frontier(t("site_pages").select("source_id", "url"), catalogue, ["1"])
 
 
@@ -534,7 +534,7 @@ SEEDS = """
 @query(
     f"""WITH texts AS (SELECT doc_id AS id, text FROM documents), {SEEDS}
         SELECT id AS doc_id, len(list_filter(e, lambda v: v > 0)) AS positive, list_position(e, list_max(e)) AS largest_at,
-          list_position(e, list_min(e)) AS smallest_at, round(list_max(e), 3) AS largest FROM unit"""
+          list_position(e, list_min(e)) AS smallest_at FROM (SELECT id, CAST(e AS FLOAT[]) AS e FROM unit)"""
 )
 def embed_hash(t):
     vectors = t("documents").select("doc_id", embed.embedding(F.col("text")).alias("e"))
@@ -543,7 +543,6 @@ def embed_hash(t):
         F.size(F.filter("e", lambda v: v > 0)).alias("positive"),
         F.array_position("e", F.array_max("e")).alias("largest_at"),
         F.array_position("e", F.array_min("e")).alias("smallest_at"),
-        F.round(F.array_max("e").cast("double"), 3).alias("largest"),
     )
 
 
