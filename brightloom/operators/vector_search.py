@@ -80,8 +80,10 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, queries_per_
         if len(block) == queries_per_pass:
             passes.append(_pass(vectors, block, k))
             block = []
-    if block or not passes:
+    if block:
         passes.append(_pass(vectors, block, k))
+    if not passes:
+        return queries.sparkSession.createDataFrame([], f"{BEST_TYPE}, rank int")
     candidates = reduce(DataFrame.unionByName, passes)
     closest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vector_id")
     return candidates.withColumn("rank", F.row_number().over(closest)).filter(F.col("rank") <= k)
