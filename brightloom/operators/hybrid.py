@@ -177,7 +177,7 @@ def expand_results(primary: DataFrame, corpus: Corpus, options: SearchOptions) -
     reached = edges.join(from_results, "src_page_id").join(already, ["query_id", "dst_page_id"], "left_anti")
     order = ["_parent", "edge_type", F.desc("weight"), "edge_id"]
     first_way = Window.partitionBy("query_id", "dst_page_id").orderBy(*order)
-    targets = reached.withColumn("_way", F.row_number().over(first_way)).filter(F.col("_way") == 1)
+    targets = cut_lineage(reached.withColumn("_way", F.row_number().over(first_way)).filter(F.col("_way") == 1))
     first_chunks = (
         corpus.chunks.join(targets.select(F.col("dst_page_id").alias("page_id")).distinct(), "page_id", "left_semi")
         .groupBy("page_id")
@@ -202,7 +202,9 @@ def expand_results(primary: DataFrame, corpus: Corpus, options: SearchOptions) -
 
 def hybrid_search(queries: DataFrame, corpus: Corpus, options: SearchOptions) -> DataFrame:
     """Ranked results for queries `(query_id, text, embedding)`, all queries in one plan."""
-    fused = fuse_ranks(ranked_arms(queries, corpus, options))
+    # A few dozen rows per query. Once written their size is known, and the joins with the
+    # chunk and page tables can send them to the tables instead of shuffling those.
+    fused = cut_lineage(fuse_ranks(ranked_arms(queries, corpus, options)))
     primary = primary_results(fused, corpus, options)
     if not options.expand:
         return primary

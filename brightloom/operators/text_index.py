@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brightloom.functions import text as X
@@ -60,6 +60,20 @@ def _counted(sorted_words: Column) -> Column:
     return let(sorted_words, runs)
 
 
+def write_index(index: TextIndex, folder: str) -> None:
+    """Write the index so that a search for some words reads only the files that hold them.
+
+    Ranges of (term, chunk) also split a word found in a third of all chunks over many files.
+    """
+    ranged = index.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+    ranged.write.mode("overwrite").parquet(f"{folder}/postings")
+    index.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+
+
+def read_index(spark: SparkSession, folder: str) -> TextIndex:
+    return TextIndex(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"))
+
+
 def replace_in_index(index: TextIndex, changed_pages: DataFrame, new_chunks: DataFrame) -> TextIndex:
     """The index after all chunks of some pages were replaced by `new_chunks`."""
     fresh = build_index(new_chunks)
@@ -92,11 +106,9 @@ def keyword_hits(queries: DataFrame, index: TextIndex, k: int, strict_ascii: boo
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("repeats"))
     )
-    frequency = (
-        index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
+    # Only postings of words somebody asked for go any further.
+    asked = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+    frequency = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighed = terms.join(frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rarest = weighed.groupBy("query_id").agg(
         F.min_by("term", F.struct("df", "term")).alias("term"), F.min("df").alias("_least"), F.count(F.lit(1)).alias("n_terms")
@@ -106,12 +118,12 @@ def keyword_hits(queries: DataFrame, index: TextIndex, k: int, strict_ascii: boo
 
     candidates = (
         rarest.filter(F.col("_least") > 0)
-        .join(index.postings, "term")
+        .join(asked, "term")
         .select("query_id", "chunk_id", "n_terms")
         .join(index.lengths, "chunk_id")
     )
     wanted = candidates.join(weighed.select("query_id", "term", "repeats", "df"), "query_id")
-    found = wanted.join(index.postings, ["chunk_id", "term"])
+    found = wanted.join(asked, ["chunk_id", "term"])
     idf = F.ln((n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(MIN_IDF)).otherwise(idf)
     norm = F.lit(BM25_K1) * (F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("terms") / mean_terms)

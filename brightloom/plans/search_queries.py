@@ -105,9 +105,9 @@ def _chunks(t):
 
 
 def _stored_index(chunks):
-    """The index as a stored table: searches read its postings several times."""
+    """The index as stored tables: searches read them several times."""
     index = build_index(chunks)
-    return TextIndex(cut_lineage(index.postings), index.lengths)
+    return TextIndex(cut_lineage(index.postings), cut_lineage(index.lengths))
 
 
 def _passages(t):

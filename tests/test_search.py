@@ -93,6 +93,14 @@ def test_index_follows_replaced_pages(spark):
     assert replaced.lengths.filter("chunk_id = '1:0'").collect()[0]["terms"] == 3
 
 
+def test_written_index_finds_the_same(spark, tmp_path):
+    index = build_index(chunk_table(spark, ["red fox", "red dog", "fox"]))
+    text_index.write_index(index, str(tmp_path / "index"))
+    asked = queries(spark, a="fox", b="red dog")
+    hits = [keyword_hits(asked, i, 5).orderBy("query_id", "rank").collect() for i in (index, text_index.read_index(spark, str(tmp_path / "index")))]
+    assert hits[0] == hits[1] and len(hits[0]) == 3
+
+
 def test_damaged_index_is_noticed(spark):
     chunks = chunk_table(spark, ["one two two"])
     index = build_index(chunks)
