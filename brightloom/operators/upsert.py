@@ -44,20 +44,25 @@ PAGE_REFRESHED = ["canonical_url", "title", "page_type", "summary", "language",
 def upsert_pages(current: DataFrame, changes: DataFrame) -> DataFrame:
     """Pages after a crawl: by (source, URL), counting versions, unchanged bytes untouched."""
     keys = ["source_id", "url"]
-    stored = current.select(*keys, F.col("content_hash").alias("_stored_hash"))
-    changed = (
-        changes.join(stored, keys, "left")
-        .filter(~F.col("content_hash").eqNullSafe(F.col("_stored_hash")))
-        .drop("_stored_hash")
-        .withColumn("version", F.lit(1))
-        .withColumn("lifecycle", F.lit("active"))
-    )
-    marked = changed.select(*keys, F.lit(1).alias("_step"))
-    merged = keyed_upsert(current, changed, keys, PAGE_REFRESHED)
-    known = current.select(*keys, F.lit(True).alias("_known"))
-    counted = merged.join(marked, keys, "left").join(known, keys, "left")
-    step = F.when(F.col("_known"), F.coalesce("_step", F.lit(0))).otherwise(0)
-    return counted.withColumn("version", F.col("version") + step).select(*current.columns)
+    offered = [c for c in current.columns if c in changes.columns and c not in keys]
+    left = current.select(*keys, F.struct(*[c for c in current.columns if c not in keys]).alias("_old"), F.lit(True).alias("_known"))
+    right = changes.select(*keys, F.struct(*offered).alias("_new"), F.lit(True).alias("_crawled"))
+    both = left.join(right, keys, "full")
+    is_new = F.col("_known").isNull()
+    differs = F.col("_crawled").isNotNull() & ~F.col("_old.content_hash").eqNullSafe(F.col("_new.content_hash"))
+
+    def after(name: str) -> Column:
+        if name in keys:
+            return F.col(name)
+        old = F.col(f"_old.{name}")
+        if name == "version":
+            return F.when(is_new, F.lit(1)).when(differs, old + 1).otherwise(old)
+        if name == "lifecycle":
+            return F.when(is_new, F.lit("active")).otherwise(old)
+        new = F.col(f"_new.{name}") if name in offered else F.lit(None)
+        return F.when(is_new | differs if name in PAGE_REFRESHED else is_new, new).otherwise(old)
+
+    return both.select(*[after(name).alias(name) for name in current.columns])
 
 
 def upsert_sources(current: DataFrame, changes: DataFrame) -> DataFrame:

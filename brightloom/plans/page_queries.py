@@ -132,8 +132,11 @@ DEDUPED = """
     ("doc_pages",),
 )
 def rules_dedup(t):
-    pages = t("doc_pages").select(
-        "page_id", "source_id", "seq", F.sha2("html", 256).alias("content_hash"), U.canonical_url(F.col("url"), ["utm"]).alias("canonical_url")
+    # Narrow rows, written once: the decision reads them several times, the text only here.
+    pages = cut_lineage(
+        t("doc_pages").select(
+            "page_id", "source_id", "seq", F.sha2("html", 256).alias("content_hash"), U.canonical_url(F.col("url"), ["utm"]).alias("canonical_url")
+        )
     )
     empty = pages.filter(F.lit(False))
     done = rules.dedup(pages, empty, rules.load_rules(_rules(t), "dedup"))

@@ -308,3 +308,16 @@ def test_verify_is_clean_for_a_clean_store(spark):
     assert report["ok"] and report["pages_with_validation_failures"] == 1
     other = verify.verify_report(store, "another model").collect()[0]
     assert not other["ok"] and other["chunks_lacking_embedding"] == 5
+
+
+def test_second_crawl_of_pages(spark):
+    shape = "page_id string, source_id string, url string, title string, content_hash string, lifecycle string, version int, crawled_at int, updated_at int"
+    current = spark.createDataFrame([("a", "s", "/a", "old", "h1", "deprecated", 3, 1, 1), ("b", "s", "/b", "old", "h1", "active", 1, 1, 1), ("c", "s", "/c", "old", "h1", "active", 1, 1, 1)], shape)
+    crawl = spark.createDataFrame([("x", "s", "/a", None, "h2", 9, 9), ("y", "s", "/b", "new", "h1", 9, 9), ("z", "s", "/z", "new", "h3", 9, 9)], "page_id string, source_id string, url string, title string, content_hash string, crawled_at int, updated_at int")
+    got = sorted(tuple(r) for r in upsert.upsert_pages(current, crawl).select(*[f.split()[0] for f in shape.split(", ")]).collect())
+    assert got == [
+        ("a", "s", "/a", None, "h2", "deprecated", 4, 1, 9),
+        ("b", "s", "/b", "old", "h1", "active", 1, 1, 1),
+        ("c", "s", "/c", "old", "h1", "active", 1, 1, 1),
+        ("z", "s", "/z", "new", "h3", "active", 1, 9, 9),
+    ]
