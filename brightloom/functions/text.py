@@ -23,22 +23,19 @@ def trim_end(text: Column) -> Column:
     return F.rtrim(text, F.lit(WHITESPACE_CHARS))
 
 
-def single_spaced(text: Column) -> Column:
-    """Every run of white space becomes one space; none at the ends."""
-    return F.trim(F.regexp_replace(text, f"[{WHITESPACE}]+", " "))
-
-
 def collapse_whitespace(text: Column) -> Column:
-    """Tidy text but keep its lines: single blanks, clean line ends, at most one empty line."""
-    blanks = F.regexp_replace(text, "[ \\t]+", " ")
-    line_ends = F.regexp_replace(blanks, f"[{WHITESPACE.replace(chr(92) + 'n', '')}]+(\\n|\\z)", "$1")
+    """Tidy text but keep its lines: single blanks, clean line ends, at most one empty line.
+
+    The patterns match only what has to change, so ordinary prose is read and not rebuilt.
+    """
+    blanks = F.regexp_replace(text, "\\t[ \\t]*| [ \\t]+", " ")
+    line_ends = F.regexp_replace(blanks, f"[{WHITESPACE.replace(chr(92) + 'n', '')}]+\\n", "\n")
     return trim_all(F.regexp_replace(line_ends, "\\n{3,}", "\n\n"))
 
 
 def first_paragraph(text: Column, max_chars: int) -> Column:
     """First paragraph that is not blank, cut to `max_chars`; empty text if there is none."""
-    paragraphs = F.transform(F.split(text, f"\\n[{WHITESPACE}]*\\n"), trim_all)
-    first = F.coalesce(F.try_element_at(F.filter(paragraphs, lambda p: p != ""), F.lit(1)), F.lit(""))
+    first = trim_all(F.get(F.split(trim_all(text), f"\\n[{WHITESPACE}]*\\n", 2), F.lit(0)))
     return F.when(F.length(first) > max_chars, trim_end(F.substring(first, 1, max_chars))).otherwise(first)
 
 

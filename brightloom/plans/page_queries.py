@@ -558,7 +558,7 @@ LINKED = f"""{MARKUP_ORACLE},
 
 
 @query(
-    f"""WITH {LINKED} SELECT page_id AS src_page_id, dst_page_id, dst_url, 'link' AS edge_type, 1.0 AS weight, evidence
+    f"""WITH {LINKED} SELECT page_id AS src_page_id, dst_page_id, dst_url, 'link' AS edge_type, 1.0::DOUBLE AS weight, evidence
         FROM firsts LEFT JOIN known USING (source_id, dst_url) WHERE dst_page_id IS DISTINCT FROM page_id"""
 )
 def link_edges(t):
