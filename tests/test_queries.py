@@ -5,7 +5,8 @@ import re
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, oracle_sql
+from brightloom.plans.registry import QUERIES
 from tools.check_queries import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -17,13 +18,13 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     """Equal rows, and no join without an equality key anywhere in the plan."""
     frames = []
 
     def remembered(session, folder):
-        frames.append(queries()[name](session, folder))
+        frames.append(QUERIES[name](session, folder))
         return frames[-1]
 
     verdict, _ = compare(spark, con, FOLDER, name, remembered, oracle_sql().get(name))
@@ -37,7 +38,7 @@ def test_entry(spark):
 
 
 def test_filters_and_columns_reach_the_files(spark):
-    plan = queries()["events_per_day"](spark, FOLDER)._jdf.queryExecution().explainString(
+    plan = QUERIES["events_per_day"](spark, FOLDER)._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     )
     assert "GreaterThanOrEqual(ts" in plan
