@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from brightloom.llm.pieces import decode_pieces, encode_pieces, piece_digests
 from brightloom.llm.quality import compression_bands
 from brightloom.session import ensure_settings
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,3 +30,9 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
 def op1_compression_bands(spark: SparkSession, root: str) -> DataFrame:
     """Counts of every document and whether its compression lies within the bands."""
     return compression_bands(read(spark, root, "documents"))
+
+
+@query
+def op8_pieces(spark: SparkSession, root: str) -> DataFrame:
+    """Every document encoded with the 32k vocabulary and decoded again, as digests."""
+    return piece_digests(decode_pieces(encode_pieces(read(spark, root, "documents"), PIECES), PIECES))
