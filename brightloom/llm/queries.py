@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from brightloom.llm.pieces import decode_pieces, encode_pieces, piece_digests
 from brightloom.llm.quality import compression_bands
+from brightloom.llm.simhash import near_duplicates
 from brightloom.session import ensure_settings
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -32,6 +34,13 @@ def op1_compression_bands(spark: SparkSession, root: str) -> DataFrame:
     return compression_bands(read(spark, root, "documents"))
 
 
+@query
+def op3_simhash(spark: SparkSession, root: str) -> DataFrame:
+    """Fingerprint and group of near copies of every document."""
+    found = near_duplicates(read(spark, root, "documents"))
+    return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
 @query
 def op8_pieces(spark: SparkSession, root: str) -> DataFrame:
     """Every document encoded with the 32k vocabulary and decoded again, as digests."""
