@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from brightloom.llm.pieces import decode_pieces, encode_pieces, piece_digests
 from brightloom.llm.quality import compression_bands
+from brightloom.llm.repeats import remove_repeats
 from brightloom.llm.simhash import near_duplicates
 from brightloom.session import ensure_settings
 
@@ -41,6 +42,19 @@ def op3_simhash(spark: SparkSession, root: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
+@query
+def op6_repeats(spark: SparkSession, root: str) -> DataFrame:
+    """What is left of every document without its repeated 100-byte passages."""
+    spans = F.col("spans")
+    return remove_repeats(read(spark, root, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate(spans, F.lit(0).cast("bigint"), lambda total, x: total + x["end"] - x["start"]).alias("n_removed"),
+        F.size(spans).cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op8_pieces(spark: SparkSession, root: str) -> DataFrame:
     """Every document encoded with the 32k vocabulary and decoded again, as digests."""
