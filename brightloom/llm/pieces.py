@@ -8,12 +8,13 @@ positions from which no way leads to the end are remembered in a bit field.
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
-import re
-
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -37,10 +38,30 @@ def read_model(path: str) -> tuple[list[tuple[str, float, int]], bool]:
     return [(p.piece, p.score, p.type) for p in model.pieces], model.normalizer_spec.add_dummy_prefix
 
 
+class Remembered(dict):
+    """Packed ids of stretches as they come; when the store is full, the half not used of late is forgotten."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.half, self.older = make, size // 2, {}
+
+    def __missing__(self, part: str) -> bytes:
+        known = self.older.get(part)
+        if known is None:
+            known = self.make(part)
+            if len(part) > 64:  # longer ones hardly come back
+                return known
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[part] = known
+        return known
+
+
 class Codec:
     """Encoder and decoder of one vocabulary. remembered: stretches and pairs kept at once."""
 
-    def __init__(self, path: str, remembered: int = 500_000):
+    def __init__(self, path: str, remembered: int = 800_000):
         pieces, self.prefixed = read_model(path)
         self.remembered = remembered
         self.ids = {piece: i for i, (piece, _, kind) in enumerate(pieces) if kind == NORMAL}
@@ -51,6 +72,7 @@ class Codec:
             bytes([values[i]]) if i in values else piece.replace(SPACE, " ").encode() if kind == NORMAL else b"" for i, (piece, _, kind) in enumerate(pieces)
         ]
         self.raw_bytes = frozenset(values)
+        self.alone = all(c in self.ids for c in set(chain.from_iterable(self.ids)))
         self.known = frozenset(chain.from_iterable(self.ids))
         self.matcher = ahocorasick.Automaton()
         for piece in self.ids:
@@ -59,12 +81,28 @@ class Codec:
         self.whole: dict[str, bool] = {}
         self.spines: dict[tuple[str, bool], list[tuple[str, float, float]] | None] = {}
         self.beside: dict[tuple[str, str], bool] = {}
-        self.stretches: dict[str, tuple[int, ...]] = {}
-        barred = "".join(c for c in map(chr, range(128)) if c not in self.known)
-        if any(SPACE in piece.lstrip(SPACE) for piece in self.ids):
-            self.cut = re.compile(f"[^{re.escape(barred)}]+|[{re.escape(barred)}]")
-        else:  # no piece goes on over a blank, so no merge does
-            self.cut = re.compile(f"{SPACE}*[^{SPACE}{re.escape(barred)}]+|{SPACE}+|[{re.escape(barred)}]")
+        self.stretches = Remembered(self._stretch, remembered // 2)
+        self.words = Remembered(lambda word: self._marked(SPACE + word), remembered // 2)
+        self.cut = self._cuts()
+
+    def _cuts(self) -> re.Pattern:
+        """Stretches that no merge can join: no piece has the two characters beside each other where one ends.
+
+        That holds before a blank, around characters no piece has, and after a letter before an
+        `ending`: an ASCII mark that pieces have only after blanks and what isn't a letter.
+        """
+        pairs = {pair for piece in self.ids for pair in zip(piece, piece[1:])}
+        ascii_ = [c for c in map(chr, range(128)) if not c.isalnum()]
+        barred = re.escape("".join(c for c in ascii_ if c not in self.known))
+        self.by_words = self.prefixed and not any(y == SPACE != x for x, y in pairs)
+        if any(y == SPACE != x for x, y in pairs):  # a piece may reach over a blank
+            return re.compile(f"[^{barred}]+|[{barred}]")
+        marks = sorted(c for c in self.known if not c.isalpha())
+        endings = [y for y in ascii_ if y in self.known and not any(x.isalpha() for x, z in pairs if z == y)]
+        mark, ending = re.escape("".join(marks)), re.escape("".join(endings))
+        rest = f"[^{SPACE}{barred}]*"
+        word = f"{SPACE}*[^{SPACE}{ending}{barred}]+(?:(?<=[{mark}])[{ending}]{rest})?"
+        return re.compile(f"{word}|{SPACE}*[{ending}]{rest}|{SPACE}+|[{barred}]")
 
     def merged(self, symbols: Iterable[str]) -> list[str]:
         """Merge best-scored neighbours, the leftmost first, until no piece can be made."""
@@ -112,7 +150,7 @@ class Codec:
         pair = left, right
         known = self.beside.get(pair)
         if known is None:
-            if len(self.beside) >= self.remembered:
+            if len(self.beside) >= self.remembered // 8:
                 self.beside.clear()
             ends, starts = self.spine(left, True), self.spine(right, False)
             if ends is None or starts is None:
@@ -151,7 +189,9 @@ class Codec:
                 at -= len(found.pop())
         return found
 
-    def _stretch(self, text: str) -> tuple[int, ...]:
+    def _stretch(self, text: str) -> bytes:
+        if self.known.issuperset(text) and self.alone:
+            return array("i", map(self.ids.__getitem__, self._pieces(text))).tobytes()
         ids: list[int] = []
         run: list[str] = []
 
@@ -168,27 +208,21 @@ class Codec:
                 close()
                 ids.extend(self.byte_ids[b] for b in char.encode())
         close()
-        return tuple(ids)
+        return array("i", ids).tobytes()
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
+        """Ids (int32) of a whole text."""
         if not text:
-            return []
-        marked = text.replace(" ", SPACE)
-        parts = self.cut.findall(SPACE + marked if self.prefixed else marked)
-        try:
-            return list(chain.from_iterable(map(self.stretches.__getitem__, parts)))
-        except KeyError:
-            return list(chain.from_iterable(map(self._remembered, parts)))
+            return np.zeros(0, np.int32)
+        if not self.by_words or "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
+            packed = self._marked((SPACE if self.prefixed else "") + text.replace(" ", SPACE))
+        else:
+            packed = b"".join(map(self.words.__getitem__, text.split(" ")))
+        return np.frombuffer(packed, np.int32)
 
-    def _remembered(self, part: str) -> tuple[int, ...]:
-        known = self.stretches.get(part)
-        if known is None:
-            known = self._stretch(part)
-            if len(part) <= 64:  # longer ones hardly come back
-                if len(self.stretches) >= self.remembered:
-                    self.stretches.clear()
-                self.stretches[part] = known
-        return known
+    def _marked(self, text: str) -> bytes:
+        """Packed ids of a text whose blanks are marked."""
+        return b"".join(map(self.stretches.__getitem__, self.cut.findall(text)))
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids; a byte that belongs to no character becomes U+FFFD."""
@@ -223,8 +257,13 @@ def _on_worker(model: str) -> str:
     return SparkFiles.get(model[6:]) if model.startswith("added:") else model
 
 
-def encode_pieces(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, text, ids array<int>): the ids of every whole text; no shuffle.
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate([*found, np.zeros(0, np.int32)]))
+
+
+def encode_pieces(docs: DataFrame, model: str, decoded: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, ids array<int>) of every whole text, with `decoded` also the text made from the ids; no shuffle.
 
     model: path of the vocabulary on every machine, or `added:NAME` for one handed out with
     `SparkContext.addFile`. A null text counts as empty and has no ids; null ids and repeated
@@ -233,12 +272,16 @@ def encode_pieces(docs: DataFrame, model: str, id_column: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(_on_worker(model))
-        for batch in batches:
-            texts = [text or "" for text in batch.column(1).to_pylist()]
-            ids = pa.array([codec.encode(text) for text in texts], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), ids], ["doc_id", "ids"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                found = [codec.encode(text.as_py() or "") for text in batch.column(1)]
+                columns = {"doc_id": batch.column(0).cast(pa.int64()), "ids": _lists(found)}
+                if decoded:
+                    columns["decoded"] = pa.array([codec.decode(ids.tolist()) for ids in found], pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(id_column, text_column).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return docs.select(id_column, text_column).mapInArrow(run, "doc_id bigint, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode_pieces(encoded: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -247,7 +290,7 @@ def decode_pieces(encoded: DataFrame, model: str, keep: tuple[str, ...] = ("doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(_on_worker(model))
         for batch in batches:
-            text = pa.array([codec.decode(ids or []) for ids in batch.column("ids").to_pylist()], pa.string())
+            text = pa.array([codec.decode(ids.as_py() or []) for ids in batch.column("ids")], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, "decoded"])
 
     kept = encoded.select(*keep, "ids")

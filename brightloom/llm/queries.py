@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.llm.pieces import decode_pieces, encode_pieces, piece_digests
+from brightloom.llm.pieces import encode_pieces, piece_digests
 from brightloom.llm.quality import compression_bands
 from brightloom.llm.repeats import remove_repeats
 from brightloom.llm.simhash import near_duplicates
@@ -58,4 +58,4 @@ def op6_repeats(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op8_pieces(spark: SparkSession, root: str) -> DataFrame:
     """Every document encoded with the 32k vocabulary and decoded again, as digests."""
-    return piece_digests(decode_pieces(encode_pieces(read(spark, root, "documents"), PIECES), PIECES))
+    return piece_digests(encode_pieces(read(spark, root, "documents"), PIECES, decoded=True))
