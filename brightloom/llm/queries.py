@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from brightloom.llm.pieces import encode_pieces, piece_digests
 from brightloom.llm.quality import compression_bands
 from brightloom.llm.repeats import remove_repeats
+from brightloom.llm.secrets import scan_secrets, secret_digests
 from brightloom.llm.simhash import near_duplicates
 from brightloom.session import ensure_settings
 
@@ -35,6 +36,13 @@ def op1_compression_bands(spark: SparkSession, root: str) -> DataFrame:
     return compression_bands(read(spark, root, "documents"))
 
 
+@query
+def op2_secrets(spark: SparkSession, root: str) -> DataFrame:
+    """Secrets of every document, told apart by who holds them: a source is an owner, its texts in one language a repository."""
+    docs = read(spark, root, "documents")
+    return secret_digests(scan_secrets(docs, F.col("source"), F.concat_ws("/", "source", "lang")))
+
+
 @query
 def op3_simhash(spark: SparkSession, root: str) -> DataFrame:
     """Fingerprint and group of near copies of every document."""
