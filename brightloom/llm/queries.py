@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brightloom.llm.pii import find_personal_data, personal_digests
 from brightloom.llm.pieces import encode_pieces, piece_digests
 from brightloom.llm.quality import compression_bands
 from brightloom.llm.repeats import remove_repeats
@@ -63,6 +64,12 @@ def op6_repeats(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+@query
+def op7_personal_data(spark: SparkSession, root: str) -> DataFrame:
+    """Personal data of every document, and the words that give it away."""
+    return personal_digests(find_personal_data(read(spark, root, "documents")))
+
+
 @query
 def op8_pieces(spark: SparkSession, root: str) -> DataFrame:
     """Every document encoded with the 32k vocabulary and decoded again, as digests."""

@@ -6,31 +6,38 @@ sums of the lengths of both. Lengths and places count code points, ends are excl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SUM_BLOCK = 256
 
 
-def _sums(values: Column, base: Column) -> Column:
-    """Running sums of a short array, starting from `base`."""
+def _scan(values: Column, base: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Running fold of a short array, starting from `base`."""
     empty = F.struct(base.cast("bigint").alias("total"), F.array().cast("array<bigint>").alias("sums"))
 
-    def step(acc: Column, x: Column) -> Column:
-        total = acc["total"] + x
+    def take(acc: Column, x: Column) -> Column:
+        total = step(acc["total"], x)
         return F.struct(total.alias("total"), F.concat(acc["sums"], F.array(total)).alias("sums"))
 
-    return F.aggregate(values, empty, step, lambda acc: acc["sums"])
+    return F.aggregate(values, empty, take, lambda acc: acc["sums"])
 
 
-def running_sums(values: Column) -> Column:
-    """Running sums of an array of bigint of any length, in blocks, so that appending stays cheap."""
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Running fold (a sum, a maximum; 0 is neutral) of an array of bigint of any length, in blocks, so that appending stays cheap."""
+    zero = F.lit(0).cast("bigint")
     blocks = F.transform(
         F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(values) - 1) / SUM_BLOCK)).cast("int")),
         lambda i: F.slice(values, i * SUM_BLOCK + 1, F.lit(SUM_BLOCK)),
     )
-    totals = _sums(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda a, x: a + x)), F.lit(0))
-    return F.flatten(F.transform(blocks, lambda b, i: _sums(b, F.when(i == 0, F.lit(0)).otherwise(F.get(totals, i - 1)))))
+    totals = _scan(F.transform(blocks, lambda b: F.aggregate(b, zero, step)), zero, step)
+    return F.flatten(F.transform(blocks, lambda b, i: _scan(b, F.when(i == 0, zero).otherwise(F.get(totals, i - 1)), step)))
+
+
+def running_sums(values: Column) -> Column:
+    return running(values, lambda a, x: a + x)
 
 
 SPAN = "array<struct<start: bigint, end: bigint, value: string, part: string>>"
@@ -71,3 +78,26 @@ def overlaps(start: Column, end: Column, others: Column) -> Column:
 def written(spans: Column) -> Column:
     """`kind:start:end` of each span, joined by commas, in the order of the array."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def with_replaced(df: DataFrame, name: str, text: str, spans: str) -> DataFrame:
+    """Add `name`: the text with each stretch of overlapping spans replaced by the label of its first span.
+
+    `spans`: array of structs with `start`, `end` and `label`, sorted by start.
+    """
+    some = F.size(spans) > 0
+    df = df.withColumn("_reach", F.when(some, running(F.transform(spans, lambda s: s["end"].cast("bigint")), lambda a, x: F.greatest(a, x))))
+    numbered = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), i.alias("at"), s["label"].alias("label")))
+    heads = F.filter(numbered, lambda s: (s["at"] == 0) | (s["start"] >= F.get("_reach", s["at"] - 1)))
+    df = df.withColumn("_heads", F.when(some, heads))
+
+    def end(i: Column) -> Column:
+        """Where the stretch before head `i` ends."""
+        return F.when(i == 0, F.lit(0)).otherwise(F.get("_reach", F.get("_heads", i)["at"] - 1)).cast("int")
+
+    def piece(s: Column, i: Column) -> Column:
+        return F.concat(F.substring(F.col(text), end(i) + 1, s["start"].cast("int") - end(i)), s["label"])
+
+    pieces = F.array_join(F.transform("_heads", piece), "")
+    tail = F.substring(F.col(text), F.element_at("_reach", -1).cast("int") + 1, F.length(text))
+    return df.withColumn(name, F.when(some, F.concat(pieces, tail)).otherwise(F.col(text))).drop("_reach", "_heads")
