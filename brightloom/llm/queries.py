@@ -12,6 +12,7 @@ from brightloom.llm.pii import find_personal_data, personal_digests
 from brightloom.llm.pieces import encode_pieces, piece_digests
 from brightloom.llm.quality import compression_bands
 from brightloom.llm.repeats import remove_repeats
+from brightloom.llm.resampling import fit, weigh
 from brightloom.llm.secrets import scan_secrets, secret_digests
 from brightloom.llm.simhash import near_duplicates
 from brightloom.session import ensure_settings
@@ -74,3 +75,10 @@ def op7_personal_data(spark: SparkSession, root: str) -> DataFrame:
 def op8_pieces(spark: SparkSession, root: str) -> DataFrame:
     """Every document encoded with the 32k vocabulary and decoded again, as digests."""
     return piece_digests(encode_pieces(read(spark, root, "documents"), PIECES, decoded=True))
+
+
+@query
+def op10_resampling(spark: SparkSession, root: str) -> DataFrame:
+    """Importance of every document for the labelled good text, and whether it is sampled."""
+    docs = read(spark, root, "documents")
+    return weigh(docs, fit(docs, read(spark, root, "labels")))
