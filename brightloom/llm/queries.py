@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brightloom.llm.decontamination import find_leaks
 from brightloom.llm.pii import find_personal_data, personal_digests
 from brightloom.llm.pieces import encode_pieces, piece_digests
 from brightloom.llm.quality import compression_bands
@@ -77,6 +78,12 @@ def op8_pieces(spark: SparkSession, root: str) -> DataFrame:
     return piece_digests(encode_pieces(read(spark, root, "documents"), PIECES, decoded=True))
 
 
+@query
+def op9_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    """Benchmark items that documents hold, verbatim or edited."""
+    return find_leaks(read(spark, root, "documents"), read(spark, root, "benchmark"))
+
+
 @query
 def op10_resampling(spark: SparkSession, root: str) -> DataFrame:
     """Importance of every document for the labelled good text, and whether it is sampled."""
