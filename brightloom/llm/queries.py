@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.llm.decontamination import find_leaks
+from brightloom.llm.main_text import extract, fit_weights
 from brightloom.llm.pii import find_personal_data, personal_digests
 from brightloom.llm.pieces import encode_pieces, piece_digests
 from brightloom.llm.quality import compression_bands
@@ -16,6 +17,7 @@ from brightloom.llm.repeats import remove_repeats
 from brightloom.llm.resampling import fit, weigh
 from brightloom.llm.secrets import scan_secrets, secret_digests
 from brightloom.llm.simhash import near_duplicates
+from brightloom.llm.warc import build_index, keyed, look_up, read_records, write_archives
 from brightloom.session import ensure_settings
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -53,6 +55,21 @@ def op3_simhash(spark: SparkSession, root: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
+@query
+def op4_warc(spark: SparkSession, root: str) -> DataFrame:
+    """Every page written to archives, found again by its URL's key in the index, and read back."""
+    pages = read(spark, root, "pages")
+    folder, captures = write_archives(pages)
+    return read_records(folder, look_up(build_index(captures), keyed(pages)), payloads=False).drop("url", "payload")
+
+
+@query
+def op5_main_text(spark: SparkSession, root: str) -> DataFrame:
+    """Main text of every page."""
+    pages = read(spark, root, "pages")
+    return extract(pages, fit_weights(pages)).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 @query
 def op6_repeats(spark: SparkSession, root: str) -> DataFrame:
     """What is left of every document without its repeated 100-byte passages."""
