@@ -12,6 +12,7 @@ block, which becomes the top of the trie and must agree; what agrees meets in on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -118,20 +119,26 @@ def _leaves(keys, al, ah, bl, bh, budget):
     yield np.minimum(i, j), np.maximum(i, j)
 
 
+def merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after the links (i, j): each is the smallest index its node hangs together with."""
+    while len(i):
+        a, b = label[i], label[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            above = label[label]
+            if (above == label).all():
+                break
+            label = above
+    return label
+
+
 def joined(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Smallest index each of n nodes hangs together with; pairs are taken up as they come."""
     label = np.arange(n)
     for i, j in pairs:
-        while len(i):
-            a, b = label[i], label[j]
-            apart = a != b
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-            while True:
-                above = label[label]
-                if (above == label).all():
-                    break
-                label = above
+        label = merge(label, i, j)
     return label
 
 
@@ -200,3 +207,176 @@ def near_duplicates(docs: DataFrame, budget: int = 3, shingle: int = 3, id_colum
     smallest = stored(grouped.groupBy("root").agg(F.min("first_id").alias("component_id")))
     named = stored(grouped.join(smallest, "root").select("fingerprint", "component_id"))
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+# Near copies by similarity. Texts that share four fifths of their shingles differ in about
+# 15 of 100 bits, too many for one fingerprint. So a wide one is made: parts of it are the keys
+# of several tries, and pairs found in any of these are verified on the whole of it.
+
+
+@dataclass(frozen=True)
+class Copies:
+    """similarity: Jaccard similarity of the sets of word shingles from which texts are copies, as
+    estimated from `bits` bits (to about 0.03). tries: parts of `key_bits` bits that are joined
+    within `budget` bits; a pair at similarity 0.8 is missed by all eight with a chance of about
+    a tenth, one at 0.9 with one of about 0.0003.
+    """
+
+    similarity: float = 0.8
+    shingle: int = 5
+    bits: int = 512
+    tries: int = 8
+    key_bits: int = 32
+    budget: int = 3
+
+    def distance(self) -> int:
+        """Bits that texts of equal size at `similarity` differ in on average."""
+        return round(self.bits * np.arccos(2 * self.similarity / (1 + self.similarity)) / np.pi)
+
+
+def wide_simhash(text: str | None, rule: Copies) -> bytes:
+    """Fingerprint of `rule.bits` bits over the set of word shingles; no words give zeros."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return bytes(rule.bits // 8)
+    n = max(1, len(words) - rule.shingle + 1)
+    hashed = np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + rule.shingle]), 42) for i in range(n)), np.uint64, n))
+    seeds = np.arange(1, rule.bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    total = np.zeros(rule.bits, np.int64)
+    for start in range(0, len(hashed), 255):  # so many bits still add up in a byte
+        x = hashed[start : start + 255, None] ^ seeds
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        total += np.unpackbits(x.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(2 * total > len(hashed)).tobytes()
+
+
+def _product(a0, a1, b0, b1, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (i, j) with i in a range of `a` and j in the range of `b` at its place, about `most` at a time."""
+    length = (b1 - b0).astype(np.int64)
+    owner = np.repeat(np.arange(len(a0)), a1 - a0)  # one row for each i
+    first = np.arange(len(owner)) - np.repeat(np.cumsum(a1 - a0) - (a1 - a0), a1 - a0) + a0[owner]
+    ends = np.cumsum(length[owner])
+    start = 0
+    while start < len(owner):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most)))
+        n = length[owner[start:stop]]
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield np.repeat(first[start:stop], n), np.repeat(b0[owner[start:stop]], n) + offset
+        start = stop
+
+
+def verified_labels(keys: np.ndarray, wide: np.ndarray, top: int, budget: int, distance: int) -> np.ndarray:
+    """Labels of nodes sorted by `keys`: pairs within `budget` bits of the keys, and `distance` of the whole, hang together.
+
+    Nodes that hang together already are not compared again, so a crowd of copies costs little more than its size.
+    """
+    only, first, count = np.unique(keys, return_index=True, return_counts=True)
+    label = np.arange(len(keys))
+
+    def take(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        near = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64) <= distance
+        return merge(label, i[near], j[near])
+
+    for start in range(0, len(keys), 1 << 18):  # neighbours first: they join most of what is alike
+        i = np.arange(start, min(start + (1 << 18), len(keys) - 1))
+        label = take(label, i, i + 1)
+    last = first + count
+    for i, j in _product(first[count > 1], last[count > 1], first[count > 1], last[count > 1]):
+        label = take(label, i[i < j], j[i < j])
+    for a, b in walk_pairs(only, top, budget):
+        for i, j in _product(first[a], last[a], first[b], last[b]):
+            label = take(label, i, j)
+    return label
+
+
+def copy_links(nodes: DataFrame, rule: Copies = Copies(), part_rows: int = PART_ROWS) -> DataFrame:
+    """Links (a, b) that join all `nodes(node, wide)` found alike, directly or by way of others; chains as in `links_within`."""
+    blocks = rule.budget + 1
+    width, bytes_each = rule.key_bits // blocks, rule.key_bits // 8
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, wide = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            raw = np.frombuffer(b"".join(wide.to_pylist()), np.uint8).reshape(len(node), -1)
+            for trie in range(rule.tries):
+                key = raw[:, trie * bytes_each : (trie + 1) * bytes_each].copy().view(">u4").ravel().astype(np.uint64)
+                for block in range(blocks):
+                    turn = np.uint64(block * width)
+                    placed = ((key << turn) | (key >> (np.uint64(rule.key_bits) - turn))) & np.uint64((1 << rule.key_bits) - 1)
+                    head = (placed >> np.uint64(rule.key_bits - width)).astype(np.int64)
+                    unit = (trie * blocks + block << width) + head
+                    columns = [pa.array(node), wide, pa.array((placed << np.uint64(BITS - rule.key_bits)).view(np.int64)), pa.array(unit)]
+                    yield pa.RecordBatch.from_arrays(columns, ["node", "wide", "key", "unit"])
+
+    rows = nodes.select("node", "wide").mapInArrow(turned, "node bigint, wide binary, key bigint, unit bigint")
+    crowded = rows.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("parts")).filter("parts > 1")
+    dealt = rows.join(crowded, "unit", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    placed = dealt.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    placed = placed.select("node", "wide", "key", "unit", F.least("part", "other").alias("part"), F.greatest("part", "other").alias("other"))
+
+    def chains(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        node, key, wide = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(key, kind="stable")
+        label = verified_labels(key[order], wide[order], width, rule.budget, rule.distance())
+        node = node[order][np.argsort(label, kind="stable")]
+        label = np.sort(label)
+        inner = label[1:] == label[:-1]
+        return pa.RecordBatch.from_pydict({"a": node[:-1][inner], "b": node[1:][inner]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size, last = 0, None  # last: unit, part, other of the rows held at the end
+        for batch in batches:
+            node, key, *unit = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("node", "key", "unit", "part", "other"))
+            wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(len(node), -1)
+            unit = np.stack(unit, axis=1)
+            cuts = np.r_[0, np.flatnonzero((unit[1:] != unit[:-1]).any(1)) + 1, len(node)]
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                here = tuple(unit[start])
+                # Small units of one turn go together: their keys differ at the top, so they stay apart.
+                if last is not None and here != last and (here[0] >> width != last[0] >> width or here[0] == last[0] or size >= 65536):
+                    yield chains(held)
+                    held, size = [], 0
+                held.append((node[start:end], key[start:end].view(np.uint64), wide[start:end]))
+                size, last = size + end - start, here
+        if held:
+            yield chains(held)
+
+    keys = ["unit", "part", "other"]
+    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint")
+
+
+def one_of_each(docs: DataFrame, rule: Copies = Copies(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of `docs` without near copies: of each group that hangs together the row with the smallest id stays.
+
+    Rows that agree in id and text are one group anyway. A null id is larger than all others; null
+    and empty texts have no words and are copies of each other; no rows give no rows. Texts are
+    shuffled once, to meet the keys of the rows that stay.
+    """
+    key = lambda c: F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(id_column).cast("string"), F.lit("null")), c)))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = [wide_simhash(text.as_py(), rule) for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(wide, pa.binary())], ["_id", "_at", "wide"])
+
+    rows = docs.select(F.col(id_column).cast("long").alias("_id"), key(F.coalesce(F.col(text_column), F.lit(""))).alias("_at"), F.col(text_column).alias("_text"))
+    prints = stored(rows.mapInArrow(sign, "_id bigint, _at binary, wide binary"))
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_at").alias("at"))
+    nodes = stored(prints.groupBy("wide").agg(F.min(order).alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    roots = components(copy_links(nodes, rule))
+    grouped = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
+    repeated = prints.groupBy("_at").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+    stays = stored(grouped.select("first.at").withColumnRenamed("at", "_at").join(repeated, "_at", "left"))
+    keyed = docs.withColumn("_at", key(F.coalesce(F.col(text_column), F.lit(""))))
+    found = keyed.join(stays.filter("_rows is null").select("_at"), "_at", "leftsemi").drop("_at")
+    twice = stays.filter("_rows is not null").select("_at")
+    if twice.isEmpty():
+        return found
+    again = keyed.join(twice, "_at", "leftsemi").groupBy("_at").agg(F.first(F.struct(*docs.columns)).alias("_row"))
+    return found.union(again.select("_row.*"))

@@ -304,7 +304,7 @@ class Lookup:
 
 
 def look_up(index: Index, wanted: DataFrame) -> DataFrame:
-    """`CAPTURES` of the wanted keys: `wanted` has url_key and, if one capture is meant, page_id.
+    """`CAPTURES` of the wanted keys, as a written table: `wanted` has url_key and, if one capture is meant, page_id.
 
     Keys are sorted first, so a task reads neighbouring blocks and each once. Wanted rows that are repeated count once; null keys find nothing.
     """
@@ -327,7 +327,7 @@ def look_up(index: Index, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*found))), ["url_key", "page_id", "file", "offset", "length"])
 
     asked = wanted.select(*columns).dropna().distinct()
-    return asked.repartitionByRange(*columns).sortWithinPartitions(*columns).mapInArrow(run, CAPTURES)
+    return stored(asked.repartitionByRange(*columns).sortWithinPartitions(*columns).mapInArrow(run, CAPTURES))
 
 
 def read_records(folder: str, captures: DataFrame, payloads: bool = True, rule: Archiving = Archiving()) -> DataFrame:
