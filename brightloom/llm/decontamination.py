@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Factors of the hash of a run of words; its upper bits mark which runs occur in items at all.
+ODD = np.random.default_rng(1).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MARK = np.uint64(42)
 EDGES = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -74,14 +77,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def walk(windows: np.ndarray, seed: int) -> np.ndarray:
     """CGK embeddings of rows of word numbers (one length): an array three times as wide."""
     rows, n = windows.shape
-    at, out, row = np.zeros(rows, np.int64), np.full((rows, 3 * n), -2, np.int64), np.arange(rows)
+    words = np.full((rows, n + 1), -2, np.int64)  # a walk that is through stays on the last column
+    words[:, :n] = windows
+    chance = mixed(words.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)).ravel()
+    words = words.ravel()
+    at, out = np.arange(rows) * (n + 1), np.empty((3 * n, rows), np.int64)
+    last = at + n
+    factors = np.random.default_rng([seed, 3]).integers(0, 1 << 63, 3 * n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     for j in range(3 * n):
-        inside = at < n
-        word = np.where(inside, windows[row, np.minimum(at, n - 1)], -2)
-        out[:, j] = word
-        step = mixed(word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 1_000_003 + j)) >> np.uint64(63)
-        at += step.astype(np.int64) & inside
-    return out
+        out[j] = words[at]
+        at += ((chance[at] * factors[j]) >> np.uint64(63)).view(np.int64)
+        np.minimum(at, last, out=at)
+    return out.T
 
 
 def signatures(windows: np.ndarray, rule: Leaks) -> np.ndarray:
@@ -98,20 +105,24 @@ def signatures(windows: np.ndarray, rule: Leaks) -> np.ndarray:
     return np.stack(found, axis=1)
 
 
-def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """(distance, start, end) of the stretch of `text` at the least edit distance to `item`; the first, longest such."""
-    above = np.zeros(len(text) + 1, np.int64)
-    begun = np.arange(len(text) + 1)
-    for i, word in enumerate(item.tolist(), 1):
-        row, from_ = np.empty_like(above), np.empty_like(begun)
-        row[0], from_[0] = i, 0
-        swap = above[:-1] + (text != word)
-        for j in range(1, len(text) + 1):
-            choices = (int(swap[j - 1]), int(begun[j - 1])), (int(above[j]) + 1, int(begun[j])), (int(row[j - 1]) + 1, int(from_[j - 1]))
-            row[j], from_[j] = min(choices)
-        above, begun = row, from_
-    end = int(np.argmin(above))
-    return int(above[end]), int(begun[end]), end
+def best_matches(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distance, start, end) of the stretch of each row of `texts` at the least edit distance to that row of `items`; the first, longest such.
+
+    Rows of `texts` may be filled up behind with numbers that no item has. A cell holds distance and start in one number.
+    """
+    rows, width = texts.shape
+    place = np.arange(width + 1, dtype=np.int64)
+    one = np.int64(1 << 32)
+    above = np.broadcast_to(place, (rows, width + 1)).copy()
+    for i in range(items.shape[1]):
+        row = above + one
+        row[:, 0] = (i + 1) * one
+        np.minimum(row[:, 1:], above[:, :-1] + (texts != items[:, i, None]) * one, out=row[:, 1:])
+        row -= place * one
+        above = np.minimum.accumulate(row, axis=1) + place * one
+    end = np.argmin(above >> 32, axis=1)
+    best = above[np.arange(rows), end]
+    return best >> 32, best & (one - 1), end
 
 
 class Items:
@@ -128,69 +139,106 @@ class Items:
         self.q = min((rule.seed(len(w)) for w in self.words), default=1)
         hashes, item, offset = [], [], []
         for i, words in enumerate(self.words):
-            codes = self.codes(words)
+            codes = self.codes(words, np.arange(max(0, len(words) - self.q + 1)))
             hashes.append(codes)
             item.append(np.full(len(codes), i))
             offset.append(np.arange(len(codes)))
         self.hashes = np.concatenate([*hashes, np.zeros(0, np.uint64)])
         order = np.argsort(self.hashes, kind="stable")
         self.hashes = self.hashes[order]
+        self.marked = np.zeros(1 << 64 - int(MARK), bool)
+        self.marked[self.hashes >> MARK] = True
         self.item, self.offset = (np.concatenate([*x, np.zeros(0, np.int64)])[order] for x in (item, offset))
-        self.signed = [signatures(w[None, :], rule)[0] for w in self.words]
-
-    def codes(self, words: np.ndarray) -> np.ndarray:
-        """A hash of every run of q words."""
-        n = len(words) - self.q + 1
-        value = np.zeros(max(n, 0), np.uint64)
+        sizes = np.array([len(w) for w in self.words], np.int64)
+        self.of_size = {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes)}
+        self.sizes, self.rank = sizes, np.zeros(len(sizes), np.int64)
+        self.stacked, self.signed = {}, {}
+        for n, some in self.of_size.items():
+            self.rank[some] = np.arange(len(some))
+            self.stacked[n] = np.stack([self.words[i] for i in some])
+            self.signed[n] = signatures(self.stacked[n], rule)
+
+    def codes(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A hash of the q words from each place."""
+        value = np.zeros(len(at), np.uint64)
         for j in range(self.q):
-            value = mixed(value * np.uint64(0x2545F4914F6CDD1D) + words[j : j + len(value)].astype(np.uint64))
-        return value
+            value += words[at + j].view(np.uint64) * ODD[j % len(ODD)]
+        return value ^ (value >> np.uint64(31))
 
     def seeds(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, window start) for every run of q words that text and item share."""
-        codes = self.codes(words)
-        low = np.searchsorted(self.hashes, codes, "left")
-        count = np.searchsorted(self.hashes, codes, "right") - low
-        at = np.repeat(np.arange(len(codes)), count)
-        entry = np.repeat(low, count) + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-        pairs = np.unique(np.stack([self.item[entry], at - self.offset[entry]]), axis=1)
-        return pairs[0], pairs[1]
-
-    def near(self, words: np.ndarray, item: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(item, window start) of the item-sized windows that share a sampled signature with their item."""
-        padded = np.r_[np.full(512, -1), words, np.full(512, -1)]
-        for i in np.unique(item).tolist():
-            n = len(self.words[i])
-            starts = start[item == i]
-            starts = starts[(starts > -n) & (starts < len(words))]
-            for first in range(0, len(starts), 4096):
-                some = starts[first : first + 4096]
-                index = np.clip(some[:, None] + np.arange(n) + 512, 0, len(padded) - 1)
-                alike = (signatures(padded[index], self.rule) == self.signed[i]).any(1)
-                yield from ((i, s) for s in some[alike].tolist())
-
-    def found(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item id, start, end, distance) of the best stretch for every item that the text holds; places count words."""
-        raw = words_of(text)
-        if not self.words or len(raw) < self.q:
-            return []
-        words = np.fromiter(map(self.vocabulary.__getitem__, raw), np.int64, len(raw))
+        """(place, entry in `hashes`) for every run of q words that `words` and an item share."""
         known = words >= 0
-        runs = known[: len(words) - self.q + 1].copy()
+        runs = known[: max(0, len(words) - self.q + 1)].copy()
         for j in range(1, self.q):
-            runs &= known[j : len(words) - self.q + 1 + j]
-        if not runs.any():
-            return []
-        item, start = self.seeds(words)
-        best: dict[int, tuple[int, int, int]] = {}
-        for i, s in self.near(words, item, start):
-            n = len(self.words[i])
-            k = self.rule.edits(n)
-            low, high = max(0, s - k), min(len(words), s + n + k)
-            distance, a, b = best_match(self.words[i], words[low:high])
-            if distance <= k:
-                best[i] = min(best.get(i, (n, 0, 0)), (distance, low + a, low + b))
-        return [(self.ids[i], a, b, d) for i, (d, a, b) in sorted(best.items())]
+            runs &= known[j : len(runs) + j]
+        at = np.flatnonzero(runs)
+        codes = self.codes(words, at)
+        some = self.marked[codes >> MARK]
+        at, codes = at[some], codes[some]
+        low = np.searchsorted(self.hashes, codes, "left")
+        count = np.searchsorted(self.hashes, codes, "right") - low
+        entry = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(at, count), entry
+
+    def found(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
+        """For each text (item id, start, end, distance) of the best stretch for every item it holds; places count words.
+
+        Windows of all texts that have one length are embedded, and verified, together.
+        """
+        best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
+        if self.words:
+            raw = list(map(words_of, texts))
+            base = np.cumsum([0, *(len(x) + 1 for x in raw)])  # a -1 after each text
+            words = np.full(base[-1], -1, np.int64)
+            for x, low in zip(raw, base.tolist()):
+                words[low : low + len(x)] = np.fromiter(map(self.vocabulary.__getitem__, x), np.int64, len(x))
+            place, entry = self.seeds(words)
+            doc = np.searchsorted(base, place, "right") - 1
+            item, start = self.item[entry], place - base[doc] - self.offset[entry]
+            order = np.lexsort((start, item, doc))
+            doc, item, start = doc[order], item[order], start[order]
+            new = np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(start) != 0)][: len(doc)]
+            doc, item, start = doc[new], item[new], start[new]
+            for n in self.of_size:
+                chosen = np.flatnonzero(self.sizes[item] == n)
+                step = max(1, 500_000 // n)
+                for first in range(0, len(chosen), step):
+                    some = chosen[first : first + step]
+                    self._verify(n, words, base, doc[some], item[some], start[some], best)
+        return [[(self.ids[i], a, b, d) for i, (d, a, b) in sorted(x.items())] for x in best]
+
+    def _verify(self, n: int, words: np.ndarray, base: np.ndarray, doc: np.ndarray, item: np.ndarray, start: np.ndarray, best: list) -> None:
+        """Take up the matches among windows of n words that share a signature with their item."""
+
+        def cut(low: np.ndarray, width: int, doc: np.ndarray, filler: int) -> np.ndarray:
+            place = low[:, None] + np.arange(width)
+            size = (base[doc + 1] - base[doc] - 1)[:, None]
+            inside = (place >= 0) & (place < size)
+            return np.where(inside, words[np.clip(place + base[doc][:, None], 0, len(words) - 1)], filler)
+
+        alike = (signatures(cut(start, n, doc, -1), self.rule) == self.signed[n][self.rank[item]]).any(1)
+        doc, item, start = doc[alike], item[alike], start[alike]
+        k = self.rule.edits(n)
+        low = np.maximum(0, start - k)
+        for first in range(0, len(doc), max(1, 500_000 // n)):
+            s = slice(first, first + max(1, 500_000 // n))
+            text = cut(low[s], n + 2 * k, doc[s], -3)
+            distance, a, b = best_matches(self.stacked[n][self.rank[item[s]]], text)
+            for at, i, x, d, y, z in zip(doc[s].tolist(), item[s].tolist(), low[s].tolist(), distance.tolist(), a.tolist(), b.tolist()):
+                if d <= k:
+                    best[at][i] = min(best[at].get(i, (n, 0, 0)), (d, x + y, x + z))
+
+
+def found_in(items: Items, texts: pa.Array, most: int = 8_000_000) -> Iterator[list[tuple[int, int, int, int]]]:
+    """What `items.found` says of each text, asked for about `most` characters at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py())
+        size += len(held[-1] or "")
+        if size >= most:
+            yield from items.found(held)
+            held, size = [], 0
+    yield from items.found(held)
 
 
 def item_slices(benchmark: DataFrame, rule: Leaks, id_column: str, text_column: str) -> Iterator[list[tuple[int, str]]]:
@@ -218,15 +266,15 @@ def find_leaks(
     found = None
     schema = "doc_id bigint, item_id bigint, start_word bigint, end_word bigint, distance bigint, item_words bigint"
     for rows in item_slices(benchmark, rule, item_column, "text"):
-        shared = docs.sparkSession.sparkContext.broadcast(rows)
+        shared = docs.sparkSession.sparkContext.broadcast(Items(rows, rule))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(shared.value, rule)
+            items = shared.value
             size = {ident: len(words) for ident, words in zip(items.ids, items.words)}
             for batch in batches:
                 out = []
-                for ident, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    out += [(ident, *match, size[match[0]]) for match in items.found(text.as_py())]
+                for ident, matches in zip(batch.column(0).to_pylist(), found_in(items, batch.column(1))):
+                    out += [(ident, *match, size[match[0]]) for match in matches]
                 columns = zip(*out) if out else [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in columns], [p.split()[0] for p in schema.split(", ")])
 
@@ -238,12 +286,11 @@ def find_leaks(
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rule: Leaks = Leaks(), text_column: str = "text", item_column: str = "item_id") -> DataFrame:
     """The rows of `docs` that hold no item, with their columns; one pass for each slice of items, no shuffle."""
     for rows in item_slices(benchmark, rule, item_column, "text"):
-        shared = docs.sparkSession.sparkContext.broadcast(rows)
+        shared = docs.sparkSession.sparkContext.broadcast(Items(rows, rule))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(shared.value, rule)
             for batch in batches:
-                clean = [not items.found(text.as_py()) for text in batch.column(text_column)]
+                clean = [not matches for matches in found_in(shared.value, batch.column(text_column))]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
