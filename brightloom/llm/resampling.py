@@ -103,18 +103,29 @@ def count_models(docs: DataFrame, sample: dict[int, bool], rule: Resampling, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, total = Grams(rule.buckets), np.zeros((4, rule.buckets), np.int64)
+        held: dict[int, list[np.ndarray]] = {0: [], 1: []}
+        size = 0
+
+        def add_up() -> None:
+            for kind, found in held.items():
+                if found:
+                    total[kind] += np.bincount(np.concatenate(found), minlength=rule.buckets)
+                    found.clear()
+
         for batch in batches:
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = grams(text.as_py() or "")
-                if not len(found):
-                    continue
-                counts = np.bincount(found)
-                total[0, : len(counts)] += counts
+                held[0].append(found)
+                size += len(found)
                 kind = known.value.get(ident)
                 if kind is not None:
-                    total[2 if kind else 3, : len(counts)] += counts > 0
+                    total[2 if kind else 3, np.unique(found)] += 1
                 if kind:
-                    total[1, : len(counts)] += counts
+                    held[1].append(found)
+                if size > 2_000_000:
+                    add_up()
+                    size = 0
+        add_up()
         some = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, *total[:, some])], ["bucket", *KINDS])
 
