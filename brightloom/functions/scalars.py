@@ -104,7 +104,7 @@ def chip_label(event_type: Column, prefix: str) -> Column:
 
 def _without_prefix(event_type: Column, prefix: str) -> Column:
     return F.when(
-        F.startswith(event_type, F.lit(prefix)), F.substring(event_type, len(prefix) + 1, 1_000_000)
+        F.startswith(event_type, F.lit(prefix)), F.substring(event_type, F.lit(len(prefix) + 1), F.length(event_type))
     ).otherwise(event_type)
 
 

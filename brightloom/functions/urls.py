@@ -40,7 +40,7 @@ def canonical_url(url: Column, strip_params: list[str], drop_fragment: bool = Tr
     Scheme and host come out in lower case. Once parameters are to be stripped, the rest of
     the query is written again in form encoding, stripped or not.
     """
-    query = F.substring(_part(url, 4), 2, 1_000_000_000)
+    query = F.substring(_part(url, 4), F.lit(2), F.length(url))
     if strip_params:
         pairs = F.filter(F.split(query, "&"), lambda p: p != "")
         kept = F.filter(pairs, lambda p: ~_form_decoded(F.substring_index(p, "=", 1)).isin(strip_params))

@@ -19,16 +19,6 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return df
 
 
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan with fewer tasks than cores out to all of them.
-
-    A small file is one task however costly the work on each row is; a scan that already has
-    a task per core, as any large table does, is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def portable(df: DataFrame) -> DataFrame:
     """Plain result columns for exchange: micros for instants, text for days, 0/1 for flags."""
     columns = []
