@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightloom.llm.batches import per_row, stored
@@ -211,36 +211,48 @@ def near_duplicates(docs: DataFrame, budget: int = 3, shingle: int = 3, id_colum
 
 # Near copies by similarity. Texts that share four fifths of their shingles differ in about
 # 15 of 100 bits, too many for one fingerprint. So a wide one is made: parts of it are the keys
-# of several tries, and pairs found in any of these are verified on the whole of it.
+# of several tries. Pairs found in any of these are compared by their sets of shingles.
 
 
 @dataclass(frozen=True)
 class Copies:
-    """similarity: Jaccard similarity of the sets of word shingles from which texts are copies, as
-    estimated from `bits` bits (to about 0.03). tries: parts of `key_bits` bits that are joined
-    within `budget` bits; a pair at similarity 0.8 is missed by all eight with a chance of about
-    a tenth, one at 0.9 with one of about 0.0003.
+    """similarity: Jaccard similarity of the sets of word shingles from which texts are copies.
+    tries: parts of `key_bits` bits that are joined within `budget` bits. By calculation a pair at
+    similarity 0.8 is missed by all sixteen with a chance of 0.00006, or of 0.01 if it has but five
+    shingles. bits: of the whole fingerprint, which only spares pairs that are far apart the exact
+    comparison. nearest: partners with which each text is compared before the rest.
     """
 
     similarity: float = 0.8
     shingle: int = 5
     bits: int = 512
-    tries: int = 8
+    tries: int = 16
     key_bits: int = 32
-    budget: int = 3
+    budget: int = 4
+    nearest: int = 3
+
+    def share(self) -> float:
+        """Share of bits that texts of equal size at `similarity` differ in on average; of other sizes, in fewer."""
+        return float(np.arccos(2 * self.similarity / (1 + self.similarity)) / np.pi)
 
     def distance(self) -> int:
         """Bits that texts of equal size at `similarity` differ in on average."""
-        return round(self.bits * np.arccos(2 * self.similarity / (1 + self.similarity)) / np.pi)
+        return round(self.bits * self.share())
+
+    def farthest(self) -> int:
+        """Differing bits, five standard deviations above the mean, from which texts are not compared."""
+        return int(np.ceil(self.bits * self.share() + 5 * np.sqrt(self.bits * self.share() * (1 - self.share()))))
 
 
-def wide_simhash(text: str | None, rule: Copies) -> bytes:
-    """Fingerprint of `rule.bits` bits over the set of word shingles; no words give zeros."""
+def shingles(text: str | None, rule: Copies) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; fewer words than a shingle make one, no words none."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return bytes(rule.bits // 8)
-    n = max(1, len(words) - rule.shingle + 1)
-    hashed = np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + rule.shingle]), 42) for i in range(n)), np.uint64, n))
+    n = max(1, len(words) - rule.shingle + 1) if words else 0
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + rule.shingle]), 42) for i in range(n)), np.uint64, n))
+
+
+def wide_simhash(hashed: np.ndarray, rule: Copies) -> bytes:
+    """Fingerprint of `rule.bits` bits over a set of shingles; the empty set gives zeros."""
     seeds = np.arange(1, rule.bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     total = np.zeros(rule.bits, np.int64)
     for start in range(0, len(hashed), 255):  # so many bits still add up in a byte
@@ -267,40 +279,37 @@ def _product(a0, a1, b0, b1, most: int = 1 << 20) -> Iterator[tuple[np.ndarray,
         start = stop
 
 
-def verified_labels(keys: np.ndarray, wide: np.ndarray, top: int, budget: int, distance: int) -> np.ndarray:
-    """Labels of nodes sorted by `keys`: pairs within `budget` bits of the keys, and `distance` of the whole, hang together.
+def met_pairs(keys: np.ndarray, label: np.ndarray, top: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of nodes sorted by `keys` whose keys agree or are within `budget` bits.
 
-    Nodes that hang together already are not compared again, so a crowd of copies costs little more than its size.
+    Ranges of equal keys that have one label throughout are left out, so a crowd of copies that
+    hang together costs little more than its size.
     """
     only, first, count = np.unique(keys, return_index=True, return_counts=True)
-    label = np.arange(len(keys))
-
-    def take(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        apart = label[i] != label[j]
-        i, j = i[apart], j[apart]
-        near = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64) <= distance
-        return merge(label, i[near], j[near])
-
-    for start in range(0, len(keys), 1 << 18):  # neighbours first: they join most of what is alike
-        i = np.arange(start, min(start + (1 << 18), len(keys) - 1))
-        label = take(label, i, i + 1)
     last = first + count
-    for i, j in _product(first[count > 1], last[count > 1], first[count > 1], last[count > 1]):
-        label = take(label, i[i < j], j[i < j])
+    low, high = np.minimum.reduceat(label, first), np.maximum.reduceat(label, first)
+    many = low < high
+    for i, j in _product(first[many], last[many], first[many], last[many]):
+        yield i[i < j], j[i < j]
     for a, b in walk_pairs(only, top, budget):
-        for i, j in _product(first[a], last[a], first[b], last[b]):
-            label = take(label, i, j)
-    return label
+        apart = (low[a] != high[a]) | (low[b] != high[b]) | (low[a] != low[b])
+        a, b = a[apart], b[apart]
+        yield from _product(first[a], last[a], first[b], last[b])
+
 
+def copy_links(nodes: DataFrame, rule: Copies = Copies(), part_rows: int = PART_ROWS, every: bool = False) -> DataFrame:
+    """Candidate pairs (a, b, distance), a < b, of `nodes(node, wide, label)` whose fingerprints are near.
 
-def copy_links(nodes: DataFrame, rule: Copies = Copies(), part_rows: int = PART_ROWS) -> DataFrame:
-    """Links (a, b) that join all `nodes(node, wide)` found alike, directly or by way of others; chains as in `links_within`."""
+    wide: the fingerprint and the number of shingles in eight bytes. With `every`, all pairs with
+    different labels; else each task gives a chain through those that hang together in it.
+    """
+    farthest = rule.farthest()
     blocks = rule.budget + 1
     width, bytes_each = rule.key_bits // blocks, rule.key_bits // 8
 
     def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, wide = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            node, wide, label = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), batch.column(2)
             raw = np.frombuffer(b"".join(wide.to_pylist()), np.uint8).reshape(len(node), -1)
             for trie in range(rule.tries):
                 key = raw[:, trie * bytes_each : (trie + 1) * bytes_each].copy().view(">u4").ravel().astype(np.uint64)
@@ -309,30 +318,56 @@ def copy_links(nodes: DataFrame, rule: Copies = Copies(), part_rows: int = PART_
                     placed = ((key << turn) | (key >> (np.uint64(rule.key_bits) - turn))) & np.uint64((1 << rule.key_bits) - 1)
                     head = (placed >> np.uint64(rule.key_bits - width)).astype(np.int64)
                     unit = (trie * blocks + block << width) + head
-                    columns = [pa.array(node), wide, pa.array((placed << np.uint64(BITS - rule.key_bits)).view(np.int64)), pa.array(unit)]
-                    yield pa.RecordBatch.from_arrays(columns, ["node", "wide", "key", "unit"])
+                    columns = [pa.array(node), wide, label, pa.array((placed << np.uint64(BITS - rule.key_bits)).view(np.int64)), pa.array(unit)]
+                    yield pa.RecordBatch.from_arrays(columns, ["node", "wide", "label", "key", "unit"])
 
-    rows = nodes.select("node", "wide").mapInArrow(turned, "node bigint, wide binary, key bigint, unit bigint")
+    rows = nodes.select("node", "wide", "label").mapInArrow(turned, "node bigint, wide binary, label bigint, key bigint, unit bigint")
     crowded = rows.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("parts")).filter("parts > 1")
     dealt = rows.join(crowded, "unit", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     placed = dealt.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    placed = placed.select("node", "wide", "key", "unit", F.least("part", "other").alias("part"), F.greatest("part", "other").alias("other"))
+    placed = placed.select("node", "wide", "label", "key", "unit", F.least("part", "other").alias("part"), F.greatest("part", "other").alias("other"))
 
-    def chains(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        node, key, wide = (np.concatenate(x) for x in zip(*held))
+    def pairs(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        node, key, wide, group = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(key, kind="stable")
-        label = verified_labels(key[order], wide[order], width, rule.budget, rule.distance())
-        node = node[order][np.argsort(label, kind="stable")]
-        label = np.sort(label)
-        inner = label[1:] == label[:-1]
-        return pa.RecordBatch.from_pydict({"a": node[:-1][inner], "b": node[1:][inner]})
+        node, key, wide, group = node[order], key[order], wide[order], group[order]
+        size = wide[:, -1].astype(np.float64)
+
+        def far(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return np.bitwise_count(wide[i, :-1] ^ wide[j, :-1]).sum(1, dtype=np.int64)
+
+        def near(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            apart = np.minimum(size[i], size[j]) >= rule.similarity * np.maximum(size[i], size[j]) - 1e-9
+            i, j = i[apart], j[apart]
+            close = far(i, j) <= farthest
+            return i[close], j[close]
+
+        def rows(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            a, b = node[i], node[j]
+            return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b), "distance": far(i, j)})
+
+        if every:
+            for i, j in met_pairs(key, group, width, rule.budget):
+                yield rows(*near(group, i, j))
+            return
+        label = np.arange(len(key))
+        for start in range(0, len(key), 1 << 18):  # neighbours first: they join most of what is alike
+            i = np.arange(start, min(start + (1 << 18), len(key) - 1))
+            label = merge(label, *near(label, i, i + 1))
+        for i, j in met_pairs(key, label, width, rule.budget):
+            label = merge(label, *near(label, i, j))
+        at = np.argsort(label, kind="stable")
+        inner = label[at][1:] == label[at][:-1]
+        yield rows(at[:-1][inner], at[1:][inner])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size, last = 0, None  # last: unit, part, other of the rows held at the end
         for batch in batches:
-            node, key, *unit = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("node", "key", "unit", "part", "other"))
+            node, key, label, *unit = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("node", "key", "label", "unit", "part", "other"))
             wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(len(node), -1)
             unit = np.stack(unit, axis=1)
             cuts = np.r_[0, np.flatnonzero((unit[1:] != unit[:-1]).any(1)) + 1, len(node)]
@@ -340,15 +375,58 @@ def copy_links(nodes: DataFrame, rule: Copies = Copies(), part_rows: int = PART_
                 here = tuple(unit[start])
                 # Small units of one turn go together: their keys differ at the top, so they stay apart.
                 if last is not None and here != last and (here[0] >> width != last[0] >> width or here[0] == last[0] or size >= 65536):
-                    yield chains(held)
+                    yield from pairs(held)
                     held, size = [], 0
-                held.append((node[start:end], key[start:end].view(np.uint64), wide[start:end]))
+                held.append((node[start:end], key[start:end].view(np.uint64), wide[start:end], label[start:end]))
                 size, last = size + end - start, here
         if held:
-            yield chains(held)
+            yield from pairs(held)
 
     keys = ["unit", "part", "other"]
-    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint")
+    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint, distance bigint")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, rule: Copies) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles, from `sets(node, grams)`, have a Jaccard similarity of `rule.similarity`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for one, other in zip(batch.column(2), batch.column(3)):
+                one, other = (np.frombuffer(x.as_buffer(), np.uint64) for x in (one, other))
+                shared = len(np.intersect1d(one, other, assume_unique=True))
+                alike.append(shared >= rule.similarity * (len(one) + len(other) - shared) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
+
+    joined = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("one")), "a")
+    joined = joined.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("other")), "b")
+    return joined.select("a", "b", "one", "other").mapInArrow(run, "a bigint, b bigint")
+
+
+def exact_links(keyed: DataFrame, nodes: DataFrame, rule: Copies) -> DataFrame:
+    """Links (a, b) that join all `nodes(node, at, wide)` that are copies, directly or by way of others.
+
+    First each node is compared with its nearest candidates, which joins most of what is alike;
+    then every candidate pair that does not hang together yet. keyed: texts as `_at`, `_text`;
+    only those of candidates are read into sets.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [shingles(text.as_py(), rule).tobytes() for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], ["node", "grams"])
+
+    met = stored(copy_links(nodes.withColumn("label", F.col("node")), rule).distinct())
+    ends = stored(met.select(F.col("a").alias("node")).union(met.select("b")).distinct())
+    some = stored(nodes.join(ends, "node", "leftsemi"))
+    texts = keyed.join(some.select("node", F.col("at").alias("_at")), "_at").select("node", "_text")
+    sets = stored(texts.mapInArrow(read, "node bigint, grams binary").groupBy("node").agg(F.first("grams").alias("grams")))
+    place = F.row_number().over(Window.partitionBy("b").orderBy("distance", "a"))
+    links = stored(similar(met.withColumn("_place", place).filter(F.col("_place") <= rule.nearest), sets, rule))
+    roots = components(links)
+    left = some.join(roots, "node", "left").select("node", "wide", F.coalesce("root", "node").alias("label"))
+    rest = copy_links(left, rule, every=True).select("a", "b").distinct()
+    return links.union(stored(similar(rest, sets, rule)))
 
 
 def one_of_each(docs: DataFrame, rule: Copies = Copies(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -356,20 +434,25 @@ def one_of_each(docs: DataFrame, rule: Copies = Copies(), id_column: str = "doc_
 
     Rows that agree in id and text are one group anyway. A null id is larger than all others; null
     and empty texts have no words and are copies of each other; no rows give no rows. Texts are
-    shuffled once, to meet the keys of the rows that stay.
+    shuffled to meet the keys of the rows that stay, and those of candidates to be compared.
     """
     key = lambda c: F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(id_column).cast("string"), F.lit("null")), c)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wide = [wide_simhash(text.as_py(), rule) for text in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(wide, pa.binary())], ["_id", "_at", "wide"])
+            wide, same = [], []
+            for text in batch.column(2):
+                hashed = shingles(text.as_py(), rule)
+                wide.append(wide_simhash(hashed, rule) + np.uint64(len(hashed)).tobytes())
+                same.append(xxhash.xxh3_128_digest(hashed.tobytes()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(wide, pa.binary()), pa.array(same, pa.binary())], ["_id", "_at", "wide", "same"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("_id"), key(F.coalesce(F.col(text_column), F.lit(""))).alias("_at"), F.col(text_column).alias("_text"))
-    prints = stored(rows.mapInArrow(sign, "_id bigint, _at binary, wide binary"))
+    prints = stored(rows.mapInArrow(sign, "_id bigint, _at binary, wide binary, same binary"))
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_at").alias("at"))
-    nodes = stored(prints.groupBy("wide").agg(F.min(order).alias("first")).withColumn("node", F.monotonically_increasing_id()))
-    roots = components(copy_links(nodes, rule))
+    nodes = prints.groupBy("same").agg(F.min(order).alias("first"), F.first("wide").alias("wide")).drop("same")
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
+    roots = components(exact_links(rows, nodes.select("node", "first.at", "wide"), rule))
     grouped = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
     repeated = prints.groupBy("_at").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
     stays = stored(grouped.select("first.at").withColumnRenamed("at", "_at").join(repeated, "_at", "left"))

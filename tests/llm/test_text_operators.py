@@ -115,6 +115,23 @@ def test_one_of_each_keeps_the_smallest(spark, odd, nothing):
     assert Copies().distance() == 78
 
 
+def test_copies_at_the_similarity_by_brute_force(spark):
+    rng = random.Random(3)
+    words = lambda n: [f"{rng.getrandbits(40):x}" for _ in range(n)]
+    texts, wanted = [], set()
+    for shared, union in ((156, 200), (158, 200), (160, 200), (164, 200), (170, 200), (8, 10)):
+        for _ in range(40):  # pairs at 0.78, 0.79, 0.80, 0.82, 0.85, and short ones at 0.80
+            both, own = words(shared + 4), (union - shared) // 2
+            pair = [" ".join(both + words(own)) for _ in range(2)]
+            one, other = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in pair)
+            assert len(one & other) == shared and len(one | other) == union
+            wanted |= {len(texts)} | ({len(texts) + 1} if 5 * shared < 4 * union else set())
+            texts += pair
+    kept = {r.doc_id for r in one_of_each(frame(spark, texts)).select("doc_id").collect()}
+    assert wanted <= kept  # below the similarity no text goes
+    assert len(kept - wanted) <= 2  # of 160 copies at or above it
+
+
 PAGES = "page_id long, url string, html string, offset long"
 
 
