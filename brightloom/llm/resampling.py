@@ -1,7 +1,7 @@
 """Quality by importance resampling: how much likelier is a text under a target than under the corpus?
 
 Two generative models of hashed n-grams are counted, one from labelled good texts, one from
-all texts. A text's weight is the ratio of its probabilities; sampling without replacement in
+all texts; a third, from labelled toxic texts, takes out toxic ones. A text's weight is the ratio of its probabilities; sampling without replacement in
 proportion to weights is done by adding Gumbel noise and taking the largest.
 """
 
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brightloom.llm.batches import stored
@@ -22,23 +22,24 @@ from brightloom.llm.batches import stored
 
 @dataclass(frozen=True)
 class Resampling:
-    """buckets: hash buckets of n-grams, a power of two; the models are as large as this, whatever the corpus.
-
-    labelled: labelled rows used at most, those with the smallest hashed ids. z, ratio: an n-gram
-    counts if its share in the target differs from the one in the corpus by so many standard
-    deviations, and by this factor's logarithm at least; others are noise, and would let a long
-    text outweigh what is wrong with it. support: it must also be in so many different labelled
-    texts of the worse kind, and more often there by the same factor, as a text copied a
-    thousand times has much weight in the corpus. temperature: of the sampling; weights are
-    divided by it.
+    """buckets: hash buckets of n-grams, a power of two, half of them for pairs of words; the models are
+    as large as this, whatever the corpus.
+
+    labelled: labelled rows used at most, those with the smallest hashed ids. z, support: the
+    logarithm of an n-gram's ratio is shrunken by half if its share differs by so many standard
+    deviations, and again if so many different labelled texts of the kind it speaks for have it;
+    others hardly count, and would let a long text outweigh what is wrong with it. temperature: of
+    the sampling; weights are divided by it. strongest: n-grams of a text that its toxic weight
+    sums. clean: what it costs to lose a clean labelled text, against keeping a toxic one.
     """
 
-    buckets: int = 1 << 18
+    buckets: int = 1 << 19
     labelled: int = 20_000
     z: float = 5.0
-    ratio: float = 0.7
-    support: int = 4
+    support: float = 4.0
     temperature: float = 0.2
+    strongest: int = 4
+    clean: float = 5.0
 
 
 RUN = re.compile(r"(.)\1+", re.S)
@@ -52,10 +53,11 @@ def shape_of(word: str) -> str:
 
 
 class Grams:
-    """Hash buckets of the n-grams of texts: words, shapes of words, pairs of neighbouring shapes."""
+    """Hash buckets of the n-grams of texts: words, shapes of words, pairs of neighbouring shapes; pairs of neighbouring words in a half of their own."""
 
     def __init__(self, buckets: int, remembered: int = 300_000):
-        self.shift = np.uint64(64 - buckets.bit_length() + 1)
+        self.half = buckets // 2
+        self.shift = np.uint64(64 - self.half.bit_length() + 1)
         self.known: dict[str, bytes] = {}
         self.remembered = remembered
 
@@ -75,34 +77,47 @@ class Grams:
         word, shape = np.frombuffer(packed, ">u8").astype(np.uint64).reshape(-1, 2).T
         pair = (shape[:-1] * np.uint64(3) + shape[1:]) * np.uint64(0x9E3779B97F4A7C15) + (word[:-1] == word[1:]).astype(np.uint64)
         pair = (pair ^ (pair >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-        return (np.concatenate([word, shape, pair]) >> self.shift).astype(np.int64)
+        both = (word[:-1] * np.uint64(3) + word[1:]) * np.uint64(0x9E3779B97F4A7C15)
+        both = (both ^ (both >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+        found = (np.concatenate([word, shape, pair, both]) >> self.shift).astype(np.int64)
+        found[len(found) - len(both) :] += self.half
+        return found
+
+
+# What is known of a labelled text: its quality and toxicity, -1 if that is not labelled.
+Sample = dict[int, tuple[int, int]]
+
+
+def is_good(known: tuple[int, int]) -> bool:
+    """Of quality and not toxic."""
+    return known[0] == 1 and known[1] != 1
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, rule: Resampling, id_column: str, text_column: str) -> dict[int, bool]:
-    """doc_id -> good, for a bounded number of labelled rows, one for each text; good is of quality and not toxic."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    rows = known.select("doc_id", good.alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(rule.labelled).collect()
+def labelled_rows(docs: DataFrame, labels: DataFrame, rule: Resampling, id_column: str, text_column: str) -> Sample:
+    """doc_id -> quality and toxicity, for a bounded number of labelled rows, one for each text."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.coalesce("quality", "toxic").isNotNull())
+    marks = [F.coalesce(F.col(c), F.lit(-1)).cast("int").alias(c) for c in ("quality", "toxic")]
+    rows = known.select("doc_id", *marks).orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(rule.labelled).collect()
     if not rows:
         return {}
-    sample = F.broadcast(docs.sparkSession.createDataFrame(rows, "doc_id bigint, good boolean"))  # at most rule.labelled rows
+    sample = F.broadcast(docs.sparkSession.createDataFrame(rows, "doc_id bigint, quality int, toxic int"))  # at most rule.labelled rows
     texts = docs.select(F.col(id_column).alias("doc_id"), F.md5(F.coalesce(F.col(text_column), F.lit(""))).alias("text")).join(sample, "doc_id")
-    first: dict[str, tuple[int, bool]] = {}
-    for row in sorted(texts.distinct().collect()):
-        first.setdefault(row.text, (row.doc_id, row.good))
+    first: dict[str, tuple[int, tuple[int, int]]] = {}
+    for row in sorted(texts.select("text", "doc_id", "quality", "toxic").distinct().collect()):
+        first.setdefault(row.text, (row.doc_id, (row.quality, row.toxic)))
     return dict(first.values())
 
 
-KINDS = ("corpus", "target", "good", "bad")
+KINDS = ("corpus", "target", "good", "bad", "toxic", "clean")
 
 
-def count_models(docs: DataFrame, sample: dict[int, bool], rule: Resampling, id_column: str, text_column: str) -> dict[str, np.ndarray]:
-    """Counts of every bucket over all texts and over the good ones of the sample, and the numbers of
-    good and bad texts of the sample that have it. Each task adds up its own."""
+def count_models(docs: DataFrame, sample: Sample, rule: Resampling, id_column: str, text_column: str) -> dict[str, np.ndarray]:
+    """Counts of every bucket over all texts and over the good ones of the sample, and the numbers of good
+    texts, bad ones (of low quality), toxic and clean ones of the sample that have it. Each task adds up its own."""
     known = docs.sparkSession.sparkContext.broadcast(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, total = Grams(rule.buckets), np.zeros((4, rule.buckets), np.int64)
+        grams, total = Grams(rule.buckets), np.zeros((len(KINDS), rule.buckets), np.int64)
         held: dict[int, list[np.ndarray]] = {0: [], 1: []}
         size = 0
 
@@ -117,11 +132,14 @@ def count_models(docs: DataFrame, sample: dict[int, bool], rule: Resampling, id_
                 found = grams(text.as_py() or "")
                 held[0].append(found)
                 size += len(found)
-                kind = known.value.get(ident)
-                if kind is not None:
-                    total[2 if kind else 3, np.unique(found)] += 1
-                if kind:
-                    held[1].append(found)
+                mark = known.value.get(ident)
+                if mark is not None:
+                    only = np.unique(found)
+                    for kind, holds in zip((2, 3, 4, 5), (is_good(mark), mark[0] == 0, mark[1] == 1, mark[1] == 0)):
+                        if holds:
+                            total[kind, only] += 1
+                    if is_good(mark):
+                        held[1].append(found)
                 if size > 2_000_000:
                     add_up()
                     size = 0
@@ -137,19 +155,46 @@ def count_models(docs: DataFrame, sample: dict[int, bool], rule: Resampling, id_
     return full
 
 
-def log_ratios(counts: dict[str, np.ndarray], sample: dict[int, bool], rule: Resampling) -> np.ndarray:
-    """Logarithm of target share over corpus share where the two differ clearly, else 0."""
+def shrunken(ratio: np.ndarray, z: np.ndarray, texts: np.ndarray, rule: Resampling) -> np.ndarray:
+    """Log ratios, the smaller the less is known of them."""
+    return ratio * z**2 / (z**2 + rule.z**2) * texts**2 / (texts**2 + rule.support**2)
+
+
+def log_ratios(counts: dict[str, np.ndarray], sample: Sample, rule: Resampling) -> np.ndarray:
+    """Shrunken logarithm of target share over corpus share.
+
+    It is no larger than that of good over bad labelled texts, and 0 where the two disagree, as a
+    text copied a thousand times has much weight in the corpus.
+    """
     corpus, target = counts["corpus"], counts["target"]
     if not corpus.sum() or not target.sum():
         return np.zeros(len(corpus), np.float32)
     expected = corpus * (target.sum() / corpus.sum())
     ratio = np.log((target + 0.5) / (expected + 0.5))
-    clear = (np.abs(target - expected) >= rule.z * np.sqrt(expected + 1)) & (np.abs(ratio) >= rule.ratio)
-    n_good = max(1, sum(sample.values()))
-    good, bad = counts["good"] / n_good, counts["bad"] / max(1, len(sample) - n_good)
-    worse, better = np.where(ratio < 0, bad, good), np.where(ratio < 0, good, bad)
-    clear &= (np.where(ratio < 0, counts["bad"], counts["good"]) >= rule.support) & (worse >= np.exp(rule.ratio) * better)
-    return np.where(clear, ratio, 0).astype(np.float32)
+    n_good, n_bad = sum(map(is_good, sample.values())), sum(q == 0 for q, _ in sample.values())
+    labelled = np.log((counts["good"] + 0.5) / (n_good + 1)) - np.log((counts["bad"] + 0.5) / (n_bad + 1))
+    agreed = np.where(ratio * labelled > 0, np.sign(ratio) * np.minimum(np.abs(ratio), np.abs(labelled)), 0)
+    z = (target - expected) / np.sqrt(expected + 1)
+    return shrunken(agreed, z, np.where(ratio < 0, counts["bad"], counts["good"]), rule).astype(np.float32)
+
+
+def toxic_ratios(counts: dict[str, np.ndarray], sample: Sample, rule: Resampling) -> np.ndarray:
+    """Shrunken logarithm of the share of toxic texts over that of all labelled texts, 0 if below 1.
+
+    Three rows: as all texts are weighed, as toxic labelled ones are without their own count, and
+    as clean labelled ones are.
+    """
+    n_toxic, n_clean = (sum(t == kind for _, t in sample.values()) for kind in (1, 0))
+
+    def weights(own_toxic: int, own_clean: int) -> np.ndarray:
+        toxic, clean = np.maximum(counts["toxic"] - own_toxic, 0), np.maximum(counts["clean"] - own_clean, 0)
+        a, b = n_toxic - own_toxic, n_clean - own_clean
+        if a < 1 or b < 1:
+            return np.zeros(rule.buckets)
+        expected = (toxic + clean) * (a / (a + b))
+        return shrunken(np.log((toxic + 0.5) / (expected + 0.5)), (toxic - expected) / np.sqrt(expected + 1), toxic, rule)
+
+    return np.maximum(np.stack([weights(0, 0), weights(1, 0), weights(0, 1)]), 0).astype(np.float32)
 
 
 def gumbel(ident: int | None, text: str) -> float:
@@ -160,44 +205,59 @@ def gumbel(ident: int | None, text: str) -> float:
 
 @dataclass(frozen=True)
 class Model:
-    """What the sampling has settled: log ratios by bucket, and the key that the last sampled text has."""
+    """What the sampling has settled: log ratios by bucket, the toxic weight from which texts are out,
+    and the key that the last sampled text has."""
 
     rule: Resampling
     ratios: np.ndarray
+    toxic: np.ndarray
+    toxic_cut: float
     cut: float
     size: int
     last_key: float
 
+    def keeps(self) -> Column:
+        return (F.col("_key") >= self.last_key) & (F.col("_toxic") < self.toxic_cut)
+
 
-def _scored(docs: DataFrame, ratios: np.ndarray, rule: Resampling, id_column: str, text_column: str, keep: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+def _scored(docs: DataFrame, ratios: np.ndarray, toxic: np.ndarray, sample: Sample, rule: Resampling, id_column: str, text_column: str, keep: list[str]) -> DataFrame:
+    """Weights, toxic weights and keys. Texts of the sample have a toxic weight that they do not themselves add to."""
+    shared = docs.sparkSession.sparkContext.broadcast((ratios, toxic, {i: (0, 2, 1)[t + 1 if t < 1 else 2] for i, (_, t) in sample.items()}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, weight_of = Grams(rule.buckets), shared.value
+        grams, (weight_of, toxic_of, row_of) = Grams(rule.buckets), shared.value
         for batch in batches:
-            idents, weights, keys = batch.column("_id").to_pylist(), [], []
+            idents, weights, keys, toxics = batch.column("_id").to_pylist(), [], [], []
             for ident, text in zip(idents, batch.column("_text")):
                 text = text.as_py() or ""
-                weight = float(weight_of[grams(text)].sum(dtype=np.float64))
+                found = grams(text)
+                weight = float(weight_of[found].sum(dtype=np.float64))
+                own = toxic_of[row_of.get(ident, 0)]
+                strong = own[np.unique(found[own[found] > 0])]
+                toxics.append(float(np.sort(strong)[-rule.strongest :].sum(dtype=np.float64)))
                 weights.append(weight)
                 keys.append(weight / rule.temperature + gumbel(ident, text))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[2:], pa.array(weights, pa.float64()), pa.array(keys, pa.float64())], [*batch.schema.names[2:], "_weight", "_key"]
+                [*batch.columns[2:], pa.array(weights, pa.float64()), pa.array(keys, pa.float64()), pa.array(toxics, pa.float64())], [*batch.schema.names[2:], "_weight", "_key", "_toxic"]
             )
 
     chosen = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), *keep)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[2:]), "_weight double", "_key double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[2:]), "_weight double", "_key double", "_toxic double"])
     return chosen.mapInArrow(run, schema)
 
 
-def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
-    """The weight that parts good from bad labelled texts best (the mean of both hit rates)."""
+def best_cut(good: np.ndarray, bad: np.ndarray, worth: float = 1.0, margin: bool = True) -> float:
+    """The weight that parts good from bad labelled texts best (the mean of both hit rates, that of the good counted `worth` times).
+
+    With `margin` it lies midway to the next lower weight, as unlabelled good texts weigh a little less than labelled ones.
+    """
     if not len(good) or not len(bad):
         return float("-inf")
     values = np.unique(np.r_[good, bad])
     kept = 1 - np.searchsorted(np.sort(good), values) / len(good)
     gone = np.searchsorted(np.sort(bad), values) / len(bad)
-    return float(values[np.argmax(kept + gone)])
+    best = int(np.argmax(worth * kept + gone))
+    return float((values[best] + values[max(0, best - 1)]) / 2 if margin else values[best])
 
 
 def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096, at_end: int = 10_000) -> float:
@@ -226,17 +286,22 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096, at_end
 def fit(docs: DataFrame, labels: DataFrame, rule: Resampling = Resampling(), id_column: str = "doc_id", text_column: str = "text") -> Model:
     """Count both models, weigh all texts and draw the sample.
 
-    The sample is as large as the number of texts that weigh no less than the weight that parts
-    the labelled texts best. Without labels of both kinds every text is sampled.
+    Toxic texts are out first, by a weight of their own. The sample is as large as the number of
+    others that weigh no less than the weight that parts the labelled texts best. Without labels of both kinds every text is sampled.
     """
     sample = labelled_rows(docs, labels, rule, id_column, text_column)
-    ratios = log_ratios(count_models(docs, sample, rule, id_column, text_column), sample, rule)
-    scored = stored(_scored(docs, ratios, rule, id_column, text_column, [F.col(id_column).alias("doc_id")]))
-    of_sample = scored.join(F.broadcast(docs.sparkSession.createDataFrame(list(sample.items()), "doc_id bigint, good boolean")), "doc_id")
-    weights = of_sample.groupBy("doc_id", "good").agg(F.min("_weight").alias("weight")).collect()
-    cut = best_cut(*(np.array([r.weight for r in weights if r.good == kind]) for kind in (True, False)))
-    size = scored.filter(F.col("_weight") >= cut).count()
-    return Model(rule, ratios, cut, size, kth_largest(scored, "_key", size))
+    counts = count_models(docs, sample, rule, id_column, text_column)
+    ratios, toxic = log_ratios(counts, sample, rule), toxic_ratios(counts, sample, rule)
+    scored = stored(_scored(docs, ratios, toxic, sample, rule, id_column, text_column, [F.col(id_column).alias("doc_id")]))
+    marked = docs.sparkSession.createDataFrame([(i, *mark) for i, mark in sample.items()], "doc_id bigint, quality int, toxic int")
+    rows = scored.join(F.broadcast(marked), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min("_weight").alias("weight"), F.max("_toxic").alias("harm")).collect()
+    cut = best_cut(*(np.array([r.weight for r in rows if kind(r)]) for kind in (lambda r: is_good((r.quality, r.toxic)), lambda r: r.quality == 0)))
+    # Turned round: the clean weigh less.
+    toxic_cut = -best_cut(*(np.array([-r.harm for r in rows if r.toxic == kind]) for kind in (0, 1)), rule.clean, margin=False)
+    toxic_cut = float(np.nextafter(toxic_cut, np.inf))
+    fine = stored(_scored(docs, ratios, toxic[:1], {}, rule, id_column, text_column, []).filter(F.col("_toxic") < toxic_cut))
+    size = fine.filter(F.col("_weight") >= cut).count()
+    return Model(rule, ratios, toxic[:1], toxic_cut, cut, size, kth_largest(fine, "_key", size))
 
 
 def weigh(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -246,11 +311,11 @@ def weigh(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     pass through; equal rows get equal keys, and texts with the last sampled key are all kept;
     no rows give no rows.
     """
-    scored = _scored(docs, model.ratios, model.rule, id_column, text_column, [F.col(id_column).alias("doc_id")])
-    return scored.select("doc_id", F.col("_weight").alias("log_weight"), F.col("_key").alias("sample_key"), (F.col("_key") >= model.last_key).alias("kept"))
+    scored = _scored(docs, model.ratios, model.toxic, {}, model.rule, id_column, text_column, [F.col(id_column).alias("doc_id")])
+    return scored.select("doc_id", F.col("_weight").alias("log_weight"), F.col("_key").alias("sample_key"), model.keeps().alias("kept"))
 
 
 def sampled(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of `docs` that were sampled, with their columns."""
-    scored = _scored(docs, model.ratios, model.rule, id_column, text_column, [F.col(c) for c in docs.columns])
-    return scored.filter(F.col("_key") >= model.last_key).drop("_weight", "_key")
+    scored = _scored(docs, model.ratios, model.toxic, {}, model.rule, id_column, text_column, [F.col(c) for c in docs.columns])
+    return scored.filter(model.keeps()).drop("_weight", "_key", "_toxic")

@@ -300,6 +300,24 @@ def test_resampling_parts_good_from_bad(spark, odd, nothing):
     assert weigh(docs, free).filter("kept").count() == 120 and fit(nothing, labels.limit(0)).size == 0
 
 
+@pytest.mark.parametrize("size", [100, 400, 1500])
+def test_planted_toxic_texts_go_at_every_size(spark, size):
+    """Rare toxic words, and a phrase whose words are common in clean texts."""
+
+    def text(i: int) -> str:
+        words = prose(i, 100).split()
+        words[10], words[30] = "you", "people"  # the words of the phrase, apart
+        if i % 10 == 0:
+            words[50:52] = ["you", "people"] if i % 20 else ["scum", "moron"]
+        return " ".join(words)
+
+    docs = frame(spark, [text(i) for i in range(size)])
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(size) if i % 10 or i % 40 < 30], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in weigh(docs, fit(docs, labels)).filter("kept").collect()}
+    assert not [i for i in kept if i % 10 == 0]
+    assert len(kept) >= 0.95 * 0.9 * size
+
+
 def test_kth_largest(spark):
     values = [float(i % 37) for i in range(500)]
     table = spark.createDataFrame([(v,) for v in values], "v double")
