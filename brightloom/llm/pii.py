@@ -3,8 +3,8 @@
 Taking out an address does little if a rare name beside it points to the same person. How
 much a word reveals is estimated from the corpus: the pointwise mutual information of word
 and entity, against the information of the entity itself. A word that (nearly) always stands
-with one entity reveals (nearly) all of it, and is generalised or removed where it stands near
-the entity. Built-in functions only.
+with one entity reveals (nearly) all of it, and is generalised or removed wherever it stands in
+the documents that hold the entity. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -23,14 +23,14 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-WORD = r"[\p{L}\p{N}]{3,}"
+WORD = r"[\p{L}\p{N}]+"
 KINDS = ("email", "ip", "card", "phone", "term")
 
 
 @dataclass(frozen=True)
 class Disclosure:
-    """reach: code points on either side of an entity in which words may reveal it. contexts: distinct
-    surroundings (the two words on either side) in which word and entity must have met. A word whose
+    """reach: code points on either side of an entity in which the two words that make up its surroundings are
+    looked for. contexts: distinct surroundings of the entity, in documents that hold the word as well. A word whose
     share of the entity's information reaches `generalise` is replaced by its class, at `remove` it is taken out.
     """
 
@@ -86,44 +86,50 @@ def scan(docs: DataFrame, rule: Disclosure, id_column: str, text_column: str) ->
 
         return F.transform(name, one)
 
-    return found.select("doc_id", "row", "key", F.concat(*map(tagged, KINDS[:4])).alias("base"))
+    found = found.select("doc_id", "row", "key", "text", F.concat(*map(tagged, KINDS[:4])).alias("base"))
+    bare = F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("label"))))
+    return with_replaced(found.withColumn("_bare", bare), "bare", "text", "_bare").drop("_bare")
 
 
 def surroundings(scanned: DataFrame) -> DataFrame:
-    """(row, entity, context, term, start, end, shape): the words around each entity, in their places."""
+    """(row, entity, contexts): each entity of a document, with hashes of the two words on either side of its places."""
     each = scanned.select("row", F.explode("base").alias("m")).select("row", "m.entity", "m.start", "m.end", "m.offset", "m.around")
     each = with_matches(each, "words", "around", WORD)
-    here = lambda w: F.struct(
-        F.lower(w["value"]).alias("term"), (w["start"] + F.col("offset")).alias("start"), (w["end"] + F.col("offset")).alias("end"), w["value"].alias("value")
-    )
+    here = lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + F.col("offset")).alias("start"), (w["end"] + F.col("offset")).alias("end"))
     whole = lambda w: ((w["start"] > 0) | (F.col("offset") == 0)) & (w["end"] < F.length("around"))
     each = each.withColumn("words", F.transform(F.filter("words", whole), here))
-    each = each.withColumn("words", F.filter("words", lambda w: (w["end"] <= F.col("start")) | (w["start"] >= F.col("end"))))
     before = F.slice(F.reverse(F.filter("words", lambda w: w["end"] <= F.col("start"))), 1, 2)
     after = F.slice(F.filter("words", lambda w: w["start"] >= F.col("end")), 1, 2)
     each = each.withColumn("context", F.xxhash64(F.transform(F.concat(before, after), lambda w: w["term"])))
-    return each.select("row", "entity", "context", F.explode("words").alias("w")).select("row", "entity", "context", "w.*")
+    return each.groupBy("row", "entity").agg(F.collect_set("context").alias("contexts"))
 
 
-def disclosing(docs: DataFrame, near: DataFrame, rule: Disclosure, text_column: str) -> DataFrame:
-    """(entity, term, share) of the words that reveal an entity, from counts over all documents.
+def disclosing(scanned: DataFrame, near: DataFrame, rule: Disclosure) -> DataFrame:
+    """(entity, term, share) of the words that reveal an entity, from counts over whole documents.
 
     share: pointwise mutual information over the information of the entity,
-    log(n(e,t) N / (n(e) n(t))) / log(N / n(e)), with n in documents. All counts combine before
-    their shuffles.
+    log(n(e,t) N / (n(e) n(t))) / log(N / n(e)), with n in documents, whose words are those outside
+    entities. As n(e,t) is n(e) at most, a word in more than N^(1-g) n(e)^g documents cannot reach a
+    share of g; such pairs are left out before the join by document. All counts combine before
+    their shuffles, so a hot entity or word is no task of its own.
     """
-    total = docs.count()
-    met = near.groupBy("entity", "term", "context").agg(F.lit(1).alias("_one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
-    both = near.groupBy("entity", "term", "row").agg(F.lit(1).alias("_one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
-    entity = near.groupBy("entity", "row").agg(F.lit(1).alias("_one")).groupBy("entity").agg(F.count(F.lit(1)).alias("holders"))
-    pairs = stored(met.filter(F.col("contexts") >= rule.contexts).join(both, ["entity", "term"]).join(entity, "entity"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_column), F.lit(WORD), F.lit(0)))).alias("term"))
-    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("users"))
-    known = pairs.join(counts, "term")
-    n = F.lit(float(max(total, 1)))
-    gained = F.log(F.col("together") * n / (F.col("holders") * F.col("users")))
-    share = F.when(F.col("holders") < n, gained / F.log(n / F.col("holders"))).otherwise(0.0)
-    return known.select("entity", "term", share.alias("share")).filter(F.col("share") >= rule.generalise)
+    total = float(max(scanned.count(), 1))
+    terms = F.array_distinct(F.regexp_extract_all(F.lower("bare"), F.lit(WORD), F.lit(0)))
+    counts = stored(scanned.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("users")))
+    entity = near.groupBy("entity").agg(F.count(F.lit(1)).alias("holders"))
+    held = stored(near.join(entity, "entity").withColumn("most", F.pow(F.lit(total), 1 - rule.generalise) * F.pow("holders", F.lit(rule.generalise)) + 1e-6))
+    rows = held.groupBy("row").agg(F.max("most").alias("_most"))
+    words = scanned.join(rows, "row").select("row", "_most", F.explode(terms).alias("term"))
+    words = words.join(counts, "term").filter(F.col("users") <= F.col("_most")).drop("_most")
+    pairs = held.join(words, "row").filter(F.col("users") <= F.col("most"))
+    if rule.contexts <= 2:
+        several = F.lit(True) if rule.contexts < 2 else F.min(F.array_min("contexts")) < F.max(F.array_max("contexts"))
+    else:
+        several = F.size(F.array_distinct(F.flatten(F.collect_set("contexts")))) >= rule.contexts
+    met = pairs.groupBy("entity", "term", "holders", "users").agg(F.count(F.lit(1)).alias("together"), several.alias("several"))
+    gained = F.log(F.col("together") * total / (F.col("holders") * F.col("users")))
+    share = F.when(F.col("holders") < total, gained / F.log(F.lit(total) / F.col("holders"))).otherwise(0.0)
+    return met.filter("several").select("entity", "term", share.alias("share")).filter(F.col("share") >= rule.generalise)
 
 
 SPANS = "array<struct<rank:int,start:bigint,end:bigint,kind:string,label:string>>"
@@ -133,21 +139,27 @@ def find_personal_data(docs: DataFrame, rule: Disclosure = Disclosure(), id_colu
     """(doc_id, key, spans) of every whole text; `key` is a hash of the text.
 
     spans, by kind and start: rank, start, end, kind, and the label that takes the span's place.
-    Kinds are `email`, `ip`, `card`, `phone` and `term`, a word that reveals an entity beside it.
+    Kinds are `email`, `ip`, `card`, `phone` and `term`, a word that reveals an entity of the same text.
     A null text has no spans; null ids pass through; each of several equal rows gets the same
     spans (as documents they count once each, as surroundings once together); no rows give no rows.
     """
     scanned = stored(scan(docs, rule, id_column, text_column))
     near = stored(surroundings(scanned))
-    shown = stored(disclosing(docs, near, rule, text_column))
-    label = (
-        F.when(F.col("share") >= rule.remove, F.lit(""))
-        .when(F.col("value").rlike("[0-9]"), F.lit("[NUMBER]"))
-        .when(F.col("value").rlike(r"^\p{Lu}"), F.lit("[NAME]"))
+    shown = stored(disclosing(scanned, near, rule))
+    label = lambda share, value: (
+        F.when(share >= rule.remove, F.lit(""))
+        .when(value.rlike("[0-9]"), F.lit("[NUMBER]"))
+        .when(value.rlike(r"^\p{Lu}"), F.lit("[NAME]"))
         .otherwise(F.lit("[WORD]"))
     )
-    term = F.struct(F.lit(4).alias("rank"), "start", "end", F.lit("term").alias("kind"), label.alias("label"))
-    terms = near.join(shown, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max(term).alias("t")).groupBy("row").agg(F.collect_list("t").alias("terms"))
+    shares = near.join(shown, "entity").groupBy("row", "term").agg(F.max("share").alias("share"))
+    shares = shares.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
+    texts = with_matches(scanned.select("row", "text").join(shares, "row"), "words", "text", WORD)
+    share = lambda w: F.try_element_at("shares", F.lower(w["value"]))
+    term = lambda w: F.struct(
+        F.lit(4).alias("rank"), w["start"].alias("start"), w["end"].alias("end"), F.lit("term").alias("kind"), label(share(w), w["value"]).alias("label")
+    )
+    terms = texts.select("row", F.transform(F.filter("words", lambda w: share(w).isNotNull()), term).alias("terms"))
     base = F.transform(
         "base", lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label"))
     )

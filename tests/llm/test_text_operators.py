@@ -279,6 +279,17 @@ def test_personal_data(spark):
     assert sanitise(docs).columns == docs.columns
 
 
+def test_personal_data_over_whole_texts(spark):
+    """A name and a short code that give an address away go wherever they stand in its documents."""
+    far = lambda i: prose(70 + i, 60)
+    texts = [f"Write to kim@example.org {far(0)} Zyxwell {far(1)} zyxwell of Q7 said", f"{far(2)} Q7 Zyxwell {far(3)} mail kim@example.org now"]
+    texts += [f"at kim@example.org Zyxwell, {far(4)} Q7", *(prose(200 + i, 60) for i in range(60)), "lee@example.org " + prose(300, 60), prose(301, 60) + " lee@example.org"]
+    clean = {r.doc_id: r.text for r in sanitise(frame(spark, texts)).collect()}
+    for i in range(3):
+        assert not re.search("zyxwell|q7|kim@", clean[i], re.I)
+    assert clean[1].split()[:60] == far(2).split() and [clean[i] for i in range(3, 63)] == texts[3:63]
+
+
 def test_secrets(spark):
     texts = ['password = "hunter2hunter"', "key AKIA" + "A1" * 10, "id 0123456789abcdef01234567 end", None, "secret: abc"]
     rows = {r.doc_id: r for r in scan_secrets(frame(spark, texts), F.col("source"), F.col("lang")).collect()}
