@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-DROPPED = frozenset("head template noscript svg math canvas object audio video select datalist button".split())
+DROPPED = frozenset("head template noscript svg canvas object audio video select datalist annotation annotation-xml".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img"
+    " math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
@@ -45,7 +46,7 @@ HINTS = {
     "content": "article content post entry story main body text",
 }
 ROLES = {"navigation": "menu", "banner": "head", "contentinfo": "foot", "complementary": "side", "search": "form", "form": "form", "dialog": "notice", "alert": "notice", "main": "main", "article": "article"}
-ELEMENTS = {"nav": "menu", "menu": "menu", "footer": "foot", "aside": "side", "form": "form", "fieldset": "form", "dialog": "notice", "article": "article", "main": "main"}
+ELEMENTS = {"nav": "menu", "menu": "menu", "footer": "foot", "aside": "side", "form": "form", "fieldset": "form", "button": "form", "dialog": "notice", "article": "article", "main": "main"}
 
 FEATURES = (
     "any article main content advert notice menu head foot side comment share form hidden heading words8 words25 linked30 linked60".split()
@@ -56,11 +57,15 @@ ARTICLE = BIT["article"] | BIT["main"]
 WORDS8, WORDS25, LINKED30, LINKED60, HEADING = (BIT[name] for name in ("words8", "words25", "linked30", "linked60", "heading"))
 BOILERPLATE = sum(BIT[kind] for kind in "advert notice menu head foot side comment share form hidden".split())
 
+# A quoted value goes to its closing quote, however far. Where there is none the quote stands for itself; no
+# further one follows then, so each kind of quote is looked for in vain once a page, and reading stays linear.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</?([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"<>]*+\"|'[^'<>]*+'|\"[^\"]{0,4096}+\"|'[^']{0,4096}+'|[\"'])*+)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</?([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?|=\s*+(?:\"[^\"]*+\"|'[^']*+')")
+READ = frozenset("class id role style hidden aria-hidden".split())
+LONG = 4096  # Attributes of more characters are read each time, not remembered.
 WORDS = re.compile(r"[a-z]+")
 NAMES = re.compile(r"[^\s]+")
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -91,14 +96,20 @@ class Labelling:
         return np.array([dict(self.prior)[name] for name in FEATURES])
 
 
-@lru_cache(100_000)
 def hints(name: str, attributes: str, in_article: bool) -> int:
     """Features an element gives to all blocks in it."""
+    return (_hints if len(attributes) <= LONG else _hints.__wrapped__)(name, attributes, in_article)
+
+
+@lru_cache(100_000)
+def _hints(name: str, attributes: str, in_article: bool) -> int:
     found = BIT[ELEMENTS[name]] if name in ELEMENTS else 0
     if name == "header" and not in_article:
         found |= BIT["head"]
     for match in ATTRIBUTE.finditer(attributes) if attributes.strip("/ \n") else ():
-        key, value = match[1].lower(), next((x for x in match.groups()[1:] if x), "")
+        key, value = (match[1] or "").lower(), next((x for x in match.groups()[1:] if x), "")
+        if key not in READ:
+            continue
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             found |= BIT["hidden"]
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):

@@ -218,6 +218,19 @@ def test_main_text_of_shapes(spark):
         assert main_text(source, weights) == ""
 
 
+def test_main_text_of_long_attributes_and_formulas():
+    weights = Weights(Labelling().weights())
+    text = prose(9, 40)
+    for quote, inner in (("'", '"'), ('"', "'")):
+        value = f"<div class={inner}ad{inner}>not > text</div> " * 1000
+        assert main_text(f"<article data-state={quote}{value}{quote}><p>{text}</p></article>", weights) == text
+    formula = "<math><mrow><mi>a</mi><mo>+</mo><msup><mi>b</mi><mn>2</mn></msup></mrow></math>"
+    assert main_text(f"<article><p>{text} {formula} {text}</p></article>", weights) == f"{text} a+b2 {text}"
+    assert main_text(f"<article><p title='it>{text}</p></article>", weights) == text
+    for source in ("<a x='" * 30_000, "<a x=" * 30_000, "<p =\"" * 30_001 + "'", "<a x='>" * 30_001):
+        main_text(source, weights)
+
+
 def test_main_text_of_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("*", F.lit("clash").alias("text"))
     found = {r.page_id: r.text for r in extract(pages, fit_weights(pages)).collect()}
