@@ -67,6 +67,8 @@ class SearchOptions:
     edge_types: tuple[str, ...] = DEFAULT_EDGE_TYPES
     candidate_factor: int = CANDIDATE_FACTOR
     strict_ascii_terms: bool = False
+    # Apply the filters to the keyword arm before it is cut to its candidates, not only to what the cut leaves.
+    filter_before_cut: bool = False
 
     def __post_init__(self):
         if not 1 <= self.top_k <= MAX_TOP_K:
@@ -113,6 +115,13 @@ def fuse_ranks(arms: DataFrame, k: int = RRF_K) -> DataFrame:
     )
 
 
+def admitted_chunks(corpus: Corpus, filters: SearchFilters) -> DataFrame:
+    """(chunk_id) of the chunks whose page meets the filters, by its live fields."""
+    tiers = corpus.sources.select("source_id", F.col("tier").alias("source_tier"))
+    pages = corpus.pages.join(tiers, "source_id", "left").withColumn("source_tier", F.coalesce("source_tier", F.lit(0)))
+    return corpus.chunks.select("chunk_id", "page_id").join(pages.filter(filters.condition()).select("page_id"), "page_id", "left_semi").select("chunk_id")
+
+
 def ranked_arms(queries: DataFrame, corpus: Corpus, options: SearchOptions) -> DataFrame:
     """Both arms of the search, as far as the mode asks for them, in one list."""
     wanted = options.top_k * options.candidate_factor
@@ -121,7 +130,8 @@ def ranked_arms(queries: DataFrame, corpus: Corpus, options: SearchOptions) -> D
         near = nearest_vectors(queries, filter_vectors(corpus.vectors, options.filters), wanted)
         arms.append(near.select("query_id", F.lit("semantic").alias("arm"), F.col("vector_id").alias("chunk_id"), "rank", "score"))
     if options.mode != "semantic":
-        hits = keyword_hits(queries, corpus.text_index, wanted, options.strict_ascii_terms)
+        admitted = admitted_chunks(corpus, options.filters) if options.filter_before_cut else None
+        hits = keyword_hits(queries, corpus.text_index, wanted, options.strict_ascii_terms, admitted)
         arms.append(hits.select(F.col("query_id").cast("string").alias("query_id"), F.lit("keyword").alias("arm"), "chunk_id", "rank", "score"))
     return arms[0] if len(arms) == 1 else arms[0].unionByName(arms[1])
 

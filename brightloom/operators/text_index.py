@@ -94,12 +94,15 @@ def index_differences(index: TextIndex, chunks: DataFrame) -> DataFrame:
     return both.filter(~F.col("tf").eqNullSafe(F.col("expected_tf")))
 
 
-def keyword_hits(queries: DataFrame, index: TextIndex, k: int, strict_ascii: bool = False) -> DataFrame:
+def keyword_hits(
+    queries: DataFrame, index: TextIndex, k: int, strict_ascii: bool = False, admitted: DataFrame | None = None
+) -> DataFrame:
     """The `k` best chunks holding *all* terms of a query, by BM25, lower is better.
 
     The rarest term of a query names its candidates, so a term found in a third of all
     chunks is looked up by (term, chunk) and never listed in full unless every term of the
     query is that common. A query without terms finds nothing.
+    Only chunks of `admitted(chunk_id)`, if given, are candidates; scores are those of the whole index.
     """
     terms = (
         unrolled(queries, ["query_id"], X.query_tokens(F.col("text"), strict_ascii), "term")
@@ -122,6 +125,8 @@ def keyword_hits(queries: DataFrame, index: TextIndex, k: int, strict_ascii: boo
         .select("query_id", "chunk_id", "n_terms")
         .join(index.lengths, "chunk_id")
     )
+    if admitted is not None:
+        candidates = candidates.join(admitted, "chunk_id", "left_semi")
     wanted = candidates.join(weighed.select("query_id", "term", "repeats", "df"), "query_id")
     found = wanted.join(asked, ["chunk_id", "term"])
     idf = F.ln((n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -164,9 +164,12 @@ EMBEDDED = f"""{HITS},
   embedded AS (SELECT id, CAST(CAST(e AS FLOAT[]) AS DOUBLE[]) AS e FROM unit)"""
 
 
-def _hybrid_oracle(condition: str, select: str, expand: str = "", arms: str = "semantic hybrid keyword") -> str:
+def _hybrid_oracle(condition: str, select: str, expand: str = "", arms: str = "semantic hybrid keyword", filter_first: bool = False) -> str:
     semantic = "SELECT query_id, 'semantic' AS arm, chunk_id, rank, score FROM near WHERE rank <= 30"
     keyword = "SELECT query_id, 'keyword' AS arm, chunk_id, rank, score FROM hits"
+    if filter_first:
+        admitted = "SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), chunk_id) AS rank FROM ranked JOIN allowed USING (chunk_id)"
+        keyword = f"SELECT query_id, 'keyword' AS arm, chunk_id, rank, score FROM ({admitted}) WHERE rank <= 30"
     used = " UNION ALL ".join(sql for name, sql in (("semantic", semantic), ("keyword", keyword)) if name in arms)
     return f"""WITH {EMBEDDED},
   described AS (SELECT p.page_id, p.source_id, p.url, p.title, p.page_type, p.language, p.lifecycle, p.crawled_at, s.tier AS source_tier
@@ -235,6 +238,12 @@ def hybrid_search_filtered(t):
     return _search(t, filters=FILTERS)
 
 
+@query(_hybrid_oracle(FILTER_SQL, RESULT, filter_first=True), CORPUS_VIEWS)
+def hybrid_search_filtered_first(t):
+    """The keyword arm is filtered before it is cut to its candidates."""
+    return _search(t, filters=FILTERS, filter_before_cut=True)
+
+
 @query(_hybrid_oracle("page_type = 'type3'", RESULT, arms="semantic"), CORPUS_VIEWS)
 def semantic_search(t):
     """One page type asked for: the search stays in that namespace."""

@@ -155,6 +155,12 @@ def test_hybrid_orders_by_fused_score_and_tier(spark):
     assert got[0]["freshness"] == pytest.approx(0.5 ** (30 / 90))
 
 
+def test_filters_before_the_cut_of_the_keyword_arm(spark):
+    options = dict(mode="keyword", top_k=1, candidate_factor=1, filters=hybrid.SearchFilters(lifecycle="deprecated"))
+    assert search(spark, **options) == []  # the one candidate is of another page
+    assert [r["page_id"] for r in search(spark, filter_before_cut=True, **options)] == ["2"]
+
+
 def test_filters_guard_both_arms(spark):
     only = hybrid.SearchFilters(page_types=("t1",), tiers_max=2, lifecycle="active")
     assert {r["page_id"] for r in search(spark, filters=only)} == {"1", "3"}
