@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.llm.decontamination import find_leaks
 from brightloom.llm.main_text import extract, fit_weights
 from brightloom.llm.pii import find_personal_data, personal_digests
+from brightloom.llm.periodic import periodic_runs, run_digests
 from brightloom.llm.pieces import encode_pieces, piece_digests
 from brightloom.llm.quality import compression_bands
 from brightloom.llm.repeats import remove_repeats
 from brightloom.llm.resampling import fit, weigh
 from brightloom.llm.secrets import scan_secrets, secret_digests
 from brightloom.llm.simhash import near_duplicates
+from brightloom.llm.spelling import count_words, spelling_variants
 from brightloom.llm.warc import build_index, keyed, look_up, read_records, write_archives
+from brightloom.functions.shaping import let
 from brightloom.session import ensure_settings
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -106,3 +110,44 @@ def op10_resampling(spark: SparkSession, root: str) -> DataFrame:
     """Importance of every document for the labelled good text, and whether it is sampled."""
     docs = read(spark, root, "documents")
     return weigh(docs, fit(docs, read(spark, root, "labels")))
+
+
+def worn(ident: int | None, word: str) -> str:
+    """The word, for one of 31 pairs of document and word without one of its code points."""
+    if ident is None:
+        return word
+    code = zlib.crc32(f"{ident}:{word}".encode())
+    if code % 31:
+        return word
+    gone = code % len(word)
+    return word[:gone] + word[gone + 1 :]
+
+
+@query
+def op12_spelling(spark: SparkSession, root: str) -> DataFrame:
+    """Every word of the documents, some of which are misspelt on purpose, with the form it is a variant of."""
+    return spelling_variants(count_words(read(spark, root, "documents"), changed=worn))
+
+
+def looped(text: Column, ident: Column) -> Column:
+    """The text, for one of ten documents with all words from some place on as the first of them repeated."""
+    code = F.crc32(ident.cast("string").cast("binary"))
+    turn = F.floor(code / F.lit(10))
+
+    def put(words: Column) -> Column:
+        n = F.size(words)
+        start = turn % n
+        period = 1 + F.floor((n - start) / (3 + turn % 8))
+        places = F.sequence(F.lit(0).cast("bigint"), n - F.lit(1).cast("bigint"))
+        again = let(F.struct(start.alias("a"), period.alias("p")), lambda x: F.transform(places, lambda i: F.get(words, F.when(i < x["a"], i).otherwise(x["a"] + (i - x["a"]) % x["p"]).cast("int"))))
+        return F.when(n > 0, F.array_join(again, " ")).otherwise(text)
+
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    return F.when((code % 10 == 0) & text.isNotNull(), let(words, put)).otherwise(text)
+
+
+@query
+def op13_periodic(spark: SparkSession, root: str) -> DataFrame:
+    """Periodic runs of every document, some of which are made to repeat themselves."""
+    docs = read(spark, root, "documents")
+    return run_digests(periodic_runs(docs.withColumn("text", looped(F.col("text"), F.col("doc_id")))))
