@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.llm.decontamination import find_leaks
+from brightloom.llm.jaccard import similar_groups
 from brightloom.llm.main_text import extract, fit_weights
 from brightloom.llm.pii import find_personal_data, personal_digests
 from brightloom.llm.periodic import periodic_runs, run_digests
@@ -112,6 +113,12 @@ def op10_resampling(spark: SparkSession, root: str) -> DataFrame:
     return weigh(docs, fit(docs, read(spark, root, "labels")))
 
 
+@query
+def op11_jaccard(spark: SparkSession, root: str) -> DataFrame:
+    """Number of different shingles and group of similar texts of every document."""
+    return similar_groups(read(spark, root, "documents"))
+
+
 def worn(ident: int | None, word: str) -> str:
     """The word, for one of 31 pairs of document and word without one of its code points."""
     if ident is None:
