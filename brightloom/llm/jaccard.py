@@ -98,6 +98,7 @@ def name_of(grams: np.ndarray) -> int:
 
 
 EXACT, LEFT_OUT = 0, 1
+PLAIN = "tag & 3 = 2"  # in the own band, nothing left out
 
 
 def segment_rows(grams: np.ndarray, rule: Jaccard) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -147,7 +148,7 @@ def row_key() -> Column:
 
 
 def shared_segments(docs: DataFrame, rule: Jaccard, id_column: str, text_column: str) -> DataFrame:
-    """(sig, name, size, tag, least) of all segments that different sets have; `least` is the smallest name that has it.
+    """(sig, name, size, tag) of all segments that different sets have.
 
     Each task hands a set on once, however many copies of it there are. One shuffle by signature; a
     signature has at most one row of each set, and sets have many, so no task gets a large part.
@@ -178,10 +179,10 @@ def shared_segments(docs: DataFrame, rule: Jaccard, id_column: str, text_column:
     rows = id_and_text(docs, id_column, text_column).mapInArrow(run, "sig bigint, name bigint, size bigint, tag bigint")
     same = Window.partitionBy("sig")
     found = rows.withColumn("least", F.min("name").over(same)).withColumn("most", F.max("name").over(same))
-    return found.filter("least < most").drop("most").distinct()
+    return found.filter("least < most").drop("least", "most").distinct()
 
 
-def read_sets(docs: DataFrame, sets: DataFrame, names: DataFrame, rule: Jaccard, id_column: str, text_column: str) -> DataFrame:
+def read_sets(docs: DataFrame, sizes: DataFrame, names: DataFrame, rule: Jaccard, id_column: str, text_column: str) -> DataFrame:
     """(name, grams) of `names(name)`, read again from one row of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +192,7 @@ def read_sets(docs: DataFrame, sets: DataFrame, names: DataFrame, rule: Jaccard,
                 found = [(name_of(grams), grams.tobytes()) for grams in shingle_sets(texts[first:last], rule)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["name", "grams"])
 
-    at = sets.join(names, "name", "left_semi").groupBy("name").agg(F.min("at").alias("at")).select(F.col("at").alias("_at"))
+    at = sizes.join(names, "name", "left_semi").select(F.col("at").alias("_at"))
     rows = id_and_text(docs, id_column, text_column).select("_text", row_key().alias("_at"))
     return rows.join(at, "_at", "left_semi").select("_text").mapInArrow(run, "name bigint, grams binary").groupBy("name").agg(F.first("grams").alias("grams"))
 
@@ -213,17 +214,28 @@ def linked(pairs: DataFrame, sets: DataFrame, rule: Jaccard) -> DataFrame:
     return joined.select("a", "b", "one", "other").mapInArrow(run, "a bigint, b bigint")
 
 
-def likely_pairs(shared: DataFrame, sizes: DataFrame, rule: Jaccard) -> DataFrame:
-    """(a, b) of each set with those it shares most segments with, of the sets that come first in some segment."""
-    own = shared.filter((F.col("tag") % 2 == EXACT) & F.col("tag").bitwiseAND(F.lit(2)).cast("boolean") & (F.col("name") > F.col("least")))
-    counts = own.groupBy("name", "least").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.join(sizes, "name").filter(F.col("n") * rule.alike >= F.col("segments"))
-    place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "least"))
-    return counts.withColumn("place", place).filter(F.col("place") <= rule.nearest).select(F.col("least").alias("a"), F.col("name").alias("b"))
+def lone_segments(shared: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(name, segments, alone) of each set with shared segments: how many it has, and how many that no other has."""
+    plain = shared.filter(PLAIN).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(plain, "name").select("name", "segments", (F.col("segments") - F.col("n")).alias("alone"))
 
 
-def cheapest_pairs(placed: DataFrame, sizes: DataFrame, rule: Jaccard) -> DataFrame:
-    """Candidates (a, b) from different components: all that link are among them.
+def likely_pairs(shared: DataFrame, alone: DataFrame, rule: Jaccard) -> DataFrame:
+    """(a, b) of each set b with the hubs that it shares most segments with.
+
+    The hub of a segment is the set that has it and the fewest segments alone; among copies with
+    edits that is the original, or the least edited one.
+    """
+    hub = F.min(F.struct("alone", "name")).over(Window.partitionBy("sig"))["name"]
+    counts = shared.filter(PLAIN).join(alone, "name").withColumn("hub", hub).filter("hub <> name").groupBy("name", "hub", "segments").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "hub"))
+    counts = counts.filter(F.col("n") * rule.alike >= F.col("segments")).withColumn("place", place)
+    return counts.filter(F.col("place") <= rule.nearest).select(F.col("hub").alias("a"), F.col("name").alias("b"))
+
+
+def cheapest_lookups(placed: DataFrame, sizes: DataFrame, rule: Jaccard) -> tuple[DataFrame, DataFrame]:
+    """Lookups (sig, exact, name, label, size) that find all links between components, and the index rows
+    (likewise) that they meet: `exact` says which rows of the index a lookup is for.
 
     A set may look up each of its `segments`, and each of `both_ways` with one n-gram left out on either
     side. It differs from a larger set that it links with in at most `differing` n-grams, so if of
@@ -249,10 +261,80 @@ def cheapest_pairs(placed: DataFrame, sizes: DataFrame, rule: Jaccard) -> DataFr
     place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("cost"), "plainly", "segment"))
     taken = ways.withColumn("place", place).join(spare, "name").filter("place > spare").select("name", "segment", "plainly")
     asked = rows.filter("own").join(taken, ["name", "segment"]).filter("exact OR NOT plainly")
-    asked = asked.select("sig", F.col("name").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"), (F.col("exact") & F.col("plainly") | ~F.col("exact")).alias("exact"))
-    met = rows.select("sig", F.col("name").alias("b"), "label", "size", "exact")
-    fits = (F.col("label") != F.col("label_a")) & (F.struct("size_a", "a") < F.struct("size", "b")) & (F.col("size") * rule.least <= F.col("size_a") * rule.of)
-    return asked.join(met, ["sig", "exact"]).filter(fits).select("a", "b").distinct()
+    asked = stored(asked.select("sig", (F.col("exact") & F.col("plainly") | ~F.col("exact")).alias("exact"), "name", "label", "size"))
+    met = rows.join(asked.select("sig", "exact").distinct(), ["sig", "exact"]).select("sig", "exact", "name", "label", "size")
+    return asked, met
+
+
+def lone_grams(sets: DataFrame) -> DataFrame:
+    """(name, lone): how many n-grams of each of `sets(name, grams)` no other of them has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, grams in zip(batch.column(0), batch.column(1)):
+                found = pa.Array.from_buffers(pa.int64(), len(grams.as_buffer()) // 8, [None, grams.as_buffer()])
+                yield pa.RecordBatch.from_arrays([found, pa.repeat(name, len(found))], ["gram", "name"])
+
+    rows = sets.select("name", "grams").mapInArrow(run, "gram bigint, name bigint")
+    held = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name")).filter("n = 1")
+    return held.groupBy("name").agg(F.count(F.lit(1)).alias("lone"))
+
+
+def may_link(rule: Jaccard) -> Column:
+    """Whether rows (name, label, size, shareable) and (a, label_a, size_a, shareable_a) of different
+    components, the second the smaller, may link: the intersection has to be `least / (least + of)` of both sizes together."""
+    both, least = rule.of + rule.least, rule.least
+    apart = (F.col("label") != F.col("label_a")) & (F.struct("size_a", "a") < F.struct("size", "name"))
+    return apart & (F.col("size") * least <= F.col("size_a") * rule.of) & (both * F.least("shareable", "shareable_a") >= least * (F.col("size") + F.col("size_a")))
+
+
+def with_shareable(rows: DataFrame, lone: DataFrame, rule: Jaccard) -> DataFrame:
+    """The rows (name, size, ...) with the number of their n-grams that some other set has, without those that have too few to link at all."""
+    rows = rows.join(lone, "name", "left").withColumn("shareable", F.col("size") - F.coalesce("lone", F.lit(0))).drop("lone")
+    return rows.filter(rule.of * F.col("shareable") >= rule.least * F.col("size"))
+
+
+def as_smaller(rows: DataFrame) -> DataFrame:
+    return rows.withColumnsRenamed({"name": "a", "label": "label_a", "size": "size_a", "shareable": "shareable_a"})
+
+
+def candidate_pairs(asked: DataFrame, met: DataFrame, lone: DataFrame, rule: Jaccard) -> DataFrame:
+    """(a, b) of different components that meet in a lookup and may link."""
+    one = with_shareable(asked, lone, rule).filter((rule.of + rule.least) * F.col("shareable") >= 2 * rule.least * F.col("size"))
+    pairs = as_smaller(one).join(with_shareable(met, lone, rule), ["sig", "exact"]).filter(may_link(rule))
+    return pairs.select("a", F.col("name").alias("b")).distinct()
+
+
+def links_in_clusters(members: DataFrame, grams: DataFrame, lone: DataFrame, rule: Jaccard) -> tuple[DataFrame, DataFrame]:
+    """Links and candidates (a, b) that join all linked `members(name, size, label, cluster, hub)` of a cluster.
+
+    Two sets differ by as much as their differences from the hub do. Those of one label hang
+    together already. If the differences from the hub are small enough together, the sets link in any case; the set with
+    least to spare is then a link's end for all of these. Otherwise the differences have an n-gram in common
+    if the sets link, and one of the rarest `differing + 1` of either.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = [np.setxor1d(*(np.frombuffer(x.as_buffer(), np.int64) for x in pair), assume_unique=True) for pair in zip(batch.column(5), batch.column(6))]
+            ends = pa.array(np.cumsum([0, *map(len, apart)]), pa.int32())
+            rows = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(apart) if apart else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], rows], ["name", "size", "label", "cluster", "shareable", "apart"])
+
+    hubs = grams.select(F.col("name").alias("hub"), F.col("grams").alias("hub_grams"))
+    rows = with_shareable(members, lone, rule).join(grams, "name").join(hubs, "hub")
+    rows = rows.select("name", "size", "label", "cluster", "shareable", "grams", "hub_grams")
+    rows = stored(rows.mapInArrow(run, "name bigint, size bigint, label bigint, cluster bigint, shareable bigint, apart array<bigint>"))
+    over = ((rule.of + rule.least) * F.size("apart") - (rule.of - rule.least) * F.col("size")).alias("over")
+    nearest = rows.groupBy("cluster").agg(F.min(F.struct(over, "name")).alias("best"))
+    certain = rows.select("name", "cluster", over).join(nearest, "cluster").filter("name <> best.name AND over + best.over <= 0").select(F.col("best.name").alias("a"), F.col("name").alias("b"))
+    each = rows.select("name", "size", "label", "cluster", "shareable", F.explode("apart").alias("gram"))
+    each = each.join(each.groupBy("cluster", "gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["cluster", "gram"], "left")
+    place = F.row_number().over(Window.partitionBy("name").orderBy(F.coalesce("n", F.lit(1)), "gram"))
+    first = each.withColumn("place", place).filter(F.expr(f"place <= 1 + size * {rule.of - rule.least} div {rule.least} AND n > 1"))
+    first = stored(first.select("cluster", "gram", "name", "size", "label", "shareable"))
+    pairs = as_smaller(first).join(first, ["cluster", "gram"]).filter(may_link(rule))
+    return certain, pairs.select("a", F.col("name").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame, rule: Jaccard = Jaccard(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -260,30 +342,44 @@ def similar_groups(docs: DataFrame, rule: Jaccard = Jaccard(), id_column: str =
     that it hangs together with by links, itself included.
 
     Texts with equal sets are one from the start (sets are told apart by size and a 64-bit hash, as n-grams are). Each set
-    is first compared with those it shares most segments with, which joins most of what is
-    alike; then all candidate pairs between components that the pigeonhole gives are compared. So no
-    pairs are made within a group of copies, and no link between groups is lost.
+    is first compared with the hubs it shares most segments with, which joins most of what is
+    alike. Sets around a hub that did not link are told apart by what they differ in from it; all others by
+    the candidate pairs that the pigeonhole gives. So no pairs are made within a group of copies, few within one of near copies, and no link between groups is lost.
 
     A null or blank text has no n-grams, links with nothing and is its own component; rows with a null id
     hang together like others but give no component its id (null if there is no other); equal rows
     get equal results; no rows give no rows; other columns are not looked at.
     """
     sets = stored(named_sets(docs, rule, id_column, text_column))
-    sizes = stored(sets.filter("name IS NOT NULL").groupBy("name").agg(*[F.first(c).alias(c) for c in ("n_shingles", "segments", "both_ways")], F.min("doc_id").alias("first")))
+    first = [F.first(c).alias(c) for c in ("n_shingles", "segments", "both_ways")]
+    sizes = stored(sets.filter("name IS NOT NULL").groupBy("name").agg(*first, F.min("doc_id").alias("first"), F.min("at").alias("at")))
     shared = stored(shared_segments(docs, rule, id_column, text_column))
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-        grams = stored(read_sets(docs, sets, ends, rule, id_column, text_column))
-        return stored(linked(pairs, grams, rule))
-
-    links = compared(stored(likely_pairs(shared, sizes, rule)))
-    roots = components(links).select(F.col("node").alias("name"), "root")
+    def read(*names: DataFrame) -> DataFrame:
+        wanted = names[0].union(names[1]).distinct()
+        return stored(read_sets(docs, sizes, wanted, rule, id_column, text_column))
+
+    def groups(links: DataFrame, name: str) -> DataFrame:
+        return components(links).select(F.col("node").alias("name"), F.col("root").alias(name))
+
+    alone = stored(lone_segments(shared, sizes))
+    likely = stored(likely_pairs(shared, alone, rule))
+    links = stored(linked(likely, read(likely.select(F.col("a").alias("name")), likely.select("b")), rule))
+    clusters = stored(
+        groups(likely, "cluster").join(groups(links, "label"), "name", "left").join(alone, "name").join(sizes.select("name", F.col("n_shingles").alias("size")), "name")
+        .select("name", "size", "alone", "cluster", F.coalesce("label", "name").alias("label"))
+    )
+    mixed_ones = clusters.groupBy("cluster").agg(F.min(F.struct("alone", "name"))["name"].alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    members = stored(clusters.join(mixed_ones, "cluster").select("name", "size", "label", "cluster", "hub"))
+    placed = shared.join(clusters.select("name", "cluster"), "name", "left").select("sig", "name", "size", "tag", F.coalesce("cluster", "name").alias("label"))
+    asked, met = cheapest_lookups(placed, sizes, rule)
+    met = stored(met)
+    grams = read(members.select("name").union(asked.select("name")), met.select("name"))
+    lone = stored(lone_grams(grams))
+    certain, close = links_in_clusters(members, grams, lone, rule)
+    pairs = close.union(candidate_pairs(asked, met, lone, rule))
+    roots = groups(links.union(certain).union(stored(linked(pairs, grams, rule))), "root")
     label = F.coalesce("root", "name").alias("label")
-    placed = shared.join(roots, "name", "left").select("sig", "name", "size", "tag", label)
-    pairs = stored(cheapest_pairs(placed, sizes, rule))
-    if not pairs.isEmpty():
-        roots = components(links.union(compared(pairs))).select(F.col("node").alias("name"), "root")
     named = sizes.join(roots, "name", "left").select("name", "first", label)
     heads = named.groupBy("label").agg(F.min("first").alias("component_id"))
     named = stored(named.join(heads, "label").select("name", "component_id"))

@@ -9,7 +9,7 @@ import re
 import pytest
 
 from brightloom.llm import queries
-from brightloom.llm.jaccard import Jaccard, cheapest_pairs, named_sets, segment_rows, shared_segments, shingle_sets, similar_groups
+from brightloom.llm.jaccard import Jaccard, candidate_pairs, cheapest_lookups, lone_grams, named_sets, read_sets, segment_rows, shared_segments, shingle_sets, similar_groups
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -91,15 +91,28 @@ def test_pigeonhole_alone_finds_every_link(spark, rule):
     rows = [(i, t) for i, (_, t) in enumerate(corpus(4)) if t]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     sets = named_sets(docs, rule, "doc_id", "text")
-    sizes = sets.filter("name is not null").groupBy("name").agg(*[F.first(c).alias(c) for c in ("n_shingles", "segments", "both_ways")])
+    sizes = sets.filter("name is not null").groupBy("name").agg(*[F.first(c).alias(c) for c in ("n_shingles", "segments", "both_ways", "at")])
     placed = shared_segments(docs, rule, "doc_id", "text").withColumn("label", F.col("name"))
-    found = {frozenset(r) for r in cheapest_pairs(placed, sizes, rule).collect()}
+    asked, met = cheapest_lookups(placed, sizes, rule)
+    lone = lone_grams(read_sets(docs, sizes, asked.select("name").union(met.select("name")).distinct(), rule, "doc_id", "text"))
+    found = {frozenset(r) for r in candidate_pairs(asked, met, lone, rule).collect()}
     names = {r.doc_id: r.name for r in sets.collect()}
     grams = {i: shingles(t) for i, t in rows}
     links = {frozenset((names[i], names[j])) for i, j in itertools.combinations(grams, 2) if names[i] != names[j] and alike(grams[i], grams[j], rule.least)}
     assert links and links <= found
 
 
+def test_crowd_around_a_hub(spark):
+    """Hundreds of edited copies of one text, the original among them or not, many just below the threshold."""
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 40)}x{i % 50}" for i in range(150)]
+    for first in (0, 1):
+        rows = [(i, " ".join(edited(rng, base, first + i % 5))) for i in range(160)]
+        got = similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        want = brute(rows)
+        assert sorted((tuple(r) for r in got), key=str) == want and 10 < len({r[2] for r in want}) < 150
+
+
 def test_segments_differ_no_more_than_sets():
     """Equal segments have equal signatures, and one n-gram more or less meets in the neighbourhood."""
     rule = Jaccard(neighbours=1)
