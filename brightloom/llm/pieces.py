@@ -74,15 +74,17 @@ class Codec:
         self.raw_bytes = frozenset(values)
         self.alone = all(c in self.ids for c in set(chain.from_iterable(self.ids)))
         self.known = frozenset(chain.from_iterable(self.ids))
+        # Only pieces that merging their characters gives can be part of an encoding.
+        self.standing = {piece: i for piece, i in self.ids.items() if self.merged(piece) == [piece]}
         self.matcher = ahocorasick.Automaton()
-        for piece in self.ids:
-            self.matcher.add_word(piece, len(piece))
+        for piece, i in self.standing.items():
+            self.matcher.add_word(piece, (len(piece), i))
         self.matcher.make_automaton()
-        self.whole: dict[str, bool] = {}
+        self.text_of = [piece for piece, _, _ in pieces]
         self.spines: dict[tuple[str, bool], list[tuple[str, float, float]] | None] = {}
-        self.beside: dict[tuple[str, str], bool] = {}
+        self.beside: dict[int, bool] = {}
         self.stretches = Remembered(self._stretch, remembered // 2)
-        self.words = Remembered(lambda word: self._marked(SPACE + word), remembered // 2)
+        self.words = Remembered(lambda word: self._marked(SPACE + word), remembered)
         self.cut = self._cuts()
 
     def _cuts(self) -> re.Pattern:
@@ -118,12 +120,6 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stands(self, piece: str) -> bool:
-        """Whether merging the characters of a piece gives the piece."""
-        if piece not in self.whole:
-            self.whole[piece] = self.merged(piece) == [piece]
-        return self.whole[piece]
-
     def spine(self, piece: str, right: bool) -> list[tuple[str, float, float]] | None:
         """Parts on one edge of a piece as it is merged, each with the scores of the merge that makes it
         and of the one that takes it up; none if the merges of the piece don't fall in score."""
@@ -141,64 +137,75 @@ class Codec:
             self.spines[key] = [*found, (piece, made[0], float("-inf"))] if falls else None
         return self.spines[key]
 
-    def fits(self, left: str, right: str) -> bool:
-        """Whether re-merging two neighbours gives the two again.
+    def fits(self, pair: int) -> bool:
+        """Whether re-merging two neighbours, the id of the left one in the upper 32 bits, gives the two again.
 
         It doesn't if some part at the end of the left one and some part at the start of the right
         one are there at once and have a better score together than with their own side.
         """
-        pair = left, right
-        known = self.beside.get(pair)
-        if known is None:
-            if len(self.beside) >= self.remembered // 8:
-                self.beside.clear()
-            ends, starts = self.spine(left, True), self.spine(right, False)
-            if ends is None or starts is None:
-                known = self.merged(left + right) == [left, right]
-            else:
-                known = True
-                for part, made, taken in ends:
-                    for other, its_made, its_taken in starts:
-                        score = self.scores.get(part + other)
-                        if score is not None and (when := min(score, made, its_made)) > taken and when >= its_taken and min(made, its_made) > its_taken:
-                            known = False
-            self.beside[pair] = known
+        if len(self.beside) >= self.remembered:
+            self.beside.clear()
+        left, right = self.text_of[pair >> 32], self.text_of[pair & 0xFFFFFFFF]
+        ends, starts = self.spine(left, True), self.spine(right, False)
+        if ends is None or starts is None:
+            known = self.merged(left + right) == [left, right]
+        else:
+            known = True
+            for part, made, taken in ends:
+                for other, its_made, its_taken in starts:
+                    score = self.scores.get(part + other)
+                    if score is not None and (when := min(score, made, its_made)) > taken and when >= its_taken and min(made, its_made) > its_taken:
+                        known = False
+        self.beside[pair] = known
         return known
 
-    def _pieces(self, text: str) -> list[str]:
-        """Pieces of a text of known characters."""
-        if text in self.ids and self.stands(text):
-            return [text]
-        choices: list[list[int]] = [[] for _ in text]
-        for last, size in self.matcher.iter(text):
-            choices[last + 1 - size].append(last + 1)  # the nearest end first
-        found: list[str] = []
-        dead, at = bytearray(len(text) // 8 + 1), 0
-        while at < len(text):
-            while choices[at]:
-                end = choices[at].pop()
-                piece = text[at:end]
-                if not dead[end >> 3] >> (end & 7) & 1 and self.stands(piece) and (not found or self.fits(found[-1], piece)):
-                    found.append(piece)
-                    at = end
-                    break
+    def _pieces(self, text: str) -> list[int]:
+        """Ids of the pieces of a text of known characters."""
+        whole = self.standing.get(text)
+        if whole is not None:
+            return [whole]
+        choices: list[list[tuple[int, int]]] = [[] for _ in text]
+        for last, piece in self.matcher.iter(text):
+            choices[last + 1 - piece[0]].append(piece)  # the shortest first
+        known, fits = self.beside.get, self.fits
+        found: list[int] = []
+        sizes: list[int] = []
+        dead, at, end = bytearray(len(text) // 8 + 1), 0, len(text)
+        before = -1
+        while at < end:
+            options = choices[at]
+            while options:
+                size, piece = options.pop()
+                there = at + size
+                if dead[there >> 3] >> (there & 7) & 1:
+                    continue
+                if before >= 0:
+                    pair = before << 32 | piece
+                    fit = known(pair)
+                    if not (fits(pair) if fit is None else fit):
+                        continue
+                found.append(piece)
+                sizes.append(size)
+                before, at = piece, there
+                break
             else:
                 if not found:
                     raise ValueError("this vocabulary has no encoding of the text")
                 dead[at >> 3] |= 1 << (at & 7)
-                at -= len(found.pop())
+                at -= sizes.pop()
+                found.pop()
+                before = found[-1] if found else -1
         return found
 
     def _stretch(self, text: str) -> bytes:
         if self.known.issuperset(text) and self.alone:
-            return array("i", map(self.ids.__getitem__, self._pieces(text))).tobytes()
+            return array("i", self._pieces(text)).tobytes()
         ids: list[int] = []
         run: list[str] = []
 
         def close() -> None:
             if run:
-                for piece in self._pieces("".join(run)):
-                    ids.extend([self.ids[piece]] if piece in self.ids else [self.byte_ids[b] for b in piece.encode()])
+                ids.extend(self._pieces("".join(run)))
                 run.clear()
 
         for char in text:

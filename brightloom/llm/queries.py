@@ -17,7 +17,7 @@ from brightloom.llm.periodic import periodic_runs, run_digests
 from brightloom.llm.pieces import encode_pieces, piece_digests
 from brightloom.llm.quality import compression_bands
 from brightloom.llm.repeats import remove_repeats
-from brightloom.llm.resampling import fit, weigh
+from brightloom.llm.resampling import draw, weigh
 from brightloom.llm.secrets import scan_secrets, secret_digests
 from brightloom.llm.simhash import near_duplicates
 from brightloom.llm.spelling import count_words, spelling_variants
@@ -109,8 +109,7 @@ def op9_decontamination(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op10_resampling(spark: SparkSession, root: str) -> DataFrame:
     """Importance of every document for the labelled good text, and whether it is sampled."""
-    docs = read(spark, root, "documents")
-    return weigh(docs, fit(docs, read(spark, root, "labels")))
+    return weigh(draw(read(spark, root, "documents"), read(spark, root, "labels"), keep=["doc_id"]))
 
 
 @query

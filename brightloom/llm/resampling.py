@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from brightloom.llm.batches import stored
 
@@ -48,7 +49,7 @@ WORD_EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 def shape_of(word: str) -> str:
     """The kinds of characters of a word, each run once: `Word,` is `Xx,`, `ABC!!` is `X!`."""
-    kinds = "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
+    kinds = "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return RUN.sub(r"\1", kinds)
 
 
@@ -97,21 +98,23 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, rule: Resampling, id_colum
     """doc_id -> quality and toxicity, for a bounded number of labelled rows, one for each text."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.coalesce("quality", "toxic").isNotNull())
     marks = [F.coalesce(F.col(c), F.lit(-1)).cast("int").alias(c) for c in ("quality", "toxic")]
-    rows = known.select("doc_id", *marks).orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(rule.labelled).collect()
-    if not rows:
+    rows = known.select(F.col("doc_id").cast("bigint"), *marks).orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(rule.labelled).toArrow()
+    if not rows.num_rows:
         return {}
-    sample = F.broadcast(docs.sparkSession.createDataFrame(rows, "doc_id bigint, quality int, toxic int"))  # at most rule.labelled rows
-    texts = docs.select(F.col(id_column).alias("doc_id"), F.md5(F.coalesce(F.col(text_column), F.lit(""))).alias("text")).join(sample, "doc_id")
-    first: dict[str, tuple[int, tuple[int, int]]] = {}
-    for row in sorted(texts.select("text", "doc_id", "quality", "toxic").distinct().collect()):
-        first.setdefault(row.text, (row.doc_id, (row.quality, row.toxic)))
-    return dict(first.values())
+    sample = F.broadcast(docs.sparkSession.createDataFrame(rows))  # at most rule.labelled rows
+    hashed = F.md5(F.coalesce(F.col(f"`{text_column}`"), F.lit(""))).alias("text")
+    texts = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc_id"), hashed).join(sample, "doc_id")
+    first = texts.groupBy("text").agg(F.min(F.struct("doc_id", "quality", "toxic")).alias("first")).select("first.*").toArrow().to_pydict()
+    found: Sample = {}
+    for ident, quality, toxic in sorted(zip(first["doc_id"], first["quality"], first["toxic"])):
+        found.setdefault(ident, (quality, toxic))
+    return found
 
 
 KINDS = ("corpus", "target", "good", "bad", "toxic", "clean")
 
 
-def count_models(docs: DataFrame, sample: Sample, rule: Resampling, id_column: str, text_column: str) -> dict[str, np.ndarray]:
+def count_models(docs: DataFrame, sample: Sample, rule: Resampling, id_column: str, text_column: str) -> DataFrame:
     """Counts of every bucket over all texts and over the good ones of the sample, and the numbers of good
     texts, bad ones (of low quality), toxic and clean ones of the sample that have it. Each task adds up its own."""
     known = docs.sparkSession.sparkContext.broadcast(sample)
@@ -145,56 +148,65 @@ def count_models(docs: DataFrame, sample: Sample, rule: Resampling, id_column: s
                     size = 0
         add_up()
         some = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, *total[:, some])], ["bucket", *KINDS])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some.astype(np.int32), *total[:, some])], ["bucket", *KINDS])
 
-    counts = docs.select(id_column, text_column).mapInArrow(run, "bucket bigint, " + ", ".join(f"{kind} bigint" for kind in KINDS))
-    counts = counts.groupBy("bucket").agg(*[F.sum(kind).alias(kind) for kind in KINDS]).toPandas()
-    full = {kind: np.zeros(rule.buckets) for kind in KINDS}
-    for kind in KINDS:
-        full[kind][counts["bucket"]] = counts[kind]
-    return full
+    texts = docs.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text_column}`").alias("_text"))
+    counts = texts.mapInArrow(run, "bucket int, " + ", ".join(f"{kind} bigint" for kind in KINDS))
+    counts = stored(counts.groupBy("bucket").agg(*[F.sum(kind).alias(kind) for kind in KINDS]))
+    known.unpersist()
+    return counts
 
 
-def shrunken(ratio: np.ndarray, z: np.ndarray, texts: np.ndarray, rule: Resampling) -> np.ndarray:
-    """Log ratios, the smaller the less is known of them."""
-    return ratio * z**2 / (z**2 + rule.z**2) * texts**2 / (texts**2 + rule.support**2)
-
-
-def log_ratios(counts: dict[str, np.ndarray], sample: Sample, rule: Resampling) -> np.ndarray:
-    """Shrunken logarithm of target share over corpus share.
+def log_ratios(counts: DataFrame, sample: Sample, rule: Resampling) -> Column:
+    """Shrunken logarithm of target share over corpus share, from the sums of a bucket.
 
     It is no larger than that of good over bad labelled texts, and 0 where the two disagree, as a
     text copied a thousand times has much weight in the corpus.
     """
-    corpus, target = counts["corpus"], counts["target"]
-    if not corpus.sum() or not target.sum():
-        return np.zeros(len(corpus), np.float32)
-    expected = corpus * (target.sum() / corpus.sum())
-    ratio = np.log((target + 0.5) / (expected + 0.5))
+    corpus, target = F.col("corpus"), F.col("target")
+    all_corpus, all_target = counts.agg(F.sum(corpus), F.sum(target)).first()
+    if not all_corpus or not all_target:
+        return F.lit(0.0)
+    expected = corpus * F.lit(all_target / all_corpus)
+    ratio = F.log((target + 0.5) / (expected + 0.5))
     n_good, n_bad = sum(map(is_good, sample.values())), sum(q == 0 for q, _ in sample.values())
-    labelled = np.log((counts["good"] + 0.5) / (n_good + 1)) - np.log((counts["bad"] + 0.5) / (n_bad + 1))
-    agreed = np.where(ratio * labelled > 0, np.sign(ratio) * np.minimum(np.abs(ratio), np.abs(labelled)), 0)
-    z = (target - expected) / np.sqrt(expected + 1)
-    return shrunken(agreed, z, np.where(ratio < 0, counts["bad"], counts["good"]), rule).astype(np.float32)
-
+    labelled = F.log((F.col("good") + 0.5) / F.lit(n_good + 1)) - F.log((F.col("bad") + 0.5) / F.lit(n_bad + 1))
+    agreed = F.when(ratio * labelled > 0, F.signum(ratio) * F.least(F.abs(ratio), F.abs(labelled))).otherwise(0.0)
+    square, texts = (target - expected) * (target - expected) / (expected + 1), F.when(ratio < 0, F.col("bad")).otherwise(F.col("good"))
+    return agreed * square / (square + rule.z**2) * texts * texts / (texts * texts + rule.support**2)
 
-def toxic_ratios(counts: dict[str, np.ndarray], sample: Sample, rule: Resampling) -> np.ndarray:
-    """Shrunken logarithm of the share of toxic texts over that of all labelled texts, 0 if below 1.
 
-    Three rows: as all texts are weighed, as toxic labelled ones are without their own count, and
-    as clean labelled ones are.
-    """
-    n_toxic, n_clean = (sum(t == kind for _, t in sample.values()) for kind in (1, 0))
+@dataclass(frozen=True)
+class Ratios:
+    """What a task has to know: the log ratio of each bucket, and its labelled toxic and clean texts."""
 
-    def weights(own_toxic: int, own_clean: int) -> np.ndarray:
-        toxic, clean = np.maximum(counts["toxic"] - own_toxic, 0), np.maximum(counts["clean"] - own_clean, 0)
-        a, b = n_toxic - own_toxic, n_clean - own_clean
+    ratios: np.ndarray
+    toxic: np.ndarray
+    clean: np.ndarray
+    n_toxic: int
+    n_clean: int
+
+    def harm(self, rule: Resampling, own_toxic: int, own_clean: int) -> np.ndarray:
+        """Shrunken logarithm of the share of toxic texts over that of all labelled texts, 0 if below 1;
+        without the counts of a text's own, if that is labelled."""
+        a, b = self.n_toxic - own_toxic, self.n_clean - own_clean
         if a < 1 or b < 1:
-            return np.zeros(rule.buckets)
+            return np.zeros(len(self.toxic), np.float32)
+        toxic, clean = np.maximum(self.toxic - own_toxic, 0), np.maximum(self.clean - own_clean, 0)
         expected = (toxic + clean) * (a / (a + b))
-        return shrunken(np.log((toxic + 0.5) / (expected + 0.5)), (toxic - expected) / np.sqrt(expected + 1), toxic, rule)
+        square = (toxic - expected) ** 2 / (expected + 1)
+        found = np.log((toxic + 0.5) / (expected + 0.5)) * square / (square + rule.z**2) * toxic**2 / (toxic**2 + rule.support**2)
+        return np.maximum(found, 0).astype(np.float32)
 
-    return np.maximum(np.stack([weights(0, 0), weights(1, 0), weights(0, 1)]), 0).astype(np.float32)
+
+def read_ratios(counts: DataFrame, sample: Sample, rule: Resampling) -> Ratios:
+    """The ratios of all buckets, a few MB whatever the corpus: `rule.buckets` numbers of each sort."""
+    rows = counts.select("bucket", log_ratios(counts, sample, rule).cast("float").alias("ratio"), F.col("toxic").cast("int"), F.col("clean").cast("int")).toArrow()
+    place, full = rows["bucket"].to_numpy(), []
+    for name, kind in (("ratio", np.float32), ("toxic", np.int32), ("clean", np.int32)):
+        full.append(np.zeros(rule.buckets, kind))
+        full[-1][place] = rows[name].to_numpy()
+    return Ratios(*full, *(sum(t == kind for _, t in sample.values()) for kind in (1, 0)))
 
 
 def gumbel(ident: int | None, text: str) -> float:
@@ -203,47 +215,34 @@ def gumbel(ident: int | None, text: str) -> float:
     return float(-np.log(-np.log(u)))
 
 
-@dataclass(frozen=True)
-class Model:
-    """What the sampling has settled: log ratios by bucket, the toxic weight from which texts are out,
-    and the key that the last sampled text has."""
-
-    rule: Resampling
-    ratios: np.ndarray
-    toxic: np.ndarray
-    toxic_cut: float
-    cut: float
-    size: int
-    last_key: float
-
-    def keeps(self) -> Column:
-        return (F.col("_key") >= self.last_key) & (F.col("_toxic") < self.toxic_cut)
+def scored(docs: DataFrame, known: Ratios, sample: Sample, rule: Resampling, id_column: str, text_column: str, keep: list[str]) -> DataFrame:
+    """(row, weight, key, toxic, apart) of every row, with `row` its columns `keep`: toxic weights as any text has
+    them, and `apart` those of labelled texts without what they add themselves."""
+    shared = docs.sparkSession.sparkContext.broadcast((known, {i: 1 if t == 1 else 2 for i, (_, t) in sample.items() if t >= 0}))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, (ratios, row_of) = Grams(rule.buckets), shared.value
+        harms = [ratios.harm(rule, *own) for own in ((0, 0), (1, 0), (0, 1))]
 
-def _scored(docs: DataFrame, ratios: np.ndarray, toxic: np.ndarray, sample: Sample, rule: Resampling, id_column: str, text_column: str, keep: list[str]) -> DataFrame:
-    """Weights, toxic weights and keys. Texts of the sample have a toxic weight that they do not themselves add to."""
-    shared = docs.sparkSession.sparkContext.broadcast((ratios, toxic, {i: (0, 2, 1)[t + 1 if t < 1 else 2] for i, (_, t) in sample.items()}))
+        def strongest(found: np.ndarray, harm: np.ndarray) -> float:
+            strong = harm[np.unique(found[harm[found] > 0])]
+            return float(np.sort(strong)[-rule.strongest :].sum(dtype=np.float64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, (weight_of, toxic_of, row_of) = Grams(rule.buckets), shared.value
         for batch in batches:
-            idents, weights, keys, toxics = batch.column("_id").to_pylist(), [], [], []
-            for ident, text in zip(idents, batch.column("_text")):
+            idents, rows = batch.column(1).to_pylist(), []
+            for ident, text in zip(idents, batch.column(2)):
                 text = text.as_py() or ""
                 found = grams(text)
-                weight = float(weight_of[found].sum(dtype=np.float64))
-                own = toxic_of[row_of.get(ident, 0)]
-                strong = own[np.unique(found[own[found] > 0])]
-                toxics.append(float(np.sort(strong)[-rule.strongest :].sum(dtype=np.float64)))
-                weights.append(weight)
-                keys.append(weight / rule.temperature + gumbel(ident, text))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[2:], pa.array(weights, pa.float64()), pa.array(keys, pa.float64()), pa.array(toxics, pa.float64())], [*batch.schema.names[2:], "_weight", "_key", "_toxic"]
-            )
+                weight = float(ratios.ratios[found].sum(dtype=np.float64))
+                toxic, own = strongest(found, harms[0]), row_of.get(ident, 0)
+                rows.append((weight, weight / rule.temperature + gumbel(ident, text), toxic, strongest(found, harms[own]) if own else toxic))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], pa.float64()) for k in range(4)]], ["row", "weight", "key", "toxic", "apart"])
 
-    chosen = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), *keep)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[2:]), "_weight double", "_key double", "_toxic double"])
-    return chosen.mapInArrow(run, schema)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text_column}`").alias("_text"))
+    schema = StructType([rows.schema["row"], *[StructField(name, DoubleType()) for name in ("weight", "key", "toxic", "apart")]])
+    written = stored(rows.mapInArrow(run, schema))
+    shared.unpersist()
+    return written
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray, worth: float = 1.0, margin: bool = True) -> float:
@@ -283,39 +282,55 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096, at_end
     return low
 
 
-def fit(docs: DataFrame, labels: DataFrame, rule: Resampling = Resampling(), id_column: str = "doc_id", text_column: str = "text") -> Model:
-    """Count both models, weigh all texts and draw the sample.
+@dataclass(frozen=True)
+class Draw:
+    """The scored rows, the weights from which texts are out or in, the size of the sample, and the key of its last text."""
+
+    rows: DataFrame
+    toxic_cut: float
+    cut: float
+    size: int
+    last_key: float
+
+    def kept(self) -> Column:
+        return (F.col("key") >= self.last_key) & (F.col("toxic") < self.toxic_cut)
+
+
+def draw(
+    docs: DataFrame, labels: DataFrame, rule: Resampling = Resampling(), id_column: str = "doc_id", text_column: str = "text", keep: list[str] | None = None
+) -> Draw:
+    """Count both models, weigh all rows once, write them, and draw the sample from what is written.
+
+    keep: the columns that go along, all of them by default; the id has to be one.
 
     Toxic texts are out first, by a weight of their own. The sample is as large as the number of
     others that weigh no less than the weight that parts the labelled texts best. Without labels of both kinds every text is sampled.
+
+    A null text is empty and weighs 0, as does a text whose n-grams are all unremarkable; null ids
+    pass through; equal rows get equal keys, and texts with the last sampled key are all kept; labels that
+    are null or have no id count as none, the first of several of an id's counts by quality, then toxicity;
+    columns may have any names; no rows give no rows.
     """
     sample = labelled_rows(docs, labels, rule, id_column, text_column)
-    counts = count_models(docs, sample, rule, id_column, text_column)
-    ratios, toxic = log_ratios(counts, sample, rule), toxic_ratios(counts, sample, rule)
-    scored = stored(_scored(docs, ratios, toxic, sample, rule, id_column, text_column, [F.col(id_column).alias("doc_id")]))
-    marked = docs.sparkSession.createDataFrame([(i, *mark) for i, mark in sample.items()], "doc_id bigint, quality int, toxic int")
-    rows = scored.join(F.broadcast(marked), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min("_weight").alias("weight"), F.max("_toxic").alias("harm")).collect()
-    cut = best_cut(*(np.array([r.weight for r in rows if kind(r)]) for kind in (lambda r: is_good((r.quality, r.toxic)), lambda r: r.quality == 0)))
+    known = read_ratios(count_models(docs, sample, rule, id_column, text_column), sample, rule)
+    rows = scored(docs, known, sample, rule, id_column, text_column, keep or docs.columns)
+    marked = docs.sparkSession.createDataFrame(pa.table({"ident": pa.array(list(sample), pa.int64()), **{k: pa.array([m[j] for m in sample.values()], pa.int32()) for j, k in enumerate(("quality", "toxic_label"))}}))
+    seen = rows.select(F.col("row")[id_column].alias("ident"), "weight", "apart").join(F.broadcast(marked), "ident")  # at most rule.labelled rows
+    seen = seen.groupBy("ident", "quality", "toxic_label").agg(F.min("weight").alias("weight"), F.max("apart").alias("harm")).toArrow()
+    quality, toxic, weight, harm = (seen[c].to_numpy() for c in ("quality", "toxic_label", "weight", "harm"))
+    cut = best_cut(weight[(quality == 1) & (toxic != 1)], weight[quality == 0])
     # Turned round: the clean weigh less.
-    toxic_cut = -best_cut(*(np.array([-r.harm for r in rows if r.toxic == kind]) for kind in (0, 1)), rule.clean, margin=False)
-    toxic_cut = float(np.nextafter(toxic_cut, np.inf))
-    fine = stored(_scored(docs, ratios, toxic[:1], {}, rule, id_column, text_column, []).filter(F.col("_toxic") < toxic_cut))
-    size = fine.filter(F.col("_weight") >= cut).count()
-    return Model(rule, ratios, toxic[:1], toxic_cut, cut, size, kth_largest(fine, "_key", size))
-
+    toxic_cut = float(np.nextafter(-best_cut(-harm[toxic == 0], -harm[toxic == 1], rule.clean, margin=False), np.inf))
+    fine = rows.filter(F.col("toxic") < toxic_cut).select("weight", "key")
+    size = fine.filter(F.col("weight") >= cut).count()
+    return Draw(rows, toxic_cut, cut, size, kth_largest(fine, "key", size))
 
-def weigh(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, log_weight, sample_key, kept) of every whole text; no shuffle.
 
-    A null text is empty and weighs 0, as does a text whose n-grams are all unremarkable; null ids
-    pass through; equal rows get equal keys, and texts with the last sampled key are all kept;
-    no rows give no rows.
-    """
-    scored = _scored(docs, model.ratios, model.toxic, {}, model.rule, id_column, text_column, [F.col(id_column).alias("doc_id")])
-    return scored.select("doc_id", F.col("_weight").alias("log_weight"), F.col("_key").alias("sample_key"), model.keeps().alias("kept"))
+def weigh(drawn: Draw, id_column: str = "doc_id") -> DataFrame:
+    """(doc_id, log_weight, sample_key, kept) of every row that was weighed."""
+    return drawn.rows.select(F.col("row")[id_column].alias("doc_id"), F.col("weight").alias("log_weight"), F.col("key").alias("sample_key"), drawn.kept().alias("kept"))
 
 
-def sampled(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of `docs` that were sampled, with their columns."""
-    scored = _scored(docs, model.ratios, model.toxic, {}, model.rule, id_column, text_column, [F.col(c) for c in docs.columns])
-    return scored.filter(model.keeps()).drop("_weight", "_key", "_toxic")
+def sampled(drawn: Draw) -> DataFrame:
+    """The rows that were sampled, with their columns."""
+    return drawn.rows.filter(drawn.kept()).select("row.*")

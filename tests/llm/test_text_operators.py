@@ -13,15 +13,17 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from collections import Counter
 from pyspark.sql import functions as F
 
+from brightloom.llm import queries
 from brightloom.llm.decontamination import Leaks, find_leaks, without_leaks
 from brightloom.llm.main_text import Labelling, Weights, extract, fit_weights, main_text, minimum_cut
 from brightloom.llm.pieces import encode_pieces
 from brightloom.llm.pii import find_personal_data, sanitise
 from brightloom.llm.quality import compression_bands, counts
 from brightloom.llm.repeats import remove_repeats
-from brightloom.llm.resampling import fit, kth_largest, sampled, weigh
+from brightloom.llm.resampling import Grams, Resampling, draw, kth_largest, sampled, weigh
 from brightloom.llm.secrets import scan_secrets
 from brightloom.llm.simhash import Copies, near_duplicates, one_of_each, simhash, walk_pairs
 from brightloom.llm.warc import build_index, keyed, look_up, read_records, url_key, write_archives
@@ -315,13 +317,56 @@ def test_resampling_parts_good_from_bad(spark, odd, nothing):
     bad = [" ".join(w + "###" for w in prose(1000 + i, 120).split()) for i in range(60)]
     docs = frame(spark, good + bad)
     labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(0, 120, 2)], "doc_id long, quality int, toxic int")
-    model = fit(docs, labels)
-    kept = {r.doc_id for r in weigh(docs, model).filter("kept").collect()}
+    drawn = draw(docs, labels)
+    kept = {r.doc_id for r in weigh(drawn).filter("kept").collect()}
     assert len(kept & set(range(60))) >= 57 and not kept & set(range(60, 120))
-    assert {r.doc_id for r in sampled(docs, model).collect()} == kept
-    assert weigh(odd, model).count() == odd.count() and weigh(nothing, model).count() == 0
-    free = fit(docs, labels.limit(0))
-    assert weigh(docs, free).filter("kept").count() == 120 and fit(nothing, labels.limit(0)).size == 0
+    assert {r.doc_id for r in sampled(drawn).collect()} == kept
+    assert weigh(draw(odd, labels)).count() == odd.count() and weigh(draw(nothing, labels)).count() == 0
+    free = draw(docs, labels.limit(0))
+    assert weigh(free).filter("kept").count() == 120 and draw(nothing, labels.limit(0)).size == 0
+
+
+def test_resampling_keeps_columns_of_any_name(spark):
+    names = ["a.b", "_id", "_toxic", "_weight", "row", "key", "weight", "doc_id", "text", "apart"]
+    docs = spark.createDataFrame([tuple([i] * 8 + [prose(i, 30), -i]) for i in range(20)], ", ".join(f"`{n}` {'string' if n == 'text' else 'long'}" for n in names))
+    labels = spark.createDataFrame([(1, 1, 0), (None, 0, 0), (2, None, None), (3, 0, None)], "doc_id long, quality int, toxic int")
+    found = sampled(draw(docs, labels))
+    assert found.columns == names and found.schema == docs.schema
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    assert all(rows[r["doc_id"]] == r for r in found.collect())
+    assert weigh(draw(docs, labels, id_column="a.b"), "a.b").count() == 20
+
+
+def test_resampling_query_equals_plain_sums(spark, tmp_path):
+    """Weights from counts held in dictionaries, and the sample as the largest keys of what is not toxic."""
+    rng = np.random.default_rng(5)
+    texts = [prose(i, int(rng.integers(0, 80))) + (" ###" * int(rng.integers(0, 6)) if i % 3 == 0 else "") for i in range(150)] + [None, "", texts_twice := prose(3, 20), texts_twice]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    marks = {i: (int(i % 3 != 0), int(i % 25 == 0)) for i in range(0, 150, 2)}
+    spark.createDataFrame([(i, *m) for i, m in marks.items()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rule, grams = Resampling(), Grams(Resampling().buckets)
+    found = [grams(t or "").tolist() for t in texts]
+    marks = {i: m for i, m in marks.items() if texts[i] not in texts[:i]}
+    good = [i for i, m in marks.items() if m == (1, 0)]
+    bad = [i for i, m in marks.items() if m[0] == 0]
+    corpus, target = (Counter(g for i in some for g in found[i]) for some in (range(len(texts)), good))
+    in_good, in_bad = (Counter(g for i in some for g in set(found[i])) for some in (good, bad))
+    share, ratios = sum(target.values()) / sum(corpus.values()), {}
+    for gram, n in corpus.items():
+        ratio = np.log((target[gram] + 0.5) / (n * share + 0.5))
+        labelled = np.log((in_good[gram] + 0.5) / (len(good) + 1)) - np.log((in_bad[gram] + 0.5) / (len(bad) + 1))
+        square, held = (target[gram] - n * share) ** 2 / (n * share + 1), (in_bad if ratio < 0 else in_good)[gram]
+        least = min(abs(ratio), abs(labelled)) * np.sign(ratio) if ratio * labelled > 0 else 0
+        ratios[gram] = least * square / (square + rule.z**2) * held**2 / (held**2 + rule.support**2)
+    rows = queries.op10_resampling(spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.log_weight == pytest.approx(sum(ratios[g] for g in found[r.doc_id]), abs=1e-3)
+    drawn = draw(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    fine = [r for r in drawn.rows.collect() if r.toxic < drawn.toxic_cut]
+    assert drawn.size == sum(r.weight >= drawn.cut for r in fine)
+    last = sorted((r.key for r in fine), reverse=True)[drawn.size - 1]
+    assert {r.doc_id for r in rows if r.kept} == {r.row.doc_id for r in fine if r.key >= last}
 
 
 @pytest.mark.parametrize("size", [100, 400, 1500])
@@ -337,7 +382,7 @@ def test_planted_toxic_texts_go_at_every_size(spark, size):
 
     docs = frame(spark, [text(i) for i in range(size)])
     labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(size) if i % 10 or i % 40 < 30], "doc_id long, quality int, toxic int")
-    kept = {r.doc_id for r in weigh(docs, fit(docs, labels)).filter("kept").collect()}
+    kept = {r.doc_id for r in weigh(draw(docs, labels)).filter("kept").collect()}
     assert not [i for i in kept if i % 10 == 0]
     assert len(kept) >= 0.95 * 0.9 * size
 
