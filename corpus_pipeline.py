@@ -12,14 +12,14 @@ from brightloom.llm.batches import stored
 from brightloom.llm.decontamination import without_leaks
 from brightloom.llm.pieces import encode_pieces
 from brightloom.llm.pii import sanitise
-from brightloom.llm.resampling import fit, sampled
+from brightloom.llm.resampling import draw, sampled
 from brightloom.llm.simhash import one_of_each
 from brightloom.session import ensure_settings
 
 
 def good_texts(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
     """Texts that importance resampling draws for the labelled good ones."""
-    return sampled(docs, fit(docs, spark.read.parquet(f"{root}/labels.parquet")))
+    return sampled(draw(docs, spark.read.parquet(f"{root}/labels.parquet")))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
