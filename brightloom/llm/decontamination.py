@@ -284,14 +284,19 @@ def find_leaks(
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rule: Leaks = Leaks(), text_column: str = "text", item_column: str = "item_id") -> DataFrame:
-    """The rows of `docs` that hold no item, with their columns; one pass for each slice of items, no shuffle."""
-    for rows in item_slices(benchmark, rule, item_column, "text"):
-        shared = docs.sparkSession.sparkContext.broadcast(Items(rows, rule))
+    """The rows of `docs` that hold no item, with their columns; one pass for each slice of items, no shuffle.
+
+    Null and empty texts hold no item and stay, as do repeated rows; null or empty items are in no
+    text; columns may have any names; no rows give no rows, no items leave all rows.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_column}`").alias("text"))
+    for items in item_slices(benchmark, rule, item_column, "text"):
+        shared = docs.sparkSession.sparkContext.broadcast(Items(items, rule))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean = [not matches for matches in found_in(shared.value, batch.column(text_column))]
+                clean = [not matches for matches in found_in(shared.value, batch.column("text"))]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.select("row.*")

@@ -41,7 +41,7 @@ class Disclosure:
 
 
 def content_key(text_column: str) -> Column:
-    return F.unhex(F.md5(F.coalesce(F.col(text_column), F.lit(""))))
+    return F.unhex(F.md5(F.coalesce(F.col(f"`{text_column}`"), F.lit(""))))
 
 
 def digits(value: Column) -> Column:
@@ -61,7 +61,7 @@ def luhn(number: Column) -> Column:
 
 def scan(docs: DataFrame, rule: Disclosure, id_column: str, text_column: str) -> DataFrame:
     """One row for each document: pattern spans by kind and start, and the surroundings of each."""
-    found = docs.select(F.col(id_column).alias("doc_id"), F.monotonically_increasing_id().alias("row"), content_key(text_column).alias("key"), F.col(text_column).alias("text"))
+    found = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.monotonically_increasing_id().alias("row"), content_key(text_column).alias("key"), F.col(f"`{text_column}`").alias("text"))
     for name, pattern in zip(KINDS, (EMAIL, IP, CARD, PHONE)):
         found = with_matches(found, name, "text", pattern)
     small = lambda part: F.coalesce(part.try_cast("bigint"), F.lit(256)) <= 255
@@ -104,7 +104,19 @@ def surroundings(scanned: DataFrame) -> DataFrame:
     return each.groupBy("row", "entity").agg(F.collect_set("context").alias("contexts"))
 
 
-def disclosing(scanned: DataFrame, near: DataFrame, rule: Disclosure) -> DataFrame:
+def several_contexts(rule: Disclosure) -> Column:
+    """Whether the arrays `contexts` of a group hold `rule.contexts` different values."""
+    if rule.contexts <= 2:
+        return F.lit(True) if rule.contexts < 2 else F.min(F.array_min("contexts")) < F.max(F.array_max("contexts"))
+    return F.size(F.array_distinct(F.flatten(F.collect_set("contexts")))) >= rule.contexts
+
+
+def bare_terms() -> Column:
+    """The different words of a text outside its entities."""
+    return F.array_distinct(F.regexp_extract_all(F.lower("bare"), F.lit(WORD), F.lit(0)))
+
+
+def disclosing(scanned: DataFrame, near: DataFrame, counts: DataFrame, total: float, rule: Disclosure) -> DataFrame:
     """(entity, term, share) of the words that reveal an entity, from counts over whole documents.
 
     share: pointwise mutual information over the information of the entity,
@@ -113,20 +125,14 @@ def disclosing(scanned: DataFrame, near: DataFrame, rule: Disclosure) -> DataFra
     share of g; such pairs are left out before the join by document. All counts combine before
     their shuffles, so a hot entity or word is no task of its own.
     """
-    total = float(max(scanned.count(), 1))
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("bare"), F.lit(WORD), F.lit(0)))
-    counts = stored(scanned.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("users")))
-    entity = near.groupBy("entity").agg(F.count(F.lit(1)).alias("holders"))
+    # An entity with fewer surroundings in all has fewer with any word: the entries of a list go here.
+    entity = near.groupBy("entity").agg(F.count(F.lit(1)).alias("holders"), several_contexts(rule).alias("several")).filter("several").drop("several")
     held = stored(near.join(entity, "entity").withColumn("most", F.pow(F.lit(total), 1 - rule.generalise) * F.pow("holders", F.lit(rule.generalise)) + 1e-6))
     rows = held.groupBy("row").agg(F.max("most").alias("_most"))
-    words = scanned.join(rows, "row").select("row", "_most", F.explode(terms).alias("term"))
+    words = scanned.join(rows, "row").select("row", "_most", F.explode(bare_terms()).alias("term"))
     words = words.join(counts, "term").filter(F.col("users") <= F.col("_most")).drop("_most")
     pairs = held.join(words, "row").filter(F.col("users") <= F.col("most"))
-    if rule.contexts <= 2:
-        several = F.lit(True) if rule.contexts < 2 else F.min(F.array_min("contexts")) < F.max(F.array_max("contexts"))
-    else:
-        several = F.size(F.array_distinct(F.flatten(F.collect_set("contexts")))) >= rule.contexts
-    met = pairs.groupBy("entity", "term", "holders", "users").agg(F.count(F.lit(1)).alias("together"), several.alias("several"))
+    met = pairs.groupBy("entity", "term", "holders", "users").agg(F.count(F.lit(1)).alias("together"), several_contexts(rule).alias("several"))
     gained = F.log(F.col("together") * total / (F.col("holders") * F.col("users")))
     share = F.when(F.col("holders") < total, gained / F.log(F.lit(total) / F.col("holders"))).otherwise(0.0)
     return met.filter("several").select("entity", "term", share.alias("share")).filter(F.col("share") >= rule.generalise)
@@ -143,9 +149,13 @@ def find_personal_data(docs: DataFrame, rule: Disclosure = Disclosure(), id_colu
     A null text has no spans; null ids pass through; each of several equal rows gets the same
     spans (as documents they count once each, as surroundings once together); no rows give no rows.
     """
-    scanned = stored(scan(docs, rule, id_column, text_column))
+    found = scan(docs, rule, id_column, text_column)
+    # Texts are scanned once more to count their words, so that only those that hold an entity are written.
+    counts = stored(found.select(F.explode(bare_terms()).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("users")))
+    held = lambda name: F.when(F.size("base") > 0, F.col(name)).alias(name)
+    scanned = stored(found.select("doc_id", "row", "key", "base", held("text"), held("bare")))
     near = stored(surroundings(scanned))
-    shown = stored(disclosing(scanned, near, rule))
+    shown = stored(disclosing(scanned, near, counts, float(max(scanned.count(), 1)), rule))
     label = lambda share, value: (
         F.when(share >= rule.remove, F.lit(""))
         .when(value.rlike("[0-9]"), F.lit("[NUMBER]"))
@@ -171,20 +181,28 @@ def find_personal_data(docs: DataFrame, rule: Disclosure = Disclosure(), id_colu
 def sanitise(docs: DataFrame, rule: Disclosure = Disclosure(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The same columns, with every span in the text replaced by its label; `n_chars`, if there, is counted anew.
 
-    Spans are found once for each different text, and equal texts are replaced alike. Nulls stay null.
+    Spans are found once for each different text, and equal texts are replaced alike. Null texts stay
+    null, empty ones empty; repeated rows stay; columns may have any names; no rows give no rows.
     """
     found = find_personal_data(docs, rule, id_column, text_column).filter(F.size("spans") > 0)
     found = stored(found.groupBy("key").agg(F.first("spans").alias("spans")))
     by_text = F.array_sort(
         F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), s["label"].alias("label")))
     )
-    keyed = docs.withColumn("_key", content_key(text_column))
-    joined = keyed.join(found.select(F.col("key").alias("_key"), by_text.alias("_spans")), "_key", "left").drop("_key")
-    joined = joined.withColumn("_spans", F.coalesce("_spans", F.array().cast("array<struct<start:bigint,back:bigint,end:bigint,label:string>>")))
-    out = with_replaced(joined, "_clean", text_column, "_spans").withColumn(text_column, F.col("_clean")).drop("_spans", "_clean")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_column).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, content_key(text_column).alias("key"), F.col(f"`{text_column}`").alias("text"))
+    joined = keyed.join(found.select("key", by_text.alias("spans")), "key", "left")
+    joined = joined.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,back:bigint,end:bigint,label:string>>")))
+    out = with_replaced(joined, "clean", "text", "spans")
+
+    def column(name: str) -> Column:
+        if name == text_column:
+            return F.col("clean").alias(name)
+        if name == "n_chars":
+            return F.length("clean").cast(docs.schema[name].dataType).alias(name)
+        return F.col("row")[name].alias(name)
+
+    return out.select(*map(column, docs.columns))
 
 
 def personal_digests(found: DataFrame) -> DataFrame:

@@ -433,10 +433,10 @@ def one_of_each(docs: DataFrame, rule: Copies = Copies(), id_column: str = "doc_
     """The rows of `docs` without near copies: of each group that hangs together the row with the smallest id stays.
 
     Rows that agree in id and text are one group anyway. A null id is larger than all others; null
-    and empty texts have no words and are copies of each other; no rows give no rows. Texts are
+    and empty texts have no words and are copies of each other; columns may have any names; no rows give no rows. Texts are
     shuffled to meet the keys of the rows that stay, and those of candidates to be compared.
     """
-    key = lambda c: F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(id_column).cast("string"), F.lit("null")), c)))
+    key = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.coalesce(F.col("_text"), F.lit("")))))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -447,7 +447,7 @@ def one_of_each(docs: DataFrame, rule: Copies = Copies(), id_column: str = "doc_
                 same.append(xxhash.xxh3_128_digest(hashed.tobytes()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(wide, pa.binary()), pa.array(same, pa.binary())], ["_id", "_at", "wide", "same"])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("_id"), key(F.coalesce(F.col(text_column), F.lit(""))).alias("_at"), F.col(text_column).alias("_text"))
+    rows = docs.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text_column}`").alias("_text")).select(F.col("_id").cast("long"), key.alias("_at"), "_text")
     prints = stored(rows.mapInArrow(sign, "_id bigint, _at binary, wide binary, same binary"))
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_at").alias("at"))
     nodes = prints.groupBy("same").agg(F.min(order).alias("first"), F.first("wide").alias("wide")).drop("same")
@@ -456,10 +456,11 @@ def one_of_each(docs: DataFrame, rule: Copies = Copies(), id_column: str = "doc_
     grouped = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
     repeated = prints.groupBy("_at").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
     stays = stored(grouped.select("first.at").withColumnRenamed("at", "_at").join(repeated, "_at", "left"))
-    keyed = docs.withColumn("_at", key(F.coalesce(F.col(text_column), F.lit(""))))
-    found = keyed.join(stays.filter("_rows is null").select("_at"), "_at", "leftsemi").drop("_at")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text_column}`").alias("_text")).select("row", key.alias("_at"))
+    found = keyed.join(stays.filter("_rows is null").select("_at"), "_at", "leftsemi")
     twice = stays.filter("_rows is not null").select("_at")
     if twice.isEmpty():
-        return found
-    again = keyed.join(twice, "_at", "leftsemi").groupBy("_at").agg(F.first(F.struct(*docs.columns)).alias("_row"))
-    return found.union(again.select("_row.*"))
+        return found.select("row.*")
+    again = keyed.join(twice, "_at", "leftsemi").groupBy("_at").agg(F.first("row").alias("row"))
+    return found.select("row.*").union(again.select("row.*"))
