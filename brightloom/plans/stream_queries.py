@@ -27,6 +27,26 @@ def _typed_stream(t):
     return t.spark.sql(VIEWS["typed_events"][1], events=events)
 
 
+LATE_HOURS = 24
+
+
+def _in_rounds(t, name: str, run) -> None:
+    """All typed events land in three rounds, oldest first, and `run(stream)` follows each.
+
+    Of the last hours of a round one event in three lands a round late, and all others land again in the next.
+    """
+    landing, events = _folder(t, name), t("typed_events")
+    low, high = events.agg(F.unix_micros(F.min("occurred_at")), F.unix_micros(F.max("occurred_at"))).first()
+    at, width = F.unix_micros("occurred_at"), (high - low) // 3 + 1
+    own = F.floor((at - low) / width)
+    tail = (at - low) - own * width > width - LATE_HOURS * 1_800_000_000
+    for k in range(3):
+        late = tail & (F.xxhash64("event_id") % 3 == 0)
+        lands = (own == k) & ((~late) | F.lit(k == 2)) | (own == k - 1) & tail
+        events.filter(lands).write.mode("append").parquet(landing)
+        run(S.growing_table(t.spark, landing, events.schema))
+
+
 @query(
     f"SELECT event_id, user_id, type, epoch_us(occurred_at) AS occurred_at, payload_json, seq FROM ({_ACCEPTED}) WHERE accepted",
     ("incoming_events",),
@@ -64,11 +84,14 @@ def stream_daily_counters(t):
     ("typed_events",),
 )
 def stream_sessions(t):
-    """All sessions of a stream, the open ones included, as complete mode gives them."""
-    out, keys = _folder(t, "sessions"), ["user_id", "started_at"]
-    sessions = jobs.session_counters(_typed_stream(t), GAP_SECONDS, "1 day")
-    jobs.run_available(jobs.start(sessions, jobs.batch_writer(out), _folder(t, "sessions-checkpoint"), "complete"))
-    return jobs.current_counters(t.spark, out, keys)
+    """Sessions of a stream in three rounds with late and repeated events: the closed ones as put out, the open ones from the state."""
+    out, checkpoint = _folder(t, "sessions"), _folder(t, "sessions-checkpoint")
+
+    def run(stream):
+        jobs.run_available(jobs.start(jobs.session_counters(stream, GAP_SECONDS, f"{LATE_HOURS} hours"), jobs.batch_writer(out), checkpoint))
+
+    _in_rounds(t, "sessions-landing", run)
+    return jobs.current_sessions(t.spark, out, checkpoint).drop("open")
 
 
 @query(
@@ -77,8 +100,8 @@ def stream_sessions(t):
     ("typed_events",),
 )
 def stream_ticker(t):
-    out = _folder(t, "ticker")
-    jobs.run_available(jobs.start(_typed_stream(t), jobs.ticker_writer(out), _folder(t, "ticker-checkpoint")))
+    out, checkpoint = _folder(t, "ticker"), _folder(t, "ticker-checkpoint")
+    _in_rounds(t, "ticker-landing", lambda stream: jobs.run_available(jobs.start(stream, jobs.ticker_writer(out), checkpoint)))
     return jobs.current_ticker(t.spark, out)
 
 

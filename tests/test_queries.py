@@ -2,6 +2,8 @@
 
 import os
 import re
+import subprocess
+import sys
 
 import pytest
 
@@ -43,3 +45,15 @@ def test_filters_and_columns_reach_the_files(spark):
     )
     assert "GreaterThanOrEqual(ts" in plan
     assert re.search(r"ReadSchema: struct<ts:timestamp_ntz,user_id:bigint>", plan)
+
+
+def test_queries_are_there_without_the_training_text_operators(tmp_path):
+    """Neither the subpackage nor what it imports has to be installed."""
+    code = (
+        "import sys; sys.modules['{}'] = None\n"
+        "import __spark_entry__ as e\n"
+        "assert len(e.queries()) == len(e.oracle_sql()) == len(e.registry.QUERIES) > 100"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for module in ("brightloom.llm", "public_tokenizers", "xxhash", "corpus_pipeline"):
+        subprocess.run([sys.executable, "-W", "ignore", "-c", code.format(module)], cwd=root, check=True)

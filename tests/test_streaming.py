@@ -92,3 +92,39 @@ def test_landed_lines_skip_older_files_and_bad_lines(spark, tmp_path):
 def test_no_source_is_an_error():
     with pytest.raises(ValueError):
         merge_sources({})
+
+
+def session_rows(*events):
+    return [(f"e{user}-{hour}", user, "t", D + timedelta(hours=hour), "{}", int(hour * 10)) for user, hour in events]
+
+
+def test_sessions_merge_close_once_and_leave_the_state(spark, tmp_path):
+    landing, out, checkpoint = (str(tmp_path / n) for n in ("landing", "sessions", "checkpoint"))
+    rounds = [
+        session_rows((1, 0), (1, 22), (2, 0), (1, 30)),
+        session_rows((1, 11), (1, 22), (2, 40), (1, 30)),  # the first joins what were two sessions; repeats
+        session_rows((1, 100), (2, 120), (1, 1)),  # the last is behind the watermark
+    ]
+    got = []
+    for rows in rounds:
+        feed(table(spark, rows), landing)
+        stream = S.growing_table(spark, landing, table(spark, []).schema)
+        jobs.run_available(jobs.start(jobs.session_counters(stream, 12 * 3600, "1 day"), jobs.batch_writer(out), checkpoint))
+        now = jobs.current_sessions(spark, out, checkpoint).collect()
+        got.append(sorted((r.user_id, (r.started_at - D).total_seconds() / 3600, (r.ended_at - D).total_seconds() / 3600, r.event_count, r.open) for r in now))
+    assert got[0] == [(1, 0, 0, 1, True), (1, 22, 30, 2, True), (2, 0, 0, 1, True)]
+    assert got[1] == [(1, 0, 30, 4, True), (2, 0, 0, 1, False), (2, 40, 40, 1, True)]
+    assert got[2] == [(1, 0, 30, 4, False), (1, 100, 100, 1, True), (2, 0, 0, 1, False), (2, 40, 40, 1, False), (2, 120, 120, 1, True)]
+    assert jobs.closed_sessions(spark, out).count() == 3 and jobs.open_sessions(spark, checkpoint).count() == 2
+
+
+def test_ticker_opens_only_the_batch_before(spark, tmp_path):
+    """History that cannot be read does not matter, and an event delivered again counts once."""
+    folder = str(tmp_path / "ticker")
+    write = jobs.ticker_writer(folder, 2)
+    for n in range(4):
+        write(table(spark, [(f"e{n}", 1, "t", D + timedelta(hours=n), "{}", n), ("e0", 1, "t", D, "{}", 0)]), n)
+        if n >= 2:
+            (tmp_path / "ticker" / f"batch_id={n - 2}" / "part-broken.parquet").write_bytes(b"no table")
+    rows = spark.read.parquet(f"{folder}/batch_id=3").collect()
+    assert sorted(r.event_id for r in rows) == ["e2", "e3"]
