@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from brightloom.llm.batches import per_row, stored
 from brightloom.llm.components import components
+from brightloom.llm.jaccard import Jaccard, links_in_clusters, lone_grams
 
 BITS = 64
 # Fingerprints of one block value that are walked in one task; more are dealt into parts, and
@@ -297,11 +298,11 @@ def met_pairs(keys: np.ndarray, label: np.ndarray, top: int, budget: int) -> Ite
         yield from _product(first[a], last[a], first[b], last[b])
 
 
-def copy_links(nodes: DataFrame, rule: Copies = Copies(), part_rows: int = PART_ROWS, every: bool = False) -> DataFrame:
+def copy_links(nodes: DataFrame, rule: Copies = Copies(), part_rows: int = PART_ROWS) -> DataFrame:
     """Candidate pairs (a, b, distance), a < b, of `nodes(node, wide, label)` whose fingerprints are near.
 
-    wide: the fingerprint and the number of shingles in eight bytes. With `every`, all pairs with
-    different labels; else each task gives a chain through those that hang together in it.
+    wide: the fingerprint and the number of shingles in eight bytes. Each task gives a chain
+    through the nodes that hang together in it.
     """
     farthest = rule.farthest()
     blocks = rule.budget + 1
@@ -349,10 +350,6 @@ def copy_links(nodes: DataFrame, rule: Copies = Copies(), part_rows: int = PART_
             a, b = node[i], node[j]
             return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b), "distance": far(i, j)})
 
-        if every:
-            for i, j in met_pairs(key, group, width, rule.budget):
-                yield rows(*near(group, i, j))
-            return
         label = np.arange(len(key))
         for start in range(0, len(key), 1 << 18):  # neighbours first: they join most of what is alike
             i = np.arange(start, min(start + (1 << 18), len(key) - 1))
@@ -406,9 +403,10 @@ def similar(pairs: DataFrame, sets: DataFrame, rule: Copies) -> DataFrame:
 def exact_links(keyed: DataFrame, nodes: DataFrame, rule: Copies) -> DataFrame:
     """Links (a, b) that join all `nodes(node, at, wide)` that are copies, directly or by way of others.
 
-    First each node is compared with its nearest candidates, which joins most of what is alike;
-    then every candidate pair that does not hang together yet. keyed: texts as `_at`, `_text`;
-    only those of candidates are read into sets.
+    First each node is compared with its nearest candidates, which joins most of what is alike.
+    All candidates of a node hang together in one cluster; what does not link yet is told
+    apart there by its differences from the cluster's best linked node, so that no pairs are made of the
+    near copies of one text. keyed: texts as `_at`, `_text`; only those of candidates are read into sets.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,10 +421,19 @@ def exact_links(keyed: DataFrame, nodes: DataFrame, rule: Copies) -> DataFrame:
     sets = stored(texts.mapInArrow(read, "node bigint, grams binary").groupBy("node").agg(F.first("grams").alias("grams")))
     place = F.row_number().over(Window.partitionBy("b").orderBy("distance", "a"))
     links = stored(similar(met.withColumn("_place", place).filter(F.col("_place") <= rule.nearest), sets, rule))
-    roots = components(links)
-    left = some.join(roots, "node", "left").select("node", "wide", F.coalesce("root", "node").alias("label"))
-    rest = copy_links(left, rule, every=True).select("a", "b").distinct()
-    return links.union(stored(similar(rest, sets, rule)))
+    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    label = components(links).select("node", F.col("root").alias("label"))
+    clusters = components(met).withColumnRenamed("root", "cluster").join(label, "node", "left").join(degree, "node", "left")
+    clusters = stored(clusters.select("node", "cluster", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")))
+    hub = F.min(F.struct(-F.col("degree"), "node"))["node"].alias("hub")
+    apart = clusters.groupBy("cluster").agg(hub, F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    named = sets.withColumnRenamed("node", "name")
+    size = F.floor(F.octet_length("grams") / 8).cast("bigint").alias("size")
+    members = stored(clusters.join(apart, "cluster").withColumnRenamed("node", "name").join(named.select("name", size), "name").select("name", "size", "label", "cluster", "hub"))
+    asked = stored(named.join(members, "name", "left_semi"))
+    exact = Jaccard(words=rule.shingle, least=round(rule.similarity * 10_000), of=10_000)
+    certain, close = links_in_clusters(members, asked, stored(lone_grams(asked)), exact)
+    return links.union(certain).union(stored(similar(close, sets, rule)))
 
 
 def one_of_each(docs: DataFrame, rule: Copies = Copies(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
