@@ -295,7 +295,7 @@ def with_shareable(rows: DataFrame, lone: DataFrame, rule: Jaccard) -> DataFrame
 
 
 def as_smaller(rows: DataFrame) -> DataFrame:
-    return rows.withColumnsRenamed({"name": "a", "label": "label_a", "size": "size_a", "shareable": "shareable_a"})
+    return rows.withColumnsRenamed({name: f"{name}_a" for name in ("label", "size", "shareable", "place", "differ")} | {"name": "a"})
 
 
 def candidate_pairs(asked: DataFrame, met: DataFrame, lone: DataFrame, rule: Jaccard) -> DataFrame:
@@ -311,7 +311,8 @@ def links_in_clusters(members: DataFrame, grams: DataFrame, lone: DataFrame, rul
     Two sets differ by as much as their differences from the hub do. Those of one label hang
     together already. If the differences from the hub are small enough together, the sets link in any case; the set with
     least to spare is then a link's end for all of these. Otherwise the differences have an n-gram in common
-    if the sets link, and one of the rarest `differing + 1` of either.
+    if the sets link, and one of the rarest `differing + 1` of either. Behind the first they have in
+    common, in order of rarity, both have to hold enough for all they need; few unlinked pairs do.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,12 +329,15 @@ def links_in_clusters(members: DataFrame, grams: DataFrame, lone: DataFrame, rul
     over = ((rule.of + rule.least) * F.size("apart") - (rule.of - rule.least) * F.col("size")).alias("over")
     nearest = rows.groupBy("cluster").agg(F.min(F.struct(over, "name")).alias("best"))
     certain = rows.select("name", "cluster", over).join(nearest, "cluster").filter("name <> best.name AND over + best.over <= 0").select(F.col("best.name").alias("a"), F.col("name").alias("b"))
-    each = rows.select("name", "size", "label", "cluster", "shareable", F.explode("apart").alias("gram"))
+    each = rows.select("name", "size", "label", "cluster", "shareable", F.size("apart").alias("differ"), F.explode("apart").alias("gram"))
     each = each.join(each.groupBy("cluster", "gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["cluster", "gram"], "left")
     place = F.row_number().over(Window.partitionBy("name").orderBy(F.coalesce("n", F.lit(1)), "gram"))
     first = each.withColumn("place", place).filter(F.expr(f"place <= 1 + size * {rule.of - rule.least} div {rule.least} AND n > 1"))
-    first = stored(first.select("cluster", "gram", "name", "size", "label", "shareable"))
-    pairs = as_smaller(first).join(first, ["cluster", "gram"]).filter(may_link(rule))
+    first = stored(first.select("cluster", "gram", "name", "size", "label", "shareable", "differ", "place"))
+    both, fewer = rule.of + rule.least, rule.of - rule.least
+    common = 1 + F.least(F.col("differ") - F.col("place"), F.col("differ_a") - F.col("place_a"))
+    enough = 2 * both * common >= both * (F.col("differ") + F.col("differ_a")) - fewer * (F.col("size") + F.col("size_a"))
+    pairs = as_smaller(first).join(first, ["cluster", "gram"]).filter(may_link(rule) & enough)
     return certain, pairs.select("a", F.col("name").alias("b")).distinct()
 
 
