@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brightloom.functions import scalars as S
-from brightloom.functions import text as X
 from brightloom.functions.html import DropRules, scan_html
+from brightloom.functions.packing import packed
 from brightloom.functions.shaping import let, unrolled
 
 # Fixed values.
@@ -140,79 +140,7 @@ def chunk_texts(blocks: Column, max_chars: int = CHUNK_MAX_CHARS, overlap_chars:
     are cut into overlapping pieces of their own. Nothing is carried over to another path.
     """
     check_chunk_options(max_chars, overlap_chars)
-    gap = F.lit("\n\n")
-    step = max(1, max_chars - overlap_chars)
-
-    def tail(text: Column) -> Column:
-        if overlap_chars == 0:
-            return F.lit("")
-        return F.when(F.length(text) <= overlap_chars, text).otherwise(F.right(text, F.lit(overlap_chars)))
-
-    def chunk(path: Column, text: Column) -> Column:
-        return F.struct(path.alias("heading_path"), text.alias("text"))
-
-    def append_if(chunks: Column, condition: Column, path: Column, text: Column) -> Column:
-        return F.when(condition, F.concat(chunks, F.array(chunk(path, text)))).otherwise(chunks)
-
-    def seeded(carry: Column, text: Column) -> Column:
-        room = F.lit(max_chars - 2) - F.length(text)
-        seed = F.when(F.length(carry) > room, F.right(carry, room)).otherwise(carry)
-        return F.when((carry == "") | (room <= 0), text).otherwise(F.concat(seed, gap, text))
-
-    def pieces_of(text: Column) -> Column:
-        count = F.lit(1) + F.ceil((F.length(text) - max_chars) / F.lit(step)).cast("int")
-        cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: X.trim_all(F.substring(text, i * step + 1, F.lit(max_chars))))
-        return F.filter(cut, lambda piece: piece != "")
-
-    start = F.struct(
-        F.array().cast(BLOCKS_TYPE).alias("chunks"),
-        F.lit(None).cast("string").alias("path"),
-        F.lit("").alias("pending"),
-        F.lit("").alias("carry"),
-    )
-
-    def close_path(state: Column, block: Column) -> Column:
-        moved = ~state["path"].eqNullSafe(block["heading_path"])
-        return F.struct(
-            append_if(state["chunks"], moved & (state["pending"] != ""), state["path"], X.trim_all(state["pending"])).alias("chunks"),
-            block["heading_path"].alias("path"),
-            F.when(moved, F.lit("")).otherwise(state["pending"]).alias("pending"),
-            F.when(moved, F.lit("")).otherwise(state["carry"]).alias("carry"),
-        )
-
-    def add_block(state: Column, block: Column) -> Column:
-        text = block["text"]
-        too_long = F.length(text) > max_chars
-        joined = F.concat(state["pending"], gap, text)
-        closes = (state["pending"] != "") & (too_long | (F.length(state["pending"]) + F.length(text) > max_chars - 2))
-        closed = X.trim_all(state["pending"])
-        chunks = append_if(state["chunks"], closes, state["path"], closed)
-        carry = F.when(closes, tail(closed)).otherwise(state["carry"])
-        pieces = pieces_of(text)
-        packed = F.struct(
-            chunks.alias("chunks"),
-            state["path"].alias("path"),
-            F.when((state["pending"] == "") | closes, seeded(carry, text)).otherwise(joined).alias("pending"),
-            carry.alias("carry"),
-        )
-        cut_up = F.struct(
-            F.concat(chunks, F.transform(pieces, lambda piece: chunk(state["path"], piece))).alias("chunks"),
-            state["path"].alias("path"),
-            F.lit("").alias("pending"),
-            F.coalesce(tail(F.try_element_at(pieces, F.lit(-1))), carry).alias("carry"),
-        )
-        return F.when(too_long, cut_up).otherwise(packed)
-
-    def pack(state: Column, block: Column) -> Column:
-        return let(close_path(state, block), lambda s: add_block(s, block))
-
-    def finish(state: Column) -> Column:
-        return append_if(state["chunks"], state["pending"] != "", state["path"], X.trim_all(state["pending"]))
-
-    trimmed = F.transform(
-        blocks, lambda b: F.struct(b["heading_path"].alias("heading_path"), X.trim_all(b["text"]).alias("text"))
-    )
-    return F.aggregate(F.filter(trimmed, lambda b: b["text"] != ""), start, pack, finish)
+    return packed(blocks, max_chars, overlap_chars)
 
 
 def chunk_pages(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brightloom.functions import scalars as S
 from brightloom.functions import text as X
 from brightloom.functions import urls as U
+from brightloom.functions.html import DropRules
 from brightloom.operators import embed, graph, lookups, rules, upsert
 from brightloom.operators import pages as P
 from brightloom.plans.registry import query
@@ -17,6 +18,7 @@ from brightloom.session import cut_lineage
 from brightloom.sources import pages as SP
 
 AS_OF = datetime(2024, 1, 31)
+SITE_RULES = DropRules(class_prefixes=("navbox",))
 PAGE_TYPES = [f"type{n}" for n in range(9)]
 
 RULES = [
@@ -387,22 +389,22 @@ def marked_up(t):
 
 @query(f"WITH {MARKUP_ORACLE} SELECT page_id, ord, heading_path, text FROM m_blocks")
 def markup_blocks(t):
-    return P.page_blocks(P.extract_pages(marked_up(t)))
+    return P.page_blocks(P.extract_pages(marked_up(t), SITE_RULES))
 
 
 @query(f"WITH {MARKUP_ORACLE} SELECT concat(page_id, ':sec:', ord) AS section_id, page_id, ord, level, heading, anchor, heading_path FROM m_sections")
 def markup_sections(t):
-    return P.page_sections(P.extract_pages(marked_up(t)))
+    return P.page_sections(P.extract_pages(marked_up(t), SITE_RULES))
 
 
 @query(f"WITH {MARKUP_ORACLE} SELECT page_id, CAST(ord AS INT) AS ord, href, link_text FROM m_links")
 def markup_links(t):
-    return P.page_links(P.extract_pages(marked_up(t))).select("page_id", "ord", "href", "link_text")
+    return P.page_links(P.extract_pages(marked_up(t), SITE_RULES)).select("page_id", "ord", "href", "link_text")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS page_id, 0 AS ord, concat('/i/', doc_id, '.png') AS src, 'Fig' AS alt FROM documents")
 def markup_images(t):
-    return P.page_images(P.extract_pages(marked_up(t)))
+    return P.page_images(P.extract_pages(marked_up(t), SITE_RULES))
 
 
 CLEANED = """
@@ -425,7 +427,7 @@ def _cleaning(t):
 
 @query(f"WITH {MARKUP_ORACLE}, {CLEANED} SELECT page_id, CAST(new_ord AS INT) AS ord, heading_path, text FROM c_blocks")
 def clean_blocks(t):
-    return P.page_blocks(P.clean_pages(P.extract_pages(marked_up(t)), _cleaning(t)))
+    return P.page_blocks(P.clean_pages(P.extract_pages(marked_up(t), SITE_RULES), _cleaning(t)))
 
 
 @query(
@@ -434,7 +436,7 @@ def clean_blocks(t):
         WHERE d.source NOT LIKE '%1' OR ((cut_at IS NULL OR s.ord < cut_at) AND NOT contains(heading_path, 'Sub 6'))"""
 )
 def clean_sections(t):
-    done = P.clean_pages(P.extract_pages(marked_up(t)), _cleaning(t))
+    done = P.clean_pages(P.extract_pages(marked_up(t), SITE_RULES), _cleaning(t))
     return P.page_sections(done).select("page_id", "ord", "heading")
 
 
@@ -446,7 +448,7 @@ def clean_sections(t):
         SELECT page_id, sha256(concat('# Doc ', CAST(page_id AS BIGINT) % 300, ' & more', chr(10), chr(10), body)) AS markdown_hash FROM j"""
 )
 def page_markdown(t):
-    done = P.page_markdown(P.extract_pages(marked_up(t)))
+    done = P.page_markdown(P.extract_pages(marked_up(t), SITE_RULES))
     return done.select("page_id", F.sha2("markdown", 256).alias("markdown_hash"))
 
 
@@ -490,7 +492,7 @@ def chunk_oracle(blocks: str, max_chars: int = 1200, overlap: int = 150) -> str:
           CAST(ceil(length(text) / 4.0) AS INT) AS token_count FROM packed"""
 )
 def markup_chunks(t):
-    return P.chunk_pages(P.extract_pages(marked_up(t)))
+    return P.chunk_pages(P.extract_pages(marked_up(t), SITE_RULES))
 
 
 # Documents as plain pages of one section: each line is a block.
@@ -563,7 +565,7 @@ LINKED = f"""{MARKUP_ORACLE},
 )
 def link_edges(t):
     pages = marked_up(t)
-    return graph.link_edges(P.extract_pages(pages), pages)
+    return graph.link_edges(P.extract_pages(pages, SITE_RULES), pages)
 
 
 def _name(expr: str) -> str:

@@ -1,13 +1,17 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from brightloom.functions.html import DropRules, PageScan, decode_characters
+from brightloom.functions.html import DropRules, decode_characters, scan_page
+from brightloom.functions.packing import pack
 from brightloom.operators import embed
 from brightloom.operators import pages as P
 from brightloom.session import cut_lineage
 
+SITE_RULES = DropRules(classes=("references",), class_prefixes=("mw-editsection", "navbox"), ids=("tagged-pages-container",))
+
 ARTICLE = """<html><head><title> The &amp; Title </title></head><body>
 <nav><a href="/nav">nav</a></nav>
 <h1 id="top">Top</h1><p>Intro <a href="/a">link&nbsp;a</a> text.</p>
@@ -23,7 +27,7 @@ ARTICLE = """<html><head><title> The &amp; Title </title></head><body>
 
 def extracted(spark, html):
     df = spark.createDataFrame([("1", "s", "https://e.org/p", html)], "page_id string, source_id string, url string, html string")
-    return cut_lineage(P.extract_pages(df))
+    return cut_lineage(P.extract_pages(df, SITE_RULES))
 
 
 def test_extraction(spark):
@@ -68,12 +72,12 @@ def test_character_references(text, expected):
 
 
 def test_reference_without_semicolon_stays(spark):
-    assert PageScan(DropRules()).scan("<p>x &copy y &copy; z</p>")["blocks"][0]["text"] == "x &copy y © z"
+    assert scan_page("<p>x &copy y &copy; z</p>")["blocks"][0]["text"] == "x &copy y © z"
 
 
 def test_drop_rules_are_parameters():
     rules = DropRules(tags=(), classes=("ad",), class_prefixes=("x-",), ids=())
-    found = PageScan(rules).scan("<nav><p>kept</p></nav><p class='ad'>a</p><p class='b x-1'>b</p>")
+    found = scan_page("<nav><p>kept</p></nav><p class='ad'>a</p><p class='b x-1'>b</p>", rules)
     assert [b["text"] for b in found["blocks"]] == ["kept"]
 
 
@@ -128,6 +132,81 @@ def test_chunk_limits_hold(spark):
     assert all(word in joined for _, text in blocks for word in text.split())
 
 
+def packed_one_by_one(blocks, max_chars, overlap):
+    """The contract of packing with whole strings, block by block."""
+    chunks, waiting, tail, path = [], "", "", None
+
+    def emit(text):
+        nonlocal tail
+        text = text.strip()
+        if text:
+            chunks.append({"heading_path": path, "text": text})
+            tail = text[-overlap:] if overlap else ""
+
+    for own_path, text in blocks:
+        text = (text or "").strip()
+        if not text:
+            continue
+        if own_path != path:
+            emit(waiting)
+            waiting, tail, path = "", "", own_path
+        if waiting and len(waiting) + 2 + len(text) > max_chars:
+            emit(waiting)
+            waiting = ""
+        if len(text) > max_chars:
+            start = 0
+            while True:
+                emit(text[start : start + max_chars])
+                if start + max_chars >= len(text):
+                    break
+                start += max(1, max_chars - overlap)
+        elif waiting:
+            waiting += "\n\n" + text
+        else:
+            room = max_chars - 2 - len(text)
+            waiting = tail[-room:] + "\n\n" + text if tail and room > 0 else text
+    emit(waiting)
+    return chunks
+
+
+def test_packing_equals_a_plain_loop():
+    chance = random.Random(11)
+    for _ in range(4000):
+        blocks = [
+            (chance.choice([None, "A", "B"]) if chance.random() < 0.2 else "A", "".join(chance.choices("abé \n", k=chance.randint(0, 40))))
+            for _ in range(chance.randint(0, 12))
+        ]
+        max_chars = chance.randint(1, 30)
+        overlap = chance.randint(0, max_chars - 1)
+        assert pack(blocks, max_chars, overlap) == packed_one_by_one(blocks, max_chars, overlap)
+
+
+def test_packing_of_nulls(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, [(None, None), ("A", "x")])], f"id int, blocks {P.BLOCKS_TYPE}")
+    got = {r["id"]: r["c"] for r in df.select("id", P.chunk_texts(F.col("blocks")).alias("c")).collect()}
+    assert got[1] is None and got[2] == [] and [tuple(c) for c in got[3]] == [("A", "x")]
+
+
+def test_spans_of_odd_markup():
+    assert scan_page("<p>a<p>b<title>t</title>c</p>")["blocks"][0]["text"] == "a"
+    assert scan_page("<title>a <b>c</title>")["title"] == "a <b>c"
+    assert scan_page("<h1>x<p>y</p>z</h1>")["headings"] == []
+    crossed = scan_page("<p>ab <a href='/x'>cd</p>ef</a><a href='/y'><h2>gh</h2></a>")
+    assert crossed["links"] == [{"href": "/x", "text": "cd"}, {"href": "/y", "text": ""}]
+    assert (crossed["blocks"][0]["raw_chars"], crossed["blocks"][0]["link_chars"]) == (5, 2)
+    assert scan_page("<p title='a > b' title=c>kept</p><!-- <p>no</p> --><p>cut <a href=")["blocks"] == [
+        {"tag": "p", "text": "kept", "raw_chars": 4, "link_chars": 0, "headings_before": 0}
+    ]
+    assert scan_page("<nav><p>a</nav><p>b</p><script>'<p>no</p>'</script><li>c</li>")["blocks"][1]["text"] == "c"
+
+
+@pytest.mark.parametrize("unit", ["<p>", "</p>", "<a", "<p x='", "<!--", "<script>", "<nav>", "<p>a</b>"])
+def test_scan_is_linear(unit):
+    started = time.process_time()
+    scan_page(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - started < 20
+
+
 @pytest.mark.parametrize("max_chars, overlap", [(0, 0), (10, 10), (10, -1)])
 def test_chunk_options(max_chars, overlap):
     with pytest.raises(ValueError):
