@@ -11,7 +11,7 @@ from brightloom.functions import scalars as S
 from brightloom.functions import text as X
 from brightloom.functions import urls as U
 from brightloom.functions.html import DropRules
-from brightloom.operators import embed, graph, lookups, rules, upsert
+from brightloom.operators import embed, graph, lookups, rules, upsert, writes
 from brightloom.operators import pages as P
 from brightloom.plans.registry import query
 from brightloom.session import cut_lineage
@@ -170,6 +170,48 @@ def write_verdicts(t):
     return rules.write_flow(requests, stored, _rules(t)).select("page_id", "verdict")
 
 
+@query(
+    """WITH r AS (SELECT page_id, CAST(page_id AS BIGINT) AS doc, length(html) >= 200 AS ok, length(html) + 6 >= 200 AS ok_again FROM doc_pages),
+            w AS (SELECT *, unnest([1, 2, 3, 4, 5, 6]) AS nth, doc % 2 = 1 AS odd FROM r)
+       SELECT doc, nth,
+         CASE WHEN odd AND nth = 3 THEN CASE WHEN ok_again THEN 'stored' ELSE 'rejected' END
+              WHEN NOT ok THEN 'rejected'
+              WHEN nth = 1 OR odd AND nth IN (4, 5) THEN 'stored'
+              WHEN nth = 2 OR nth IN (4, 6) AND NOT odd THEN 'deduped'
+              ELSE 'unchanged' END AS verdict,
+         CASE WHEN ok AND (nth IN (1, 3, 5)) OR odd AND ok_again AND nth = 3 AND ok THEN concat(page_id, '-1')
+              WHEN odd AND nth = 5 AND ok_again THEN concat(page_id, '-3')
+              WHEN odd AND ok AND nth = 6 THEN concat(page_id, '-4')
+              ELSE concat(page_id, '-', nth) END AS page_id
+       FROM w""",
+    ("doc_pages",),
+)
+def write_repeats(t):
+    """Each page crawled three times in one batch, in turn with a twin under another URL.
+
+    Odd pages come with other bytes in between, which frees the first bytes for the twin.
+    """
+    nth = F.explode(F.array(*[F.lit(n) for n in range(1, 7)]))
+    doc = F.col("page_id").cast("long")
+    crawled = t("doc_pages").select(
+        doc.alias("doc"), nth.alias("nth"), F.concat(F.lit("w-"), "page_id").alias("source_id"), "url", "html", "page_id"
+    )
+    other = (F.col("doc") % 2 == 1) & (F.col("nth") == 3)
+    requests = crawled.select(
+        F.concat("page_id", F.lit("-"), F.col("nth").cast("string")).alias("page_id"),
+        "source_id",
+        F.when(F.col("nth") % 2 == 0, F.concat("url", F.lit("&twin"))).otherwise(F.col("url")).alias("url"),
+        F.when(other, F.concat("html", F.lit(" again"))).otherwise(F.col("html")).alias("html"),
+        (F.col("doc") * 10 + F.col("nth")).alias("seq"),
+    )
+    wanted = t.rows([r for r in RULES if r[0] in ("v2", "d1", "d2")], RULES_SCHEMA)
+    empty = requests.filter(F.lit(False)).select("page_id", "source_id", "url", F.col("url").alias("canonical_url"), F.lit("").alias("content_hash"))
+    done = writes.write_batch(requests, empty, wanted)
+    return done.select(
+        F.floor(F.col("seq") / 10).alias("doc"), (F.col("seq") % 10).cast("int").alias("nth"), "verdict", "page_id"
+    )
+
+
 @query(
     """WITH a AS (SELECT regexp_replace(title, 'The ', '') AS fact, language AS value, tier, page_id, seq
                   FROM doc_pages JOIN doc_sources USING (source_id) WHERE title IS NOT NULL),

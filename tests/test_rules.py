@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brightloom.operators import rules as R
+from brightloom.operators import writes as W
 
 RULES = "rule_id string, phase string, kind string, params string, severity string, enabled boolean, priority int"
 REQUEST = "page_id string, source_id string, url string, html string, title string, page_type string, language string, seq long"
@@ -163,3 +164,66 @@ def test_write_flow(spark):
     assert {r["page_id"]: r["verdict"] for r in done.collect()} == {"k1": "unchanged", "new2": "stored", "new3": "deduped", "new4": "rejected", "k5": "stored"}
     events = R.rule_events(done, F.current_timestamp())
     assert [r["page_id"] for r in R.pages_failing_validation(events).collect()] == ["new4"]
+
+
+def written_one_by_one(requests, stored, kinds):
+    """Requests `(id, url, canonical, hash, seq, passed)` of one source, one after another."""
+    pages = {url: [page, hash_, canonical] for page, url, canonical, hash_ in stored}
+    told = {}
+    for page, url, canonical, hash_, seq, passed in sorted(requests, key=lambda r: r[4]):
+        if url in pages and pages[url][1] == hash_:
+            told[seq] = (pages[url][0], "unchanged")
+        elif not passed:
+            told[seq] = (pages[url][0] if url in pages else page, "rejected")
+        elif url in pages:
+            pages[url][1] = hash_
+            told[seq] = (pages[url][0], "stored")
+        else:
+            action = "insert"
+            for kind in kinds:
+                if kind == "near_duplicate_hash" and any(p[1] == hash_ for p in pages.values()):
+                    action = "skip"
+                elif kind == "same_canonical_url" and any(p[2] == canonical for p in pages.values()):
+                    action = "merge"
+                if action != "insert":
+                    break
+            if action != "skip":
+                pages[url] = [page, hash_, canonical]
+            told[seq] = (page, "deduped" if action == "skip" else "stored")
+    return told
+
+
+@pytest.mark.parametrize(
+    "kinds", [["near_duplicate_hash", "same_canonical_url"], ["same_canonical_url", "near_duplicate_hash"], ["same_canonical_url"]]
+)
+def test_repeated_urls_are_settled_in_order(spark, kinds):
+    chance = random.Random(len(kinds))
+    requests, stored = [], []
+    for source in range(60):
+        urls, hashes = chance.randint(1, 6), chance.randint(1, 4)
+        for url in range(urls):
+            if chance.random() < 0.3:
+                stored.append((f"old{url}", f"s{source}", f"u{url}", f"c{url // 2}", f"h{chance.randrange(hashes)}"))
+        for number in range(chance.randint(1, 14)):
+            url = chance.randrange(urls)
+            requests.append(
+                (f"r{number}", f"s{source}", f"u{url}", f"c{url // 2}", f"h{chance.randrange(hashes)}", number * 3, chance.random() < 0.8)
+            )
+    checked = spark.createDataFrame(
+        requests, "page_id string, source_id string, url string, canonical_url string, content_hash string, seq long, passed boolean"
+    )
+    store = spark.createDataFrame(stored, "page_id string, source_id string, url string, canonical_url string, content_hash string")
+    got = {(r["source_id"], r["seq"]): (r["page_id"], r["verdict"]) for r in W.settle(checked, store, kinds, block_rows=7).collect()}
+    expected = {}
+    for source in {r[1] for r in requests}:
+        own = [(r[0], *r[2:]) for r in requests if r[1] == source]
+        old = [(p, u, c, h) for p, s, u, c, h in stored if s == source]
+        expected |= {(source, seq): told for seq, told in written_one_by_one(own, old, kinds).items()}
+    assert got == expected
+
+
+def test_empty_batches_are_settled(spark):
+    checked = spark.createDataFrame(
+        [], "page_id string, source_id string, url string, canonical_url string, content_hash string, seq long, passed boolean"
+    )
+    assert W.settle(checked, checked, ["near_duplicate_hash"]).collect() == []
