@@ -77,6 +77,30 @@ def rules_normalize(t):
     return done.select("page_id", "canonical_url", F.sha2("text", 256).alias("text_hash"), "summary")
 
 
+@query(
+    """SELECT doc_id, form, CASE form
+         WHEN 0 THEN 'https://docs.example/a/' || doc_id || '/d%20e?q=' || doc_id % 7
+         WHEN 1 THEN 'http://me:pw' || doc_id || '@docs.example/' || source || '/'
+         WHEN 2 THEN 'https://docs.example:8443/' || doc_id || '//x?a=1+2'
+         WHEN 3 THEN 'mailto:' || source || doc_id || '@docs.example'
+         WHEN 4 THEN 'https://docs.example/' || lang || '/%C3%A9' || doc_id END AS canonical
+       FROM documents, unnest([0, 1, 2, 3, 4, 5]) AS u(form)"""
+)
+def canonical_urls(t):
+    """Each document's address in forms that differ from the standard one."""
+    doc = F.col("doc_id").cast("string")
+    written = [
+        F.concat(F.lit(" HTTPS://Docs.Example:443/a/./b/../"), doc, F.lit("/d e?utm=5&q="), (F.col("doc_id") % 7).cast("string"), F.lit("#top\n")),
+        F.concat(F.lit("http://me:pw"), doc, F.lit("@docs.EXAMPLE:80/../"), F.col("source"), F.lit("/x/..#f")),
+        F.concat(F.lit("https:\\\\docs.example:8443\\"), doc, F.lit("//x/%2e%2E/x?&a=1%202&utm")),
+        F.concat(F.lit("MailTo:"), F.col("source"), doc, F.lit("@docs.example#f")),
+        F.concat(F.lit("https://docs.example/"), F.col("lang"), F.lit("/%2E/é"), doc, F.lit("?utm=")),
+        F.concat(F.lit("https://docs example/"), doc),
+    ]
+    rows = t("documents").select("doc_id", F.col("source"), F.posexplode(F.array(*written)).alias("form", "url"))
+    return rows.select("doc_id", "form", U.canonical_url(F.col("url"), ["utm"]).alias("canonical"))
+
+
 @query(
     f"""WITH {VALIDATED} SELECT page_id, CAST(NOT (no_title OR short OR bad_type) AS INT) AS passed,
           concat_ws('|', CASE WHEN no_title THEN 'missing title' END,

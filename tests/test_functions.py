@@ -99,10 +99,32 @@ def test_text_functions(spark):
         ("https://ex.com:8443/A/b", "https://ex.com:8443/A/b"),
         ("https://ex.com/?q=a%20b", "https://ex.com/?q=a+b"),
         ("not a url", None),
+        (" https://ex.com/a/./b/../c/%2E%2e/d/.. \n", "https://ex.com/a/"),
+        ("https://ex.com/../../x/.", "https://ex.com/x/"),
+        ("https://ex.com/a//b/", "https://ex.com/a//b/"),
+        ("https://ex.com/a..b/.c/...", "https://ex.com/a..b/.c/..."),
+        ("HTTP://Us:Pw@Ex.com:080/é b\\c", "http://Us:Pw@ex.com/%C3%A9%20b/c"),
+        ("https://@ex.com", "https://ex.com/"),
+        ("https:\\\\ex.com\\a", "https://ex.com/a"),
+        ("https:ex.com/a", "https://ex.com/a"),
+        ("https://[2001:DB8::1]:444/x", "https://[2001:db8::1]:444/x"),
+        ("https://ex.com:70000/", None),
+        ("https://e x.com/", None),
+        ("https://", None),
+        ("mailto:A@b.c", "mailto:A@b.c"),
+        ("MAILTO:a@b.c?utm=1&subject=x#f", "mailto:a@b.c?subject=x"),
+        ("https://ex.com/%zz?%zz=1", "https://ex.com/%zz?%25zz=1"),
+        ("https://ex.com/a?utm=1", "https://ex.com/a"),
+        ("", None),
+        (None, None),
     ],
 )
 def test_canonical_url(spark, url, expected):
-    assert value(spark, U.canonical_url(F.lit(url), ["utm"])) == expected
+    assert value(spark, U.canonical_url(F.lit(url).cast("string"), ["utm"])) == expected
+
+
+def test_canonical_url_keeps_the_fragment_on_demand(spark):
+    assert value(spark, U.canonical_url(F.lit("https://ex.com?a b#c d"), [], drop_fragment=False)) == "https://ex.com/?a%20b#c%20d"
 
 
 def test_canonical_url_keeps_query_text_without_params(spark):
@@ -132,9 +154,9 @@ def test_admission_without_prefixes(spark):
 
 
 def test_absolute_urls(spark):
-    rows = [("../x?y#z", "https://e.org/a/b/c"), ("#f", "https://e.org/p"), ("mailto:a@b.c", "https://e.org/"), ("http://[bad", "https://e.org/"), ("a b", "https://E.org")]
+    rows = [("../x?y#z", "https://e.org/a/b/c"), ("#f", "https://e.org/p"), ("mailto:a@b.c", "https://e.org/"), ("http://[bad", "https://e.org/"), ("a b", "https://E.org"), ("./y", "https://u:p@e.org/a/")]
     got = [r[0] for r in spark.createDataFrame(rows, "h string, b string").select(U.absolute_url("h", "b")).collect()]
-    assert got == ["https://e.org/a/x?y#z", "https://e.org/p#f", "mailto:a@b.c", None, "https://e.org/a%20b"]
+    assert got == ["https://e.org/a/x?y#z", "https://e.org/p#f", "mailto:a@b.c", None, "https://e.org/a%20b", "https://u:p@e.org/a/y"]
 
 
 def test_default_timezone_is_utc(spark):
