@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from brightloom.functions.html import DropRules
 from brightloom.operators import embed, graph, lookups, rules, upsert, writes
 from brightloom.operators import pages as P
 from brightloom.plans.registry import query
-from brightloom.session import cut_lineage
+from brightloom.session import cut_lineage, ensure_checkpoint_dir
 from brightloom.sources import pages as SP
 
 AS_OF = datetime(2024, 1, 31)
@@ -874,3 +875,71 @@ def pages_by_natural_key(t):
 @query("SELECT source_id, tier FROM doc_sources", ("doc_sources",))
 def source_list(t):
     return lookups.list_sources(t("doc_sources"))
+
+
+@query(f"WITH {ENTITIES} SELECT DISTINCT normalized, kind FROM decided", ("doc_pages", "doc_sources"))
+def entity_list(t):
+    entities = graph.registered_entities(graph.entity_decisions(t("doc_pages"), t("doc_sources")))
+    return lookups.list_entities(entities).select("normalized", "kind")
+
+
+@query(
+    f"""WITH {MARKUP_ORACLE} SELECT page_id, ord, level, heading FROM m_sections
+        WHERE page_id IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE lang = 'fr')"""
+)
+def section_list(t):
+    """Headings of the French pages; a page asked for twice is listed once."""
+    french = t("documents").filter("lang = 'fr'").select(F.col("doc_id").cast("string").alias("page_id"))
+    sections = P.page_sections(P.extract_pages(marked_up(t), SITE_RULES))
+    return lookups.page_listing(sections, french.unionByName(french), "ord").select("page_id", "ord", "level", "heading")
+
+
+@query(
+    """SELECT page_id, url, title, page_type, language, 'active' AS lifecycle, length(html) AS version, seq AS updated_at FROM doc_pages""",
+    ("doc_pages",),
+)
+def page_items(t):
+    pages = t("doc_pages").withColumn("lifecycle", F.lit("active"))
+    return lookups.page_items(pages.withColumn("version", F.length("html")).withColumn("updated_at", F.col("seq")))
+
+
+@query("SELECT source_id, concat('Source ', source_id) AS name, concat('https://', source_id) AS base_url, tier, 'free' AS license FROM doc_sources", ("doc_sources",))
+def source_items(t):
+    sources = t("doc_sources").select(
+        "source_id", "tier", F.concat(F.lit("Source "), "source_id").alias("name"), F.concat(F.lit("https://"), "source_id").alias("base_url"),
+        F.lit("free").alias("license"),
+    )
+    return lookups.source_items(sources)
+
+
+@query(
+    f"""WITH {VALIDATED},
+          one AS (SELECT page_id, 0 AS ord, 'v1' AS rule_id, CASE WHEN no_title THEN 'fail' ELSE 'pass' END AS outcome FROM v
+            UNION ALL SELECT page_id, 1, 'v2', CASE WHEN short THEN 'fail' ELSE 'pass' END FROM v
+            UNION ALL SELECT page_id, 2, 'v3', CASE WHEN bad_type THEN 'fail' ELSE 'pass' END FROM v
+            UNION ALL SELECT page_id, 3, 'v4', CASE WHEN not_en THEN 'warn' ELSE 'pass' END FROM v)
+        SELECT page_id, ord, rule_id, 'validate' AS phase, outcome, CAST(count(*) AS INT) AS runs
+        FROM one, (VALUES (1), (2)) AS r(run) GROUP BY ALL""",
+    ("doc_pages",),
+)
+def rule_events_appended(t):
+    """The audit trail after two runs over the same pages, each appended to the stored one."""
+    folder = f"{ensure_checkpoint_dir(t.spark)}/rule_events/{uuid.uuid4().hex}"
+    done = rules.validate(_normalized(t).drop("outcomes"), rules.load_rules(_rules(t), "validate"))
+    events = rules.rule_events(done, F.lit(AS_OF).cast("timestamp"))
+    for _ in range(2):
+        rules.append_rule_events(events, folder)
+    trail = t.spark.read.parquet(folder)
+    return trail.groupBy("page_id", "ord", "rule_id", "phase", "outcome").agg(F.count(F.lit(1)).cast("int").alias("runs"))
+
+
+@query(
+    """SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS terms,
+         length(text) BETWEEN 1 AND 2000 AS searchable FROM benchmark"""
+)
+def query_terms_ascii(t):
+    """Search terms in their strict form, and whether the query's length is admitted."""
+    return t("benchmark").select(
+        "item_id", F.array_join(X.query_tokens(F.col("text"), strict_ascii=True), " ").alias("terms"),
+        F.length("text").between(1, 2000).alias("searchable"),
+    )
