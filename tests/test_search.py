@@ -26,8 +26,8 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vector_id string, embedding array<float>, namespace string")
 
 
-@pytest.mark.parametrize("per_pass", [1024, 3])
-def test_nearest_equals_brute_force(spark, per_pass):
+@pytest.mark.parametrize("per_block, sent", [(512, 1 << 20), (3, 1 << 20), (3, 0)])
+def test_nearest_equals_brute_force(spark, per_block, sent):
     chance = random.Random(1)
     points = [(f"v{i:03d}", [chance.gauss(0, 1) for _ in range(8)], chance.choice("ab")) for i in range(200)]
     points += [(f"w{i}", points[0][1], points[0][2]) for i in range(20)] + [("zero", [0.0] * 8, "a")]
@@ -44,7 +44,7 @@ def test_nearest_equals_brute_force(spark, per_pass):
         expected[q] = [vid for _, vid in scored[:15]]
     queries = spark.createDataFrame(asked, "query_id string, embedding array<float>, namespace string")
     got = {}
-    for r in nearest_vectors(queries, vectors(spark, points).repartition(5), 15, per_pass).orderBy("query_id", "rank").collect():
+    for r in nearest_vectors(queries, vectors(spark, points).repartition(5), 15, per_block, sent).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["vector_id"])
     assert got == expected
 
@@ -56,6 +56,29 @@ def test_nearest_without_queries_or_vectors(spark):
     assert nearest_vectors(asked, vectors(spark, []), 3).count() == 0
 
 
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_nearest_of_odd_rows(spark, sent):
+    """Nulls are not found, lengths meet their own kind, repeated rows come as often as they are there."""
+    rows = [("a", [1.0, 0.0], "n"), ("a", [1.0, 0.0], "n"), ("b", [0.0, 2.0], None), ("long", [1.0, 0.0, 0.0], "n"), ("none", None, "n"), ("hole", [1.0, None], "n"), ("empty", [], "n")]
+    asked = [("q", [2.0, 0.0]), ("r", [0.0, 0.0, 0.0]), ("s", None), ("t", [])]
+    queries = spark.createDataFrame(asked, "query_id string, embedding array<float>")
+    found = nearest_vectors(queries, vectors(spark, rows), 3, 512, sent)
+    got = sorted((r["query_id"], r["rank"], r["vector_id"], r["score"]) for r in found.collect())
+    assert got == [("q", 1, "a", 1.0), ("q", 2, "a", 1.0), ("q", 3, "b", 0.0), ("r", 1, "long", 0.0)]
+
+
+def test_any_number_of_queries_reads_the_vectors_once(spark, tmp_path):
+    chance = random.Random(2)
+    points = [(f"v{i:04d}", [chance.gauss(0, 1) for _ in range(4)], "n") for i in range(3000)]
+    vectors(spark, points).write.parquet(f"{tmp_path}/vectors")
+    stored = spark.read.parquet(f"{tmp_path}/vectors")
+    found = nearest_vectors(stored.select(F.col("vector_id").alias("query_id"), "embedding"), stored, 1)
+    # one scan of the vectors and one of the queries' written table
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and "NestedLoop" not in plan and "Cartesian" not in plan
+    assert found.filter("query_id <> vector_id").isEmpty() and found.count() == 3000
+
+
 # ---- the text index ----
 
 
