@@ -252,7 +252,8 @@ def dedup(pages: DataFrame, stored: DataFrame, rules: list[Rule], hot_rows: int
     A page is compared with the `stored` pages of its source and with the pages of the batch
     that are stored before it. Only a repeated hash keeps a page out, so of all pages of a
     source with one hash exactly the first is stored unless the hash is stored already; this
-    makes the batch's own reference pages known without walking through it.
+    makes the batch's own reference pages known without walking through it. Each key is looked
+    up once, so more rules cost neither joins nor reads.
     """
     uses_hash = any(rule.kind == "near_duplicate_hash" for rule in rules)
     references = stored.select(
@@ -270,43 +271,44 @@ def dedup(pages: DataFrame, stored: DataFrame, rules: list[Rule], hot_rows: int
     references = references.unionByName(own)
     # Stored pages come before the whole batch.
     arrival = F.coalesce("seq", F.lit(-(2**62)))
-    outcomes, decided = [], F.lit(None).cast("string")
-    merge_into = F.lit(None).cast("string")
-    for number, rule in enumerate(rules):
-        key = _DEDUP_KEYS.get(rule.kind)
-        if key is None:
-            outcomes.append(F.when(decided.isNull(), _misplaced(rule, "dedup")))
-            continue
-        hit = f"_hit_{number}"
+    first_rule = {key: n for n, rule in reversed(list(enumerate(rules))) if (key := _DEDUP_KEYS.get(rule.kind))}
+    earlier = F.col("outcomes") if "outcomes" in pages.columns else F.array().cast(OUTCOMES_TYPE)
+    # One lookup for each key that rules use, however many use it.
+    for key in first_rule:
         firsts = (
             references.filter(F.col(key).isNotNull())
             .groupBy("source_id", key)
-            .agg(F.min(F.struct(arrival.alias("at"), F.col("page_id").alias("page_id"))).alias(hit))
+            .agg(F.min(F.struct(arrival.alias("at"), F.col("page_id").alias("page_id"))).alias(f"_first_{key}"))
         )
         pages = lookup_join(pages, firsts, ["source_id", key], "left", F.col("page_id"), hot_rows)
-        found = F.coalesce((F.col(hit)["at"] < F.col("seq")) & (F.col(hit)["page_id"] != F.col("page_id")), F.lit(False))
-        action, wording = ("skip", "duplicate of ") if key == "content_hash" else ("merge", "merge into ")
-        other = F.col(hit)["page_id"]
-        outcomes.append(
-            F.when(
-                decided.isNull(),
-                _outcome(
-                    rule, "dedup", F.when(found, "applied").otherwise("pass"), F.when(found, F.concat(F.lit(wording), other))
-                ),
-            )
-        )
-        merge_into = F.when(decided.isNull() & found & F.lit(action == "merge"), other).otherwise(merge_into)
-        decided = F.coalesce(decided, F.when(found, F.lit(action)))
+        hit = F.col(f"_first_{key}")
+        found = (hit["at"] < F.col("seq")) & (hit["page_id"] != F.col("page_id"))
+        pages = pages.withColumn(f"_hit_{key}", F.when(found, hit["page_id"])).drop(f"_first_{key}")
+    # The first rule of a key decides for it, the earlier of both for the page.
+    hits = [F.when(F.col(f"_hit_{key}").isNotNull(), F.lit(n)) for key, n in first_rule.items()]
+    pages = pages.withColumn("_decided", F.array_min(F.array(F.lit(len(rules)), *hits)))
+    outcomes = [F.when(F.col("_decided") >= n, _dedup_outcome(rule)) for n, rule in enumerate(rules)]
     added = F.array_compact(F.array(*outcomes)) if outcomes else F.array()
-    earlier = F.col("outcomes") if "outcomes" in pages.columns else F.array().cast(OUTCOMES_TYPE)
+    decides = {key: F.col("_decided") == n for key, n in first_rule.items()}
+    skips, merges = decides.get("content_hash", F.lit(False)), decides.get("canonical_url", F.lit(False))
+    other = F.col("_hit_canonical_url") if "canonical_url" in first_rule else F.lit(None).cast("string")
     return (
-        pages.withColumn("action", F.coalesce(decided, F.lit("insert")))
-        .withColumn("merge_into", merge_into)
+        pages.withColumn("action", F.when(skips, "skip").when(merges, "merge").otherwise("insert"))
+        .withColumn("merge_into", F.when(merges, other))
         .withColumn("outcomes", F.concat(earlier, added.cast(OUTCOMES_TYPE)))
-        .drop(*[f"_hit_{n}" for n in range(len(rules))])
+        .drop("_decided", *[f"_hit_{key}" for key in first_rule])
     )
 
 
+def _dedup_outcome(rule: Rule) -> Column:
+    key = _DEDUP_KEYS.get(rule.kind)
+    if key is None:
+        return _misplaced(rule, "dedup")
+    other = F.col(f"_hit_{key}")
+    wording = "duplicate of " if key == "content_hash" else "merge into "
+    return _outcome(rule, "dedup", F.when(other.isNotNull(), "applied").otherwise("pass"), F.concat(F.lit(wording), other))
+
+
 def resolve_by_tier(assertions: DataFrame, keys: list[str]) -> DataFrame:
     """Cross-source conflicts over `(keys, value, tier, page_id, seq)`: the lowest tier wins.
 

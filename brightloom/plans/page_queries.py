@@ -172,6 +172,38 @@ def rules_dedup(t):
     return done.select("page_id", "action", other.alias("other"))
 
 
+@query(
+    """WITH base AS (SELECT page_id, source_id, seq, html, page_type IN ('type0', 'type2') AS held,
+                       concat('https://docs.example/d/', regexp_extract(url, '/d/([0-9]+)', 1), '?v=1') AS canonical FROM doc_pages),
+            s AS (SELECT page_id, source_id, html, canonical FROM base WHERE held),
+            b AS (SELECT concat('a-', page_id) AS page_id, source_id, seq * 3 AS seq, html, canonical FROM base
+                  UNION ALL SELECT concat('b-', page_id), source_id, seq * 3 + 1, html, concat(canonical, '&moved=1') FROM base
+                  UNION ALL SELECT concat('c-', page_id), source_id, seq * 3 + 2, concat(html, 'changed'), canonical FROM base),
+            own AS (SELECT source_id, html, arg_min(canonical, seq) AS canonical, arg_min(page_id, seq) AS page_id, min(seq) AS arrived
+                    FROM b ANTI JOIN s USING (source_id, html) GROUP BY source_id, html),
+            refs AS (SELECT source_id, html, canonical, page_id, -1 AS arrived FROM s UNION ALL SELECT source_id, html, canonical, page_id, arrived FROM own),
+            h AS (SELECT source_id, html, min(arrived) AS h_at, first(page_id ORDER BY arrived, page_id) AS h_page FROM refs GROUP BY ALL),
+            u AS (SELECT source_id, canonical, min(arrived) AS u_at, first(page_id ORDER BY arrived, page_id) AS u_page FROM refs GROUP BY ALL)
+       SELECT b.page_id, CASE WHEN h_at < seq THEN 'skip' WHEN u_at < seq THEN 'merge' ELSE 'insert' END AS action,
+              CASE WHEN h_at < seq THEN h_page WHEN u_at < seq THEN u_page END AS other
+       FROM b LEFT JOIN h USING (source_id, html) LEFT JOIN u USING (source_id, canonical)""",
+    ("doc_pages",),
+)
+def dedup_stored(t):
+    """Pages crawled again, at another URL and with other bytes, against a store that holds two page types."""
+    known = t("doc_pages").select("page_id", "source_id", "seq", "page_type", "html", U.canonical_url(F.col("url"), ["utm"]).alias("canonical_url"))
+    hashed = [F.sha2("html", 256).alias("content_hash"), F.sha2(F.concat("html", F.lit("changed")), 256).alias("_changed")]
+    known = cut_lineage(known.select("page_id", "source_id", "seq", "page_type", "canonical_url", *hashed))
+    ways = [("a-", F.col("canonical_url"), F.col("content_hash")), ("b-", F.concat("canonical_url", F.lit("&moved=1")), F.col("content_hash")), ("c-", F.col("canonical_url"), F.col("_changed"))]
+    crawl = F.inline(F.array(*[
+        F.struct(F.concat(F.lit(mark), "page_id").alias("page_id"), (F.col("seq") * 3 + n).alias("seq"), url.alias("canonical_url"), bytes_.alias("content_hash"))
+        for n, (mark, url, bytes_) in enumerate(ways)
+    ]))
+    done = rules.dedup(known.select("source_id", crawl), known.filter("page_type IN ('type0', 'type2')"), rules.load_rules(_rules(t), "dedup"))
+    detail = F.array_join(F.transform("outcomes", lambda o: o["detail"]), "")
+    return done.select("page_id", "action", F.nullif(F.regexp_extract(detail, "((?:[abc]-)?[0-9]+)$", 1), F.lit("")).alias("other"))
+
+
 @query(
     f"""WITH {VALIDATED}, candidates AS (SELECT * FROM v WHERE NOT (no_title OR short OR bad_type) AND language <> 'de'), {DEDUPED}
         SELECT v.page_id, CASE WHEN v.language = 'de' AND seq_even THEN 'unchanged' WHEN no_title OR short OR bad_type THEN 'rejected'

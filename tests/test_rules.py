@@ -120,6 +120,24 @@ def test_dedup_equals_one_by_one(spark, kinds, hot_rows):
     assert {r["page_id"]: r["action"] for r in done.collect()} == sequential(pages, stored, kinds)
 
 
+def test_more_dedup_rules_read_no_more(spark, tmp_path):
+    rows = [("a", "s", "u1", "h1", 1), ("b", "s", "u1", "h2", 2), ("c", "s", None, "h1", 3), ("d", "s", "u2", None, 4)]
+    spark.createDataFrame(rows, "page_id string, source_id string, canonical_url string, content_hash string, seq long").write.parquet(f"{tmp_path}/p")
+    pages = spark.read.parquet(f"{tmp_path}/p")
+    kinds = ["same_canonical_url", "near_duplicate_hash"]
+
+    def done(n):
+        return R.dedup(pages, pages.filter("page_id = 'none'"), [R.Rule(str(i), "dedup", kinds[i % 2], {}) for i in range(n)])
+
+    def scans(n):
+        return done(n)._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+    assert scans(2) == scans(200)
+    for n in (2, 200):
+        got = {r["page_id"]: (r["action"], r["merge_into"], len(r["outcomes"])) for r in done(n).collect()}
+        assert got == {"a": ("insert", None, n), "b": ("merge", "a", 1), "c": ("skip", None, 2), "d": ("insert", None, n)}
+
+
 def test_dedup_outcomes_stop_at_the_first_hit(spark):
     stored = spark.createDataFrame([("old", "s", "h", "u", 0)], PAGE)
     rules = [R.Rule("0", "dedup", "require_title", {}), R.Rule("1", "dedup", "near_duplicate_hash", {}), R.Rule("2", "dedup", "same_canonical_url", {})]
