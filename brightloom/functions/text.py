@@ -45,9 +45,9 @@ def normalize_name(text: Column) -> Column:
     return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
 
 
-def strip_suffix(text: Column, suffix_pattern: str | None) -> Column:
-    """Title without its site suffix, trimmed."""
-    return trim_all(F.regexp_replace(text, suffix_pattern, "") if suffix_pattern else text)
+def strip_suffix(text: Column, suffix_pattern: Column) -> Column:
+    """Title without its site suffix, trimmed; without a pattern only trimmed."""
+    return trim_all(F.coalesce(F.regexp_replace(text, suffix_pattern, F.lit("")), text))
 
 
 def _folding_table() -> tuple[str, str]:

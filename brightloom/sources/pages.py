@@ -104,21 +104,12 @@ def page_requests(crawled: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Crawled `(source_id, url, html, title)` as ingest requests.
 
     Titles lose their source's suffix and count only when something is left of them. A
-    suffix pattern belongs to a source, so there is one expression per catalogue entry.
+    suffix pattern is a value of the source's catalogue row and comes with its page type, so the
+    catalogue may hold any number of them. Pages of unknown sources are left out.
     """
-    patterns = [
-        (row["source_id"], row["title_suffix"])
-        for row in catalogue.filter(F.col("title_suffix").isNotNull()).select("source_id", "title_suffix").limit(10_001).collect()
-    ]
-    if len(patterns) > 10_000:
-        raise ValueError("a source catalogue holds at most 10,000 title patterns")
-    cleaned = strip_suffix(F.col("title"), None)
-    for source_id, pattern in patterns:
-        cleaned = F.when(F.col("source_id") == source_id, strip_suffix(F.col("title"), pattern)).otherwise(cleaned)
-    return (
-        crawled.join(catalogue.select("source_id", F.col("default_page_type").alias("page_type")), "source_id")
-        .withColumn("title", F.nullif(cleaned, F.lit("")))
-    )
+    entries = catalogue.select("source_id", F.col("default_page_type").alias("page_type"), F.col("title_suffix").alias("_suffix"))
+    title = F.nullif(strip_suffix(F.col("title"), F.col("_suffix")), F.lit(""))
+    return crawled.join(entries, "source_id").withColumn("title", title).drop("_suffix")
 
 
 def indexable_pages(pages: DataFrame, raw: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:

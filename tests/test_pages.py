@@ -9,6 +9,7 @@ from brightloom.functions.packing import pack
 from brightloom.operators import embed
 from brightloom.operators import pages as P
 from brightloom.session import cut_lineage
+from brightloom.sources import pages as SP
 
 SITE_RULES = DropRules(classes=("references",), class_prefixes=("mw-editsection", "navbox"), ids=("tagged-pages-container",))
 
@@ -260,3 +261,17 @@ def test_own_embedder(spark):
     df = spark.createDataFrame([("a",), ("bb",)], "t string")
     got = [r[0] for r in df.select(embed.embedding(F.col("t"), lambda texts: np.array([[len(t), 1.0] for t in texts]), dims=2)).collect()]
     assert sorted(got) == [[1.0, 1.0], [2.0, 1.0]]
+
+
+def test_titles_lose_the_suffix_of_their_source(spark):
+    """Thousands of patterns are rows of a join, not branches of one expression."""
+    many = [(f"s{i}", f"type{i % 3}", rf" - Site {i}$" if i % 2 else None) for i in range(5000)]
+    catalogue = spark.createDataFrame(many, "source_id string, default_page_type string, title_suffix string")
+    crawled = [("s1", "Fox - Site 1"), ("s1", " - Site 1"), ("s2", "Fox - Site 2"), ("s4999", "Fox - Site 4999 "), ("s4999", None), ("none", "x"), (None, "x")]
+    crawled = spark.createDataFrame([(s, f"https://x/{i}", "", title) for i, (s, title) in enumerate(crawled)], "source_id string, url string, html string, title string")
+    start = time.perf_counter()
+    done = SP.page_requests(crawled, catalogue)
+    done._jdf.queryExecution().executedPlan()
+    assert time.perf_counter() - start < 10
+    got = {r["url"][-1]: (r["title"], r["page_type"]) for r in done.collect()}
+    assert got == {"0": ("Fox", "type1"), "1": (None, "type1"), "2": ("Fox - Site 2", "type2"), "3": ("Fox - Site 4999", "type1"), "4": (None, "type1")}
