@@ -15,21 +15,29 @@ EMBEDDING_BATCH = 100
 FNV_OFFSET, FNV_PRIME = 0x811C9DC5, 0x01000193
 STREAM_STEP, MIX_ONE, MIX_TWO = 0x9E3779B9, 0x21F0AAAD, 0x735A2D97
 
+# UTF-16 units of each text that are hashed side by side.
+STRETCH = 4096
+
 Embedder = Callable[[Sequence[str]], np.ndarray]
 
 
 def text_seeds(texts: Sequence[str]) -> np.ndarray:
-    """32-bit FNV-1a over the UTF-16 units of each text, all texts of the batch at once."""
+    """32-bit FNV-1a over the UTF-16 units of each text, all texts of the batch side by side, a stretch at a time."""
     units = [np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype="<u2") for text in texts]
     lengths = np.array([len(u) for u in units])
     longest_first = np.argsort(-lengths, kind="stable")
-    table = np.zeros((int(lengths.max(initial=0)), len(units)), dtype=np.uint32)
-    for column, row in enumerate(longest_first):
-        table[: lengths[row], column] = units[row]
+    ordered = [units[row] for row in longest_first]
+    falling = -lengths[longest_first]
     state = np.full(len(units), FNV_OFFSET, dtype=np.uint32)
-    still_open = np.searchsorted(-lengths[longest_first], -np.arange(len(table)), side="left")
-    for position, count in enumerate(still_open):
-        state[:count] = (state[:count] ^ table[position, :count]) * np.uint32(FNV_PRIME)
+    for start in range(0, int(lengths.max(initial=0)), STRETCH):
+        count = int(np.searchsorted(falling, -start, side="left"))  # texts longer than `start`
+        table = np.zeros((min(STRETCH, -int(falling[0]) - start), count), dtype=np.uint32)
+        for column, row in enumerate(ordered[:count]):
+            part = row[start : start + STRETCH]
+            table[: len(part), column] = part
+        still_open = np.searchsorted(falling, -np.arange(start, start + len(table)), side="left")
+        for position, count in enumerate(still_open):
+            state[:count] = (state[:count] ^ table[position, :count]) * np.uint32(FNV_PRIME)
     seeds = np.empty_like(state)
     seeds[longest_first] = state
     return seeds

@@ -8,13 +8,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Settings every job relies on: UTC days, run-time re-planning and skew splitting.
+# Settings every job relies on: UTC days, run-time re-planning, skew splitting, and a bound on the bytes that
+# are in a Python worker at once. By rows alone a batch holds ten thousand texts or vectors of any length.
 SESSION_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 # A key with more rows than this is spread over several tasks by `lookup_join`.

@@ -1,6 +1,8 @@
 import random
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from brightloom.functions.html import DropRules, decode_characters, scan_page
 from brightloom.functions.packing import pack
 from brightloom.operators import embed
 from brightloom.operators import pages as P
-from brightloom.session import cut_lineage
+from brightloom.session import cut_lineage, ensure_settings
 from brightloom.sources import pages as SP
 
 SITE_RULES = DropRules(classes=("references",), class_prefixes=("mw-editsection", "navbox"), ids=("tagged-pages-container",))
@@ -275,3 +277,27 @@ def test_titles_lose_the_suffix_of_their_source(spark):
     assert time.perf_counter() - start < 10
     got = {r["url"][-1]: (r["title"], r["page_type"]) for r in done.collect()}
     assert got == {"0": ("Fox", "type1"), "1": (None, "type1"), "2": ("Fox - Site 2", "type2"), "3": ("Fox - Site 4999", "type1"), "4": (None, "type1")}
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    """By rows alone the 24 MB would be one batch, and pages or vectors gigabytes."""
+    ensure_settings(spark)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.nbytes], pa.int64())})
+
+    rows = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 8000).alias("text"))
+    found = [r.n for r in rows.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(found) >= 24_000_000 and max(found) < 5_000_000
+
+
+def test_seeds_of_a_long_text_take_little_memory():
+    texts = ["a" * 1_000_000, *(f"t{i}" for i in range(99))]
+    tracemalloc.start()
+    seeds = embed.text_seeds(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000
+    assert seeds.tolist() == [int(embed.text_seeds([text])[0]) for text in texts]
+    assert embed.text_seeds([]).tolist() == [] and embed.text_seeds(["", "a"])[0] == embed.FNV_OFFSET
