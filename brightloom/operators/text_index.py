@@ -24,14 +24,28 @@ class TextIndex:
     lengths: DataFrame
 
 
+def count_words(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, terms, words): each chunk's text and heading path as one bag of words, in one row.
+
+    Written once, this table serves as both tables of an index; `terms` is read without the words.
+    """
+    sorted_words = chunks.select("chunk_id", F.array_sort(_words()).alias("_words"))
+    return sorted_words.select("chunk_id", F.size("_words").alias("terms"), _counted(F.col("_words")).alias("words"))
+
+
+def index_of(counted: DataFrame) -> TextIndex:
+    """The index over `count_words`, or over its written table."""
+    postings = unrolled(counted, ["chunk_id"], F.col("words"), "_posting")
+    return TextIndex(postings.select("_posting.term", "chunk_id", "_posting.tf"), counted.select("chunk_id", "terms"))
+
+
 def build_index(chunks: DataFrame) -> TextIndex:
     """Index the text and the heading path of chunks as one bag of words."""
-    words = X.index_tokens(F.concat_ws(" ", F.col("text"), F.col("heading_path")))
-    tokenized = chunks.select("chunk_id", F.array_sort(words).alias("_words"))
-    postings = unrolled(tokenized, ["chunk_id"], _counted(F.col("_words")), "_posting").select(
-        "_posting.term", "chunk_id", "_posting.tf"
-    )
-    return TextIndex(postings, tokenized.select("chunk_id", F.size("_words").alias("terms")))
+    return index_of(count_words(chunks))
+
+
+def _words() -> Column:
+    return X.index_tokens(F.concat_ws(" ", F.col("text"), F.col("heading_path")))
 
 
 def _counted(sorted_words: Column) -> Column:
@@ -88,10 +102,20 @@ def replace_in_index(index: TextIndex, changed_pages: DataFrame, new_chunks: Dat
 
 
 def index_differences(index: TextIndex, chunks: DataFrame) -> DataFrame:
-    """Postings that the index and a fresh build of it disagree on; none when consistent."""
-    expected = build_index(chunks).postings.withColumnRenamed("tf", "expected_tf")
-    both = index.postings.join(expected, ["term", "chunk_id"], "full")
-    return both.filter(~F.col("tf").eqNullSafe(F.col("expected_tf")))
+    """Postings that the index and a fresh build of it disagree on; none when consistent.
+
+    Words of the chunks and stored postings meet in one aggregate by posting: nothing is sorted,
+    and words are counted on both sides of its shuffle. A posting stored more than once is one
+    row with the sum of its counts, and never agrees.
+    """
+    tf = F.col("tf").cast("long")
+    stored = index.postings.select("term", "chunk_id", F.lit(1).alias("_stored"), tf.alias("tf"), F.lit(None).cast("long").alias("expected_tf"))
+    words = unrolled(chunks, ["chunk_id"], _words(), "term")
+    fresh = words.select("term", "chunk_id", F.lit(None).cast("int").alias("_stored"), F.lit(None).cast("long").alias("tf"), F.lit(1).cast("long").alias("expected_tf"))
+    both = stored.unionByName(fresh).groupBy("term", "chunk_id").agg(
+        F.count("_stored").alias("_stored"), F.sum("tf").alias("tf"), F.sum("expected_tf").alias("expected_tf")
+    )
+    return both.filter((F.col("_stored") > 1) | ~F.col("tf").eqNullSafe(F.col("expected_tf"))).drop("_stored")
 
 
 def keyword_hits(

@@ -10,7 +10,7 @@ from brightloom.operators import embed, lookups, upsert, verify
 from brightloom.operators import pages as P
 from brightloom.operators.hybrid import Corpus, SearchFilters, SearchOptions, filter_vectors, fuse_ranks, hybrid_search
 from brightloom.operators.indexing import index_pages
-from brightloom.operators.text_index import build_index, index_differences, keyword_hits, TextIndex
+from brightloom.operators.text_index import build_index, count_words, index_differences, index_of, keyword_hits, TextIndex
 from brightloom.operators.vector_search import nearest_vectors, vectors_by_id
 from brightloom.plans.page_queries import AS_OF, DOC_CHUNKS, RULES, SEEDS, SITE_PARTS, _rules, document_pages
 from brightloom.plans.registry import query
@@ -105,9 +105,8 @@ def _chunks(t):
 
 
 def _stored_index(chunks):
-    """The index as stored tables: searches read them several times."""
-    index = build_index(chunks)
-    return TextIndex(cut_lineage(index.postings), cut_lineage(index.lengths))
+    """The index as a stored table, for which the words are read once: searches read it several times."""
+    return index_of(cut_lineage(count_words(chunks)))
 
 
 def _passages(t):
@@ -290,7 +289,7 @@ def damaged_store(t, index: bool = False) -> verify.Store:
     chunk_id = F.concat("page_id", F.lit(":0"))
     chunk = [chunk_id.alias("chunk_id"), "page_id", F.lit(0).alias("ord"), F.lit(None).cast("string").alias("heading_path"), F.col("html").alias("text")]
     chunks = docs.filter("page_type <> 'type5'").select(*chunk)
-    indexed = build_index(docs.filter("page_type <> 'type5' AND language <> 'fr'").select(*chunk))
+    counted = count_words(docs.filter("page_type <> 'type5' AND language <> 'fr'").select(*chunk))
     ledger = docs.filter("language <> 'es'").select(
         chunk_id.alias("chunk_id"), F.lit(MODEL).alias("model"), chunk_id.alias("vector_id"),
         F.when(F.col("language") != "fr", F.col("page_type")).alias("namespace"), F.lit(AS_OF).cast("timestamp").alias("indexed_at"),
@@ -311,7 +310,7 @@ def damaged_store(t, index: bool = False) -> verify.Store:
         ledger=ledger,
         rules=_rules(t),
         rule_events=events,
-        text_index=TextIndex(cut_lineage(indexed.postings), indexed.lengths) if index else indexed,
+        text_index=index_of(cut_lineage(counted) if index else counted),
     )
 
 

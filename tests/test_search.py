@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from brightloom.operators import graph, hybrid, lookups, text_index, upsert, verify
 from brightloom.operators.ordered import best_before
-from brightloom.operators.text_index import TextIndex, build_index, index_differences, keyword_hits
+from brightloom.operators.text_index import TextIndex, build_index, count_words, index_differences, index_of, keyword_hits
 from brightloom.operators.vector_search import nearest_vectors
-from brightloom.session import lookup_join
+from brightloom.session import cut_lineage, lookup_join
 
 NOW = datetime(2024, 1, 31)
 
@@ -350,3 +350,24 @@ def test_second_crawl_of_pages(spark):
         ("c", "s", "/c", "old", "h1", "active", 1, 1, 1),
         ("z", "s", "/z", "new", "h3", "active", 1, 9, 9),
     ]
+
+
+def test_differences_of_an_index_are_found_without_sorting(spark):
+    chunks = spark.createDataFrame([("1:0", "a b b"), ("2:0", "b c"), ("3:0", "!")], "chunk_id string, text string").withColumn("heading_path", F.lit(None).cast("string"))
+    stored = [("a", "1:0", 1), ("b", "1:0", 1), ("b", "1:0", 1), ("b", "2:0", None), ("d", "2:0", 4)]
+    index = TextIndex(spark.createDataFrame(stored, "term string, chunk_id string, tf bigint"), build_index(chunks).lengths)
+    found = index_differences(index, chunks)
+    # A posting stored twice is a difference even where its counts add up.
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("b", "1:0", 2, 2), ("b", "2:0", None, 1), ("d", "2:0", 4, None), ("c", "2:0", None, 1)]))
+    plan = index_differences(index, chunks)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_both_tables_of_an_index_come_from_one_written_table(spark):
+    chunks = spark.createDataFrame([("1:0", "a b b"), ("2:0", "!")], "chunk_id string, text string").withColumn("heading_path", F.lit(None).cast("string"))
+    index = index_of(cut_lineage(count_words(chunks)))
+    assert {tuple(r) for r in index.postings.collect()} == {("a", "1:0", 1), ("b", "1:0", 2)}
+    assert {tuple(r) for r in index.lengths.collect()} == {("1:0", 3), ("2:0", 0)}
+    for table in (index.postings, index.lengths):
+        assert "regexp_extract_all" not in table._jdf.queryExecution().optimizedPlan().toString()
+    assert "words" not in index.lengths._jdf.queryExecution().executedPlan().toString()
