@@ -210,12 +210,13 @@ EXPAND = """,
 CORPUS_VIEWS = ("doc_pages", "doc_sources", "doc_edges")
 
 
-def document_corpus(t) -> Corpus:
-    """Documents as an indexed corpus; the chunk table and its vectors are written once."""
+def document_corpus(t, mode: str = "hybrid") -> Corpus:
+    """Documents as an indexed corpus; chunk table and text index are written once, the index only for modes that read it."""
     chunks = _chunks(t)
     pages, sources = t("doc_pages").drop("html"), t("doc_sources")
     vectors = embed.vector_rows(chunks, pages, sources)
-    return Corpus(chunks, pages, sources, vectors, _stored_index(chunks), t("doc_edges"))
+    index = build_index(chunks) if mode == "semantic" else _stored_index(chunks)
+    return Corpus(chunks, pages, sources, vectors, index, t("doc_edges"))
 
 
 def passage_queries(t):
@@ -223,7 +224,8 @@ def passage_queries(t):
 
 
 def _search(t, **options):
-    found = hybrid_search(passage_queries(t), document_corpus(t), SearchOptions(as_of=AS_OF, top_k=TOP_K, **options))
+    wanted = SearchOptions(as_of=AS_OF, top_k=TOP_K, **options)
+    found = hybrid_search(passage_queries(t), document_corpus(t, wanted.mode), wanted)
     return found.drop("heading_path")
 
 

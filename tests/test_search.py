@@ -9,6 +9,8 @@ from brightloom.operators import graph, hybrid, lookups, text_index, upsert, ver
 from brightloom.operators.ordered import best_before
 from brightloom.operators.text_index import TextIndex, build_index, count_words, index_differences, index_of, keyword_hits
 from brightloom.operators.vector_search import nearest_vectors
+from brightloom.plans import search_queries
+from brightloom.plans.registry import Tables
 from brightloom.session import cut_lineage, lookup_join
 
 NOW = datetime(2024, 1, 31)
@@ -371,3 +373,13 @@ def test_both_tables_of_an_index_come_from_one_written_table(spark):
     for table in (index.postings, index.lengths):
         assert "regexp_extract_all" not in table._jdf.queryExecution().optimizedPlan().toString()
     assert "words" not in index.lengths._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_semantic_search_writes_no_text_index(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(search_queries, "_stored_index", lambda chunks: written.append(chunks) or build_index(chunks))
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    search_queries.document_corpus(tables, "semantic")
+    assert not written
+    search_queries.document_corpus(tables, "keyword")
+    assert len(written) == 1
