@@ -299,40 +299,44 @@ def met_pairs(keys: np.ndarray, label: np.ndarray, top: int, budget: int) -> Ite
 
 
 def copy_links(nodes: DataFrame, rule: Copies = Copies(), part_rows: int = PART_ROWS) -> DataFrame:
-    """Candidate pairs (a, b, distance), a < b, of `nodes(node, wide, label)` whose fingerprints are near.
+    """Candidate pairs (a, b, distance), a < b, of `nodes(node, wide)` whose fingerprints are near.
 
     wide: the fingerprint and the number of shingles in eight bytes. Each task gives a chain
-    through the nodes that hang together in it.
+    through the nodes that hang together in it. A node is shuffled once for each block of each trie,
+    with its fingerprint alone, of which its key is a part.
     """
     farthest = rule.farthest()
     blocks = rule.budget + 1
     width, bytes_each = rule.key_bits // blocks, rule.key_bits // 8
 
+    def keys_of(raw: np.ndarray, turn: int) -> np.ndarray:
+        """Keys of one turn, a block of a trie: the trie's part of the fingerprints, turned so that the block is at the top."""
+        trie, block = divmod(turn, blocks)
+        key = raw[:, trie * bytes_each : (trie + 1) * bytes_each].copy().view(">u4").ravel().astype(np.uint64)
+        by = np.uint64(block * width)
+        return ((key << by) | (key >> (np.uint64(rule.key_bits) - by))) & np.uint64((1 << rule.key_bits) - 1)
+
     def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, wide, label = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), batch.column(2)
+            node, wide = batch.columns
             raw = np.frombuffer(b"".join(wide.to_pylist()), np.uint8).reshape(len(node), -1)
-            for trie in range(rule.tries):
-                key = raw[:, trie * bytes_each : (trie + 1) * bytes_each].copy().view(">u4").ravel().astype(np.uint64)
-                for block in range(blocks):
-                    turn = np.uint64(block * width)
-                    placed = ((key << turn) | (key >> (np.uint64(rule.key_bits) - turn))) & np.uint64((1 << rule.key_bits) - 1)
-                    head = (placed >> np.uint64(rule.key_bits - width)).astype(np.int64)
-                    unit = (trie * blocks + block << width) + head
-                    columns = [pa.array(node), wide, label, pa.array((placed << np.uint64(BITS - rule.key_bits)).view(np.int64)), pa.array(unit)]
-                    yield pa.RecordBatch.from_arrays(columns, ["node", "wide", "label", "key", "unit"])
-
-    rows = nodes.select("node", "wide", "label").mapInArrow(turned, "node bigint, wide binary, label bigint, key bigint, unit bigint")
+            for turn in range(rule.tries * blocks):
+                head = (keys_of(raw, turn) >> np.uint64(rule.key_bits - width)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([node, wide, pa.array((turn << width) + head)], ["node", "wide", "unit"])
+
+    rows = nodes.select("node", "wide").mapInArrow(turned, "node bigint, wide binary, unit bigint")
+    # There are no more units than blocks of tries have values, so these are few whatever the input, and are sent to the rows.
     crowded = rows.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("parts")).filter("parts > 1")
-    dealt = rows.join(crowded, "unit", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = rows.join(F.broadcast(crowded), "unit", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     placed = dealt.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    placed = placed.select("node", "wide", "label", "key", "unit", F.least("part", "other").alias("part"), F.greatest("part", "other").alias("other"))
+    placed = placed.select("node", "wide", "unit", F.least("part", "other").alias("part"), F.greatest("part", "other").alias("other"))
 
-    def pairs(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        node, key, wide, group = (np.concatenate(x) for x in zip(*held))
+    def pairs(held: list[tuple[np.ndarray, ...]], turn: int) -> Iterator[pa.RecordBatch]:
+        node, wide = (np.concatenate(x) for x in zip(*held))
+        key = keys_of(wide.view(np.uint8), turn) << np.uint64(BITS - rule.key_bits)
         order = np.argsort(key, kind="stable")
-        node, key, wide, group = node[order], key[order], wide[order], group[order]
+        node, key, wide = node[order], key[order], wide[order]
         size = wide[:, -1].astype(np.float64)
 
         def far(i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -364,7 +368,7 @@ def copy_links(nodes: DataFrame, rule: Copies = Copies(), part_rows: int = PART_
         held: list[tuple[np.ndarray, ...]] = []
         size, last = 0, None  # last: unit, part, other of the rows held at the end
         for batch in batches:
-            node, key, label, *unit = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("node", "key", "label", "unit", "part", "other"))
+            node, *unit = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("node", "unit", "part", "other"))
             wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(len(node), -1)
             unit = np.stack(unit, axis=1)
             cuts = np.r_[0, np.flatnonzero((unit[1:] != unit[:-1]).any(1)) + 1, len(node)]
@@ -372,12 +376,12 @@ def copy_links(nodes: DataFrame, rule: Copies = Copies(), part_rows: int = PART_
                 here = tuple(unit[start])
                 # Small units of one turn go together: their keys differ at the top, so they stay apart.
                 if last is not None and here != last and (here[0] >> width != last[0] >> width or here[0] == last[0] or size >= 65536):
-                    yield from pairs(held)
+                    yield from pairs(held, int(last[0] >> width))
                     held, size = [], 0
-                held.append((node[start:end], key[start:end].view(np.uint64), wide[start:end], label[start:end]))
+                held.append((node[start:end], wide[start:end]))
                 size, last = size + end - start, here
         if held:
-            yield from pairs(held)
+            yield from pairs(held, int(last[0] >> width))
 
     keys = ["unit", "part", "other"]
     return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint, distance bigint")
@@ -414,7 +418,7 @@ def exact_links(keyed: DataFrame, nodes: DataFrame, rule: Copies) -> DataFrame:
             grams = [shingles(text.as_py(), rule).tobytes() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], ["node", "grams"])
 
-    met = stored(copy_links(nodes.withColumn("label", F.col("node")), rule).distinct())
+    met = stored(copy_links(nodes, rule).distinct())
     ends = stored(met.select(F.col("a").alias("node")).union(met.select("b")).distinct())
     some = stored(nodes.join(ends, "node", "leftsemi"))
     texts = keyed.join(some.select("node", F.col("at").alias("_at")), "_at").select("node", "_text")

@@ -25,7 +25,7 @@ from brightloom.llm.quality import compression_bands, counts
 from brightloom.llm.repeats import remove_repeats
 from brightloom.llm.resampling import Grams, Resampling, draw, kth_largest, sampled, weigh
 from brightloom.llm.secrets import scan_secrets
-from brightloom.llm.simhash import Copies, near_duplicates, one_of_each, simhash, walk_pairs
+from brightloom.llm.simhash import Copies, copy_links, near_duplicates, one_of_each, shingles, simhash, walk_pairs, wide_simhash
 from brightloom.llm.warc import build_index, keyed, look_up, read_records, url_key, write_archives
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -106,6 +106,29 @@ def test_near_duplicates_by_brute_force(spark):
     assert [found[i].component_id for i in range(len(texts))] == root
 
 
+def test_copy_links_shuffle_each_fingerprint_once_for_a_block(spark):
+    """The rows of a fingerprint meet the list of crowded units without a shuffle of their own, and units in parts give the same clusters."""
+    rng = random.Random(3)
+    base = [[rng.choice("abcdefghij") + str(rng.randrange(90)) for _ in range(80)] for _ in range(12)]
+    texts = [" ".join(words[: 80 - k]) for words in base for k in range(4)]
+    prints = []
+    for node, text in enumerate(texts):
+        hashed = shingles(text, Copies())
+        prints.append((node, bytearray(wide_simhash(hashed, Copies()) + np.uint64(len(hashed)).tobytes())))
+    nodes = spark.createDataFrame(prints, "node bigint, wide binary")
+    found = []
+    for part_rows in (3, 50_000):
+        links = copy_links(nodes, Copies(), part_rows)
+        plan = links._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") <= 2  # of the rows, and of their counts
+        label = list(range(len(texts)))
+        for r in links.collect():
+            a, b = label[r.a], label[r.b]
+            label = [min(a, b) if x in (a, b) else x for x in label]
+        found.append(label)
+    assert found[0] == found[1] == [node // 4 * 4 for node in range(len(texts))]
+
+
 def test_one_of_each_keeps_the_smallest(spark, odd, nothing):
     texts = [prose(i, 300) for i in range(20)]
     near = [" ".join(w if k % 60 else "changed" for k, w in enumerate(t.split())) for t in texts[:10]]
