@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brightloom.functions.shaping import let
+
 # The characters counted as white space, for a regular-expression class.
 WHITESPACE = "\\t\\n\\x0B\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}"
 
@@ -74,6 +76,15 @@ def index_tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit("([\\p{L}\\p{N}]+)"), F.lit(1))
 
 
+def spaced_words(text: Column) -> Column:
+    """The folded text with the words of `index_tokens` parted by blanks, unless it is plain ASCII, where it stays as it is."""
+
+    def parted(lower: Column) -> Column:
+        return F.when(F.octet_length(lower) == F.length(lower), lower).otherwise(F.regexp_replace(fold(lower), "[^\\p{L}\\p{N}]+", " "))
+
+    return let(F.lower(text), parted)
+
+
 def query_tokens(text: Column, strict_ascii: bool = False) -> Column:
     """Terms of a search query, folded like the index.
 

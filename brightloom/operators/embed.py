@@ -29,6 +29,7 @@ def text_seeds(texts: Sequence[str]) -> np.ndarray:
     ordered = [units[row] for row in longest_first]
     falling = -lengths[longest_first]
     state = np.full(len(units), FNV_OFFSET, dtype=np.uint32)
+    prime = np.uint32(FNV_PRIME)
     for start in range(0, int(lengths.max(initial=0)), STRETCH):
         count = int(np.searchsorted(falling, -start, side="left"))  # texts longer than `start`
         table = np.zeros((min(STRETCH, -int(falling[0]) - start), count), dtype=np.uint32)
@@ -36,8 +37,12 @@ def text_seeds(texts: Sequence[str]) -> np.ndarray:
             part = row[start : start + STRETCH]
             table[: len(part), column] = part
         still_open = np.searchsorted(falling, -np.arange(start, start + len(table)), side="left")
-        for position, count in enumerate(still_open):
-            state[:count] = (state[:count] ^ table[position, :count]) * np.uint32(FNV_PRIME)
+        for at in np.split(np.arange(len(table)), np.flatnonzero(np.diff(still_open)) + 1):
+            # As many texts are open all along this part of the stretch.
+            some = state[: still_open[at[0]]]
+            for units_here in table[at[0] : at[-1] + 1, : len(some)]:
+                np.bitwise_xor(some, units_here, out=some)
+                np.multiply(some, prime, out=some)
     seeds = np.empty_like(state)
     seeds[longest_first] = state
     return seeds

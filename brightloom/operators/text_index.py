@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brightloom.functions import text as X
-from brightloom.functions.shaping import let, unrolled
+from brightloom.functions.shaping import unrolled
+from brightloom.session import cut_lineage
 
 # BM25 parameters and the weight of a term that most chunks contain.
 BM25_K1 = 1.2
@@ -18,10 +22,13 @@ MIN_IDF = 1e-6
 
 @dataclass(frozen=True)
 class TextIndex:
-    """`postings(term, chunk_id, tf)` and `lengths(chunk_id, terms)`."""
+    """`postings(term, chunk_id, tf)` and `lengths(chunk_id, terms)`; `counted`, if there, is the table of
+    `count_words` both come from, in which the words of some chunks are found without those of the rest.
+    """
 
     postings: DataFrame
     lengths: DataFrame
+    counted: DataFrame | None = None
 
 
 def count_words(chunks: DataFrame) -> DataFrame:
@@ -29,14 +36,17 @@ def count_words(chunks: DataFrame) -> DataFrame:
 
     Written once, this table serves as both tables of an index; `terms` is read without the words.
     """
-    sorted_words = chunks.select("chunk_id", F.array_sort(_words()).alias("_words"))
-    return sorted_words.select("chunk_id", F.size("_words").alias("terms"), _counted(F.col("_words")).alias("words"))
+    return chunks.select("chunk_id", _bag(X.spaced_words(_indexed_text())).alias("_bag")).select("chunk_id", "_bag.terms", "_bag.words")
+
+
+def _postings(counted: DataFrame) -> DataFrame:
+    rows = unrolled(counted, ["chunk_id"], F.col("words"), "_posting")
+    return rows.select("_posting.term", "chunk_id", "_posting.tf")
 
 
 def index_of(counted: DataFrame) -> TextIndex:
     """The index over `count_words`, or over its written table."""
-    postings = unrolled(counted, ["chunk_id"], F.col("words"), "_posting")
-    return TextIndex(postings.select("_posting.term", "chunk_id", "_posting.tf"), counted.select("chunk_id", "terms"))
+    return TextIndex(_postings(counted), counted.select("chunk_id", "terms"), counted)
 
 
 def build_index(chunks: DataFrame) -> TextIndex:
@@ -44,34 +54,36 @@ def build_index(chunks: DataFrame) -> TextIndex:
     return index_of(count_words(chunks))
 
 
-def _words() -> Column:
-    return X.index_tokens(F.concat_ws(" ", F.col("text"), F.col("heading_path")))
+def _indexed_text() -> Column:
+    return F.concat_ws(" ", F.col("text"), F.col("heading_path"))
 
 
-def _counted(sorted_words: Column) -> Column:
-    """Distinct words of a sorted list with their counts.
+BAG_TYPE = "struct<terms:int,words:array<struct<term:string,tf:bigint>>>"
+_ASCII_WORDS = re.compile("[a-z0-9]+")
 
-    All words of a chunk are in one row, so they are counted there: where each run of equal
-    words starts, and how far it is to the next. Nothing has to be shuffled for it.
-    """
 
-    def runs(words: Column) -> Column:
-        starts = F.filter(
-            F.transform(words, lambda w, i: F.when((i == 0) | (w != F.get(words, i - 1)), i)), lambda i: i.isNotNull()
-        )
+def _bag(spaced: Column) -> Column:
+    """Number of words of each text of `spaced_words`, and its distinct words with their counts, in order of appearance.
 
-        def measured(at: Column) -> Column:
-            return F.transform(
-                at,
-                lambda i, n: F.struct(
-                    F.get(words, i).alias("term"),
-                    (F.coalesce(F.get(at, n + 1), F.size(words)) - i).cast("long").alias("tf"),
-                ),
-            )
+    All words of a chunk are in one row, so they are counted there: nothing has to be shuffled for it.
+    """
 
-        return let(starts, measured)
+    def count(texts: pa.Array) -> pa.Array:
+        terms, tf, sizes, stops = [], [], [], [0]
+        for text in texts.to_pylist():
+            found = _ASCII_WORDS.findall(text) if text.isascii() else text.split()
+            counts = Counter(found)
+            terms += counts.keys()
+            tf += counts.values()
+            sizes.append(len(found))
+            stops.append(len(terms))
+        words = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tf, pa.int64())], ["term", "tf"])
+        return pa.StructArray.from_arrays(
+            [pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(stops, pa.int32()), words)], ["terms", "words"]
+        )
 
-    return let(sorted_words, runs)
+    count.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(count, BAG_TYPE)(spaced)
 
 
 def write_index(index: TextIndex, folder: str) -> None:
@@ -110,7 +122,7 @@ def index_differences(index: TextIndex, chunks: DataFrame) -> DataFrame:
     """
     tf = F.col("tf").cast("long")
     stored = index.postings.select("term", "chunk_id", F.lit(1).alias("_stored"), tf.alias("tf"), F.lit(None).cast("long").alias("expected_tf"))
-    words = unrolled(chunks, ["chunk_id"], _words(), "term")
+    words = unrolled(chunks, ["chunk_id"], X.index_tokens(_indexed_text()), "term")
     fresh = words.select("term", "chunk_id", F.lit(None).cast("int").alias("_stored"), F.lit(None).cast("long").alias("tf"), F.lit(1).cast("long").alias("expected_tf"))
     both = stored.unionByName(fresh).groupBy("term", "chunk_id").agg(
         F.count("_stored").alias("_stored"), F.sum("tf").alias("tf"), F.sum("expected_tf").alias("expected_tf")
@@ -124,7 +136,7 @@ def keyword_hits(
     """The `k` best chunks holding *all* terms of a query, by BM25, lower is better.
 
     The rarest term of a query names its candidates, so a term found in a third of all
-    chunks is looked up by (term, chunk) and never listed in full unless every term of the
+    chunks is looked up in the candidates' words and never listed in full unless every term of the
     query is that common. A query without terms finds nothing.
     Only chunks of `admitted(chunk_id)`, if given, are candidates; scores are those of the whole index.
     """
@@ -133,26 +145,29 @@ def keyword_hits(
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("repeats"))
     )
-    # Only postings of words somebody asked for go any further.
+    # Only postings of words somebody asked for are counted.
     asked = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
     frequency = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = terms.join(frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    # Terms and candidates are written, so that their size is known: unless they are many, they are sent to
+    # the postings, and no posting is shuffled.
+    weighed = cut_lineage(terms.join(frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))))
     rarest = weighed.groupBy("query_id").agg(
         F.min_by("term", F.struct("df", "term")).alias("term"), F.min("df").alias("_least"), F.count(F.lit(1)).alias("n_terms")
     )
     n_chunks = index.lengths.agg(F.count(F.lit(1))).scalar()
     mean_terms = index.lengths.agg(F.avg("terms")).scalar()
 
-    candidates = (
-        rarest.filter(F.col("_least") > 0)
-        .join(asked, "term")
-        .select("query_id", "chunk_id", "n_terms")
-        .join(index.lengths, "chunk_id")
-    )
+    named = rarest.filter(F.col("_least") > 0).join(index.postings, "term").select("query_id", "chunk_id", "n_terms")
     if admitted is not None:
-        candidates = candidates.join(admitted, "chunk_id", "left_semi")
-    wanted = candidates.join(weighed.select("query_id", "term", "repeats", "df"), "query_id")
-    found = wanted.join(asked, ["chunk_id", "term"])
+        named = named.join(admitted, "chunk_id", "left_semi")
+    candidates = cut_lineage(named)
+    looked_up = candidates.select("chunk_id").distinct()
+    if index.counted is None:
+        postings = index.postings.join(looked_up, "chunk_id", "left_semi")
+    else:
+        postings = _postings(index.counted.join(looked_up, "chunk_id", "left_semi"))
+    wanted = candidates.join(index.lengths, "chunk_id").join(postings, "chunk_id")
+    found = wanted.join(weighed.select("query_id", "term", "repeats", "df"), ["query_id", "term"])
     idf = F.ln((n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(MIN_IDF)).otherwise(idf)
     norm = F.lit(BM25_K1) * (F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("terms") / mean_terms)

@@ -383,3 +383,26 @@ def test_a_semantic_search_writes_no_text_index(spark, monkeypatch):
     assert not written
     search_queries.document_corpus(tables, "keyword")
     assert len(written) == 1
+
+
+ODD_TEXTS = ["", "Éclair  éclair x_y don’t", "a-b A_b 12³ Ⅷ 中文 中文", "\U0001df00 ࡰ \U0001f600", "plain red Red", "i̇ İx ß", None, "\x1cred\x85fox x"]
+
+
+def test_counted_words_are_those_of_the_index_tokens(spark):
+    chunks = chunk_table(spark, ODD_TEXTS)
+    counted = {r.chunk_id: (r.terms, sorted((w.term, w.tf) for w in r.words)) for r in count_words(chunks).collect()}
+    for chunk_id, tokens in chunks.select("chunk_id", text_index.X.index_tokens(F.coalesce("text", F.lit("")))).collect():
+        assert counted[chunk_id] == (len(tokens), sorted((t, tokens.count(t)) for t in set(tokens)))
+
+
+def test_a_search_shuffles_no_posting_by_chunk_and_word(spark):
+    chance = random.Random(4)
+    chunks = chunk_table(spark, [" ".join(chance.choices("abcdefgh", k=6)) for _ in range(60)])
+    index = index_of(cut_lineage(count_words(chunks)))
+    asked = queries(spark, q="a b", r="c", s="h h g")
+    found = keyword_hits(asked, index, 50)
+    rows = found.orderBy("query_id", "rank").collect()
+    assert rows == keyword_hits(asked, TextIndex(index.postings, index.lengths), 50).orderBy("query_id", "rank").collect()
+    assert {r.query_id for r in rows} == {"q", "r", "s"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan.split("Initial Plan")[-1]
